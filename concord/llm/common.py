@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,5 +60,22 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for a row even where use puts it inside a function of each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Rows of two numbers that are sent to all executors at most: 32 MB.
+FEW_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but the rows whose (doc_id, hash of the text) is in gone (doc_id, text_hash); sent to all executors if few, else a shuffled join."""
+    gone = materialize(gone.distinct(), "gone").withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+    if gone.count() <= FEW_KEYS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(whole_text(docs["text"])) == F.col("gone_hash")), "left_anti")

@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import binary_output, packing
+from concord.llm import binary_output, decontaminate, licenses, near_duplicates, neighbours, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_virtual_slots": sharding.op1_virtual_slots,
         "op2_token_binary": binary_output.op2_token_binary,
+        "op3_inverted_multi_index": neighbours.op3_inverted_multi_index,
+        "op4_near_duplicates": near_duplicates.op4_near_duplicates,
+        "op5_license_scan": licenses.op5_license_scan,
+        "op6_decontamination": decontaminate.op6_decontamination,
+        "op7_token_rollups": token_counts.op7_token_rollups,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op9_packing": packing.op9_packing,
+        "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_decontamination": decontaminate.SQL,
+        "op8_secret_scan": secrets.SQL,
+    }
