@@ -95,7 +95,7 @@ def _sets(docs: list[list[bytes]], n: int) -> list[np.ndarray]:
     if not words:
         return [np.zeros(0, dtype=np.uint64) for _ in docs]
     h = word_hashes(words)
-    powers = [np.uint64(pow(_BASE[0], k, 1 << 64)) for k in range(n)]
+    powers = np.array([pow(_BASE[0], k, 1 << 64) for k in range(n)], dtype=np.uint64)
     rolled = np.zeros(max(len(h) - n + 1, 0), dtype=np.uint64)
     for k in range(n if len(rolled) else 0):
         rolled += h[k : k + len(rolled)] * powers[k]
@@ -105,7 +105,7 @@ def _sets(docs: list[list[bytes]], n: int) -> list[np.ndarray]:
         if len(d) >= n:
             out.append(np.unique(rolled[at : at + len(d) - n + 1]))
         elif d:
-            whole = sum((h[at + k] * powers[k] for k in range(len(d))), np.uint64(_BASE[len(d)] & (1 << 63) - 1))
+            whole = (h[at : at + len(d)] * powers[: len(d)]).sum() ^ np.uint64(_BASE[len(d)])
             out.append(_mix(np.array([whole], dtype=np.uint64)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -173,7 +173,7 @@ def forest(nodes: DataFrame) -> DataFrame:
             left.append(i)
             right.append(i + d)
         i, j = np.concatenate(left), np.concatenate(right)
-        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1).astype(np.int32)
+        bits = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).sum(axis=1).astype(np.int32)
         good = bits <= MOST_BITS
         i, j, bits = i[good], j[good], bits[good]
         again = large.copy()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from concord.llm import common
 
 TOP = 20
-PROBED = 0.6
+PROBED = 0.75
 FIT_ROWS = 20_000
 FIT_STEPS = 12
 BLOCKS, LEAST_BLOCK, LARGEST_BLOCK = 24, 128, 32_768
@@ -89,7 +89,7 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def centroids(n: int) -> int:
     """For each half; their square is the number of cells."""
-    return int(min(max(round((n / 64) ** 0.5), 2), 1024))
+    return int(min(max(round((n / 16) ** 0.5), 2), 1024))
 
 
 def fit(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
