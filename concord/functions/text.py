@@ -8,6 +8,7 @@ are not plain ASCII. Null counts as empty throughout.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -60,6 +61,11 @@ LINKS = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once; keeps the expression from doubling wherever use names it again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -126,14 +132,19 @@ def clean_artist(c: Column, compose: bool = False) -> Column:
 
 
 def extract_featured(c: Column, compose: bool = False) -> Column:
-    names = F.transform(F.split(group(tidy(c, compose), FEAT_TRAILING), CREDIT_SPLIT), tidy)
+    names = F.transform(F.split(group(tidy(c, compose), FEAT_TRAILING), CREDIT_SPLIT), lambda n: tidy(n))
     return F.filter(names, lambda n: n != "")
 
 
 def strip_artist_prefix(title: Column, artist: Column) -> Column:
-    head, tail = F.substring_index(title, " - ", 1), sub(title, r"(?s)^.*? - ")
-    credit = F.contains(title, F.lit(" - ")) & (artist != "") & (strip(tail) != "") & F.contains(fold(head), fold(artist)) & (F.length(head) < 60)
-    return F.when(credit, tail).otherwise(title)
+    """What follows the first dash, if what precedes it is a credit that names the artist."""
+
+    def cut(x: Column) -> Column:
+        head, tail = F.substring_index(x["t"], " - ", 1), sub(x["t"], r"(?s)^.*? - ")
+        credit = F.contains(x["t"], F.lit(" - ")) & (x["a"] != "") & (strip(tail) != "") & F.contains(fold(head), fold(x["a"])) & (F.length(head) < 60)
+        return F.when(credit, tail).otherwise(x["t"])
+
+    return let(F.struct(title.alias("t"), artist.alias("a")), cut)
 
 
 def clean_title(title: Column, artist: Column, compose: bool = False, keep_with: bool = False) -> Column:
@@ -144,14 +155,22 @@ def clean_title(title: Column, artist: Column, compose: bool = False, keep_with:
 
 
 def normalise(artist: Column, title: Column, compose: bool = False) -> Column:
-    """Struct of artist, title, featured, artist_full."""
-    a, t = clean_artist(artist, compose), clean_title(title, clean_artist(artist, compose), compose)
-    head, tail = F.substring_index(t, " - ", 1), sub(t, r"(?s)^.*? - ")
-    split = (a == "") & F.contains(t, F.lit(" - ")) & (strip(head) != "") & (strip(tail) != "")
-    return F.struct(
-        F.when(split, tidy(head)).otherwise(a).alias("artist"), F.when(split, tidy(tail)).otherwise(t).alias("title"),
-        extract_featured(title, compose).alias("featured"), clean_artist_full(artist, compose).alias("artist_full"),
-    )
+    """Struct of artist, title, featured, artist_full. compose runs NFC first, in a Python step of its own."""
+    artist, title = (nfc(text(c)) if compose else text(c) for c in (artist, title))
+
+    def pair(x: Column) -> Column:
+        return F.struct(x["artist"].alias("artist"), clean_title(x["raw"], x["artist"]).alias("title"), x["raw"].alias("raw"), x["full"].alias("full"))
+
+    def done(x: Column) -> Column:
+        head, tail = F.substring_index(x["title"], " - ", 1), sub(x["title"], r"(?s)^.*? - ")
+        split = (x["artist"] == "") & F.contains(x["title"], F.lit(" - ")) & (strip(head) != "") & (strip(tail) != "")
+        return F.struct(
+            F.when(split, tidy(head)).otherwise(x["artist"]).alias("artist"), F.when(split, tidy(tail)).otherwise(x["title"]).alias("title"),
+            extract_featured(x["raw"]).alias("featured"), x["full"].alias("artist_full"),
+        )
+
+    start = F.struct(clean_artist(artist).alias("artist"), title.alias("raw"), clean_artist_full(artist).alias("full"))
+    return let(let(start, pair), done)
 
 
 # --- house style
@@ -166,29 +185,42 @@ def fix_contractions(c: Column) -> Column:
     return reduce(lambda x, end: sub(x, rf"(?i)(['’]){end}{_E}", f"$1{end}"), ("ll", "re", "ve", "s", "t", "d", "m", "n"), text(c))
 
 
+def _without_film(t: Column) -> Column:
+    return let(strip(sub(t, FROM_FILM)), lambda cut: F.when(cut == "", t).otherwise(cut))
+
+
+def _take(t: Column, *patterns: str) -> Column:
+    """Struct of taken, the group of the first pattern that matches, and rest: without that match; from a match of a later pattern on, without what follows."""
+    taken, rest = F.lit(""), t
+    for k, p in reversed(list(enumerate(patterns))):
+        here = F.rlike(t, F.lit(f"(?i){p}"))
+        taken = F.when(here, strip(group(t, f"(?i){p}"))).otherwise(taken)
+        rest = F.when(here, before_first(t, p) if k else drop_first(t, p)).otherwise(rest)
+    return F.struct(taken.alias("taken"), rest.alias("rest"))
+
+
 def canonical_title(c: Column) -> Column:
+    """base (ft. guests) [mix]."""
     t = squeeze(fix_contractions(asciify_quotes(c)))
     for _ in range(3):  # a title carries two such tails at most; a third pass finds none
-        cut = strip(sub(t, FROM_FILM))
-        t = F.when(cut == "", t).otherwise(cut)
-    has_mix, has_dash = F.rlike(t, F.lit(f"(?i){MIX}")), F.rlike(t, F.lit(f"(?i){MIX_DASH}"))
-    mix = strip(F.when(has_mix, group(t, f"(?i){MIX}")).when(has_dash, group(t, f"(?i){MIX_DASH}")).otherwise(""))
-    t = F.when(has_mix, drop_first(t, MIX)).when(has_dash, before_first(t, MIX_DASH)).otherwise(t)
-    t = sub(t, rf"(?i){_B}(?:feat\.?|featuring|ft\.?){S}+", "ft. ")
-    boxed, bare = rf"[\(\[]{S}*ft\.{S}*([^)\]]+){S}*[\)\]]", rf"{_B}ft\.{S}+(.+)$"
-    has_box, has_bare = F.rlike(t, F.lit(f"(?i){boxed}")), F.rlike(t, F.lit(bare))
-    feat = strip(F.when(has_box, group(t, f"(?i){boxed}")).when(has_bare, group(t, bare)).otherwise(""))
-    t = F.when(has_box, drop_first(t, boxed)).when(has_bare, before_first(t, bare)).otherwise(t)
-    base = strip_chars(sub(t, rf"{S}+", " "), r" \-–")
-    parts = F.array(base, F.when(feat != "", F.concat(F.lit("(ft. "), feat, F.lit(")"))).otherwise(""), F.when(mix != "", F.concat(F.lit("["), mix, F.lit("]"))).otherwise(""))
-    return F.array_join(F.filter(parts, lambda p: p != ""), " ")
+        t = let(t, _without_film)
+
+    def with_guests(m: Column) -> Column:
+        short = sub(m["rest"], rf"(?i){_B}(?:feat\.?|featuring|ft\.?){S}+", "ft. ")
+        return let(short, lambda s: let(_take(s, rf"[\(\[]{S}*ft\.{S}*([^)\]]+){S}*[\)\]]", rf"{_B}ft\.{S}+(.+)$"), lambda g: join(m["taken"], g["taken"], g["rest"])))
+
+    def join(mix: Column, guests: Column, base: Column) -> Column:
+        parts = F.array(strip_chars(sub(base, rf"{S}+", " "), r" \-–"), F.when(guests != "", F.concat(F.lit("(ft. "), guests, F.lit(")"))).otherwise(""), F.when(mix != "", F.concat(F.lit("["), mix, F.lit("]"))).otherwise(""))
+        return F.array_join(F.filter(parts, lambda p: p != ""), " ")
+
+    return let(let(t, lambda x: _take(x, MIX, MIX_DASH)), with_guests)
 
 
 def safe_component(c: Column, compose: bool = False) -> Column:
     t = strip(asciify_quotes(c))
     t = squeeze(sub(nfc(t) if compose else t, r"[/:\x00-\x1f]", "-"))
-    cut = strip(F.substring(t, 1, 120))
-    return F.when(F.rlike(t, F.lit(r"^\.*$")) | (cut == ""), "unknown").otherwise(cut)
+    shown = lambda x: F.when(F.rlike(x, F.lit(r"^\.*$")) | (strip(F.substring(x, 1, 120)) == ""), "unknown").otherwise(strip(F.substring(x, 1, 120)))
+    return let(t, shown)
 
 
 def filename(artist: Column, title: Column, suffix: str = ".aiff") -> Column:
@@ -197,19 +229,19 @@ def filename(artist: Column, title: Column, suffix: str = ".aiff") -> Column:
 
 def extract_version(c: Column) -> Column:
     """Struct of mix_name and remixer."""
-    t = squeeze(text(c))
-    bracket = strip(group(t, f"(?i){MIX}"))
-    label = F.when(F.rlike(t, F.lit(f"(?i){MIX}")), bracket).otherwise(strip(group(t, f"(?i){MIX_DASH}")))
-    word = F.lower(group(label, VERSION_WORD, 2))
-    person = strip(strip_chars(group(label, VERSION_WORD, 1), r" \-–"))
-    generic = reduce(lambda a, b: a | b, [F.contains(fold(person), F.lit(w)) for w in vocab.GENERIC_VERSIONS])
-    nobody = (person == "") | generic | F.rlike(person, F.lit(rf"^[\d\s\p{{Z}}'’-]+$")) | ((word == "version") & F.rlike(person, F.lit(r"['’]s$")))
-    return F.struct(label.alias("mix_name"), F.when(nobody, "").otherwise(person).alias("remixer"))
+    label = let(squeeze(text(c)), lambda t: _take(t, MIX, MIX_DASH)["taken"])
+
+    def judged(x: Column) -> Column:
+        word, person = F.lower(group(x["label"], VERSION_WORD, 2)), x["person"]
+        generic = let(fold(person), lambda p: reduce(lambda a, b: a | b, [F.contains(p, F.lit(w)) for w in vocab.GENERIC_VERSIONS]))
+        nobody = (person == "") | generic | F.rlike(person, F.lit(rf"^[\d\s\p{{Z}}'’-]+$")) | ((word == "version") & F.rlike(person, F.lit(r"['’]s$")))
+        return F.struct(x["label"].alias("mix_name"), F.when(nobody, "").otherwise(person).alias("remixer"))
+
+    return let(let(label, lambda x: F.struct(x.alias("label"), strip(strip_chars(group(x, VERSION_WORD, 1), r" \-–")).alias("person"))), judged)
 
 
 def strip_version(c: Column) -> Column:
-    t = squeeze(text(c))
-    cut = F.when(F.rlike(t, F.lit(f"(?i){MIX}")), drop_first(t, MIX)).otherwise(before_first(t, MIX_DASH))
+    cut = let(squeeze(text(c)), lambda t: _take(t, MIX, MIX_DASH)["rest"])
     return strip_chars(sub(cut, rf"{S}+", " "), r" \-–")
 
 
@@ -220,9 +252,13 @@ def split_artists(c: Column) -> Column:
 def format_artists(names: Column) -> Column:
     """A; A & B; A, B & C."""
     kept = F.filter(F.transform(names, lambda n: strip(text(n))), lambda n: n != "")
-    n = F.size(kept)
-    several = F.concat(F.array_join(F.slice(kept, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" & "), F.element_at(kept, -1))
-    return F.when(n == 0, "").when(n == 1, F.get(kept, F.lit(0))).otherwise(several)
+
+    def line(k: Column) -> Column:
+        n = F.size(k)
+        several = F.concat(F.array_join(F.slice(k, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" & "), F.element_at(k, -1))
+        return F.when(n == 0, "").when(n == 1, F.get(k, F.lit(0))).otherwise(several)
+
+    return let(kept, line)
 
 
 # --- keys for comparison
@@ -274,8 +310,8 @@ def is_non_label(c: Column) -> Column:
 
 
 def variant_mismatch(query: Column, matched: Column) -> Column:
-    q, m = fold(query), fold(matched)
-    return reduce(lambda a, b: a | b, [F.contains(m, F.lit(w)) & ~F.contains(q, F.lit(w)) for w in vocab.VARIANT_WORDS])
+    new = lambda x: reduce(lambda a, b: a | b, [F.contains(x["m"], F.lit(w)) & ~F.contains(x["q"], F.lit(w)) for w in vocab.VARIANT_WORDS])
+    return let(F.struct(fold(query).alias("q"), fold(matched).alias("m")), new)
 
 
 # --- links, genres, dates, credits

@@ -98,8 +98,7 @@ def album_choice(candidates: DataFrame, artists: DataFrame, ranking: DataFrame)
     pool = pool.withColumn("titled", F.max(has).over(track))
     place = F.struct(-F.count(F.when(has, 1)).over(group), F.min("rank").over(group), F.min("first_album.ord").over(group))
     pool = pool.where(has | ~F.col("titled")).withColumn("place", F.when(has, place)).withColumn("best", F.min("place").over(track))
-    title = T.fold(F.col("album"))
-    deluxe = reduce(lambda a, b: a | b, [F.contains(title, F.lit(w)) for w in vocab.DELUXE_WORDS])
+    deluxe = T.let(T.fold(F.col("album")), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in vocab.DELUXE_WORDS]))
     unnumbered = ~F.rlike("album", F.lit(T.NUMBER_TAIL))
     edition = (~deluxe, unnumbered, F.col("rank"), F.col("first_album.ord"))
     untitled = (F.lit(0), ~F.col("is_ranked"), F.when(F.col("is_ranked"), F.col("rank")).otherwise(0), F.col("first"))
