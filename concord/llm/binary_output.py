@@ -3,10 +3,10 @@
 All documents' ids, in ascending order of doc_id, form one long row of ids; each part of it goes to one
 pair of files in the shared folder:
 
-- ids-<part>.arrow: record batches with ``ids fixed_size_list<uint32>[length]`` and ``mask
-  fixed_size_list<uint8>[length]`` (1 for an id, 0 for the padding that fills a part's last sequence).
-  A batch's buffers are plain arrays of batch x length values, so a memory-mapped reader takes any
-  sequence, or any run of ids, without copying or decoding.
+- ids-<part>.arrow: record batches with ``ids fixed_size_list<uint16 or uint32>[length]`` (the narrower
+  where the vocabulary fits) and ``mask fixed_size_list<bool>[length]`` (true for an id, false for the
+  padding that fills a part's last sequence). A batch's buffers are plain arrays of batch x length
+  values, so a memory-mapped reader takes any sequence, or any run of ids, without copying or decoding.
 - docs-<part>.arrow: ``doc_id, start, n_tokens`` of each document; ``start`` counts from the part's first id.
 
 Defined cases: a null text counts as empty; an empty text has the end id alone; rows that repeat a
@@ -38,8 +38,8 @@ def _local(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def _sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _sequence_schema(length: int, narrow: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint16() if narrow else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -48,24 +48,25 @@ DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_toke
 class PartWriter:
     """Writes one part's ids and documents as they come; memory holds one batch of sequences."""
 
-    def __init__(self, folder: str, name: str, length: int, per_batch: int) -> None:
+    def __init__(self, folder: str, name: str, length: int, per_batch: int, narrow: bool) -> None:
+        self.schema, self.narrow = _sequence_schema(length, narrow), narrow
         self.fs, base = _local(folder)
         self.fs.create_dir(base, recursive=True)
         self.ids_path, self.docs_path = f"{folder}/ids-{name}.arrow", f"{folder}/docs-{name}.arrow"
         self.length, self.per_batch = length, per_batch
         self.ids_file, self.docs_file = (self.fs.open_output_stream(f"{base}/{kind}-{name}.arrow") for kind in ("ids", "docs"))
-        self.ids_out = pa.ipc.new_stream(self.ids_file, _sequence_schema(length))
+        self.ids_out = pa.ipc.new_stream(self.ids_file, self.schema)
         self.docs_out = pa.ipc.new_stream(self.docs_file, DOCS_SCHEMA)
         self.kept, self.n_ids, self.n_docs = bytearray(), 0, 0
 
     def _write(self, data: bytes | bytearray, n_ids: int) -> None:
         import numpy as np
 
-        flat = np.frombuffer(bytes(data), dtype="<u4")
-        mask = np.zeros(len(flat), dtype=np.uint8)
-        mask[:n_ids] = 1
+        flat = np.frombuffer(bytes(data), dtype="<u4").astype("<u2" if self.narrow else "<u4", copy=False)
+        mask = np.zeros(len(flat), dtype=bool)
+        mask[:n_ids] = True
         arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
-        self.ids_out.write_batch(pa.record_batch(arrays, schema=_sequence_schema(self.length)))
+        self.ids_out.write_batch(pa.record_batch(arrays, schema=self.schema))
 
     def add(self, doc_ids: list, encoded: list[bytes]) -> None:
         starts, sizes = [], [len(e) // 4 for e in encoded]
@@ -102,16 +103,16 @@ class PartReader:
         self.docs = pa.ipc.open_stream(fs.open_input_file(base)).read_all()
         self.length = ids.schema.field("ids").type.list_size
         self.chunks = [c.flatten().to_numpy(zero_copy_only=True) for c in ids.column("ids").chunks]
-        self.masks = [c.flatten().to_numpy(zero_copy_only=True) for c in ids.column("mask").chunks]
+        self.masks = [c.flatten() for c in ids.column("mask").chunks]
         self.ends = np.cumsum([len(c) for c in self.chunks])
 
     def sequence(self, k: int):
-        """(ids, mask) of the k-th sequence of the part."""
+        """(ids, mask) of the k-th sequence of the part, both views."""
         import numpy as np
 
         i = int(np.searchsorted(self.ends, k * self.length, side="right"))
         at = k * self.length - (int(self.ends[i - 1]) if i else 0)
-        return self.chunks[i][at : at + self.length], self.masks[i][at : at + self.length]
+        return self.chunks[i][at : at + self.length], self.masks[i].slice(at, self.length)
 
     def ids(self, start: int, n: int) -> Iterator:
         """The pieces of a run of ids, each a view of one batch."""
@@ -144,11 +145,12 @@ def write_ids(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, l
         from pyspark import TaskContext
 
         encoder, writer = tokens.encoder(path), None
+        narrow = max(end_id, encoder.tokenizer.get_vocab_size() - 1) < 1 << 16
         for batch in batches:
             if batch.num_rows:
                 if writer is None:
                     part = TaskContext.get().partitionId()
-                    writer = PartWriter(folder, f"{part:06d}-{uuid.uuid4().hex}", length, per_batch)
+                    writer = PartWriter(folder, f"{part:06d}-{uuid.uuid4().hex}", length, per_batch, narrow)
                 encoded = encoder.encode(batch.column("text").to_pylist())
                 writer.add(batch.column("doc_id").to_pylist(), [e + end for e in encoded])
         if writer is not None:
@@ -187,7 +189,7 @@ def read_documents(spark, parts: list[Row]) -> DataFrame:
                     for start, n in zip(docs.column("start").to_pylist(), docs.column("n_tokens").to_pylist(), strict=True):
                         crc = 0
                         for piece in reader.ids(start, n):
-                            crc = zlib.crc32(piece, crc)
+                            crc = zlib.crc32(piece.astype("<u4"), crc)
                         crcs.append(crc)
                     starts = pa.array([s + base for s in docs.column("start").to_pylist()], pa.int64())
                     yield pa.RecordBatch.from_arrays([docs.column("doc_id"), starts, docs.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
