@@ -327,9 +327,10 @@ def upscale_artwork(c: Column) -> Column:
 
 def parse_link(c: Column) -> Column:
     """Struct of provider, kind and identifier; null for links that are not supported."""
-    t = strip(text(c))
-    found = [F.when(F.rlike(t, F.lit(p)), F.struct(F.lit(provider).alias("provider"), F.lit(kind).alias("kind"), group(t, p).alias("identifier"))) for provider, kind, p in LINKS]
-    return F.coalesce(*found)
+    def first(t: Column) -> Column:
+        return F.coalesce(*[F.when(F.rlike(t, F.lit(p)), F.struct(F.lit(provider).alias("provider"), F.lit(kind).alias("kind"), group(t, p).alias("identifier"))) for provider, kind, p in LINKS])
+
+    return let(strip(text(c)), first)
 
 
 def genre_of(label: Column) -> Column:
