@@ -75,7 +75,7 @@ FEW_KEYS = 1_000_000
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs but the rows whose (doc_id, hash of the text) is in gone (doc_id, text_hash); sent to all executors if few, else a shuffled join."""
-    gone = materialize(gone.distinct(), "gone").withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
+    gone = materialize(gone.distinct(), "gone").withColumnsRenamed({"doc_id": "__gone_id", "text_hash": "__gone_hash"})
     if gone.count() <= FEW_KEYS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(whole_text(docs["text"])) == F.col("gone_hash")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone_id")) & (F.xxhash64(whole_text(docs["text"])) == F.col("__gone_hash")), "left_anti")

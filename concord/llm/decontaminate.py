@@ -116,9 +116,9 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
 
 
 def flag(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """All columns of docs but text, with n_words, n_hit and item_ids."""
+    """All columns of docs but text, with n_words, n_hit and item_ids in place of any of these names."""
     found = common.materialize(hits(docs.select("doc_id", "text"), items, span, k), "hits")
-    rows = docs.withColumn("text_hash", F.xxhash64(common.whole_text(F.col("text")))).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).drop("text")
+    rows = docs.drop("n_hit", "item_ids", "hit_doc_id", "hit_text_hash").withColumn("text_hash", F.xxhash64(common.whole_text(F.col("text")))).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).drop("text")
     out = rows.join(found.withColumnsRenamed({"doc_id": "hit_doc_id", "text_hash": "hit_text_hash"}), (rows["doc_id"].eqNullSafe(F.col("hit_doc_id"))) & (rows["text_hash"] == F.col("hit_text_hash")), "left")
     return out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))).drop("hit_doc_id", "hit_text_hash", "text_hash")
 

@@ -161,15 +161,18 @@ def walk(q: np.ndarray, index: Index, wanted: int) -> list[int]:
     return out
 
 
-def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, rough: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """The top of some entries by exact score, ties to the smaller id; rough scores choose what is scored exactly."""
+def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, rough: np.ndarray, top: int, repeats: int) -> tuple[np.ndarray, np.ndarray]:
+    """The top of some entries by exact score, ties to the smaller id, each id once; rough scores choose what is
+    scored exactly. repeats: how many entries share their id with another."""
     keep = np.flatnonzero(ids != query_id)
-    if len(keep) > top:
+    if len(keep) > (most := top + repeats):
         r = rough[keep]
-        keep = keep[r >= np.partition(r, len(r) - top)[len(r) - top] - 1e-9 * (1 + np.abs(r).max())]
+        keep = keep[r >= np.partition(r, len(r) - most)[len(r) - most] - 1e-9 * (1 + np.abs(r).max())]
     score = (x[keep] * q).sum(axis=1)  # row by row in one order, so equal vectors score equally anywhere
-    order = np.lexsort((ids[keep], -score))[:top]
-    return ids[keep][order], score[order]
+    order = np.lexsort((ids[keep], -score))
+    if repeats:
+        order = order[np.sort(np.unique(ids[keep][order], return_index=True)[1])]
+    return ids[keep][order[:top]], score[order[:top]]
 
 
 def search(queries: DataFrame, index: Index, entries: DataFrame, top: int = TOP, probed: float = PROBED) -> DataFrame:
@@ -196,12 +199,13 @@ def search(queries: DataFrame, index: Index, entries: DataFrame, top: int = TOP,
         if len(e) and len(q):
             e = e.sort_values("cell", kind="stable")
             x, ids, cells = np.stack(e["vector"].to_numpy()), e["vec_id"].to_numpy(), e["cell"].to_numpy()
+            repeats = len(ids) - len(np.unique(ids))
             for lo in range(0, len(q), 256):
                 part = q.iloc[lo : lo + 256]
                 rough = np.stack(part["query"].to_numpy()) @ x.T
                 for r, (query_id, vector, probed_cells) in zip(rough, zip(part["query_id"], part["query"], part["cells"], strict=True), strict=True):
                     here = np.isin(cells, probed_cells)
-                    found, score = best(ids[here], x[here], query_id, np.asarray(vector), r[here], top)
+                    found, score = best(ids[here], x[here], query_id, np.asarray(vector), r[here], top, repeats)
                     out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 

@@ -101,7 +101,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """All columns of versions but text, with spans: the rules' spans of its blob by start, then kind as listed."""
+    """All columns of versions but text, with blob and spans in place of any of these names: the rules' spans of its blob by start, then kind as listed."""
     order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
     wanted = None
     for r in rules:
@@ -110,7 +110,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     found = ledger.where(wanted & (F.size("spans") > 0)).dropDuplicates(["blob", "kind"])
     sorted_spans = F.array_sort(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"], order[s["kind"]].alias("rank"), s["end"], s["kind"])))
     per_blob = found.groupBy("blob").agg(F.transform(sorted_spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-    rows = versions.withColumn("blob", blob_of(F.col(text))).drop(text)
+    rows = versions.drop("spans").withColumn("blob", blob_of(F.col(text))).drop(text)
     return rows.join(per_blob, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
@@ -123,11 +123,11 @@ def redact(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for r in RULES for x in (r.kind, r.version)])
     found = ledger.where((F.size("spans") > 0) & (kinds[F.col("kind")] == F.col("rule_version"))).dropDuplicates(["blob", "kind"])
     found = found.groupBy("blob").agg(F.array_sort(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
-    found = common.materialize(found, "blobs-with-secrets")
-    if (found.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= FEW_SPANS:
+    found = common.materialize(found.withColumnsRenamed({"blob": "__blob", "spans": "__spans"}), "blobs-with-secrets")
+    if (found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= FEW_SPANS:
         found = F.broadcast(found)
-    rows = docs.withColumn("blob", blob_of(F.col(text))).join(found, "blob", "left")
-    return rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(mask(F.col(text), F.col("spans")))).select(docs.columns)
+    rows = docs.withColumn("__blob", blob_of(F.col(text))).join(found, "__blob", "left")
+    return rows.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(mask(F.col(text), F.col("__spans")))).select(docs.columns)
 
 
 def joined(spans: Column) -> Column:

@@ -34,6 +34,8 @@ SALTS = 16
 HOT_PARTS = 8
 RECORD_BYTES = 8
 
+#: Columns of documents with these names give way.
+OWN = ("text", "size", "text_crc32", "virtual_slot", "salt", "shard", "slot", "map_version", "version", "n", "before", "nth")
 MAP = "slot int, salt int, shard int, bytes long, rows long, version int"
 
 
@@ -51,7 +53,7 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """docs with size, text_crc32, virtual_slot and salt; the text goes."""
     binary = common.whole_text(F.col("text")).cast("binary")
     return docs.select(
-        *[c for c in docs.columns if c not in ("text", "size", "text_crc32", "virtual_slot", "salt")],
+        *[c for c in docs.columns if c not in OWN],
         (F.octet_length(binary) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(binary).alias("text_crc32"),
         F.pmod(F.xxhash64(F.col("doc_id"), binary), F.lit(slots)).cast("int").alias("virtual_slot"),
