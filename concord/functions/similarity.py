@@ -11,12 +11,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from concord import vocab
 from concord.functions import text as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype=float)
 

@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from concord import vocab
 
@@ -104,7 +105,7 @@ def fold(c: Column) -> Column:
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), SPECIAL_FOLDS.items(), F.translate(F.lower(text(c)), "ſς", "sσ"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

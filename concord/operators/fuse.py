@@ -1,7 +1,7 @@
 """Fusion: one value for each field of each record from what several catalogues say.
 
 Rows come as (track_id, family, field, value, source, ord); ord is the order of arrival and the last tie-break
-everywhere. All steps group by track_id and more, so one exchange on track_id serves them all.
+everywhere. The plan has one exchange of candidates, on track_id: all windows and the last aggregation group by it and more.
 Agreement of two sources outweighs the ranking, in three steps of looser keys; dates, labels, album fields
 and covers have rules of their own.
 """
@@ -32,7 +32,7 @@ def skips_consensus(family: Column, field: Column) -> Column:
     return field.isin(*vocab.JUDGEMENT_FIELDS) | by_family
 
 
-def rank_candidates(candidates: DataFrame, ranking: DataFrame, field: str | None = None) -> DataFrame:
+def rank_candidates(candidates: DataFrame, ranking: DataFrame, field: str | None = None, rank: str = "rank", is_ranked: str = "is_ranked") -> DataFrame:
     """candidates with rank, that of their source for their field (or for a given one), and is_ranked.
 
     An unranked source comes after all ranked ones. The ranking has a few hundred rows: families times fields times sources.
@@ -42,35 +42,39 @@ def rank_candidates(candidates: DataFrame, ranking: DataFrame, field: str | None
     lengths = table.groupBy(*keys[:-1]).agg(F.count("*").cast("int").alias("_n"))
     ranked = table.select(*keys, F.col("rank").alias("_rank"))
     out = candidates.join(F.broadcast(ranked), keys, "left").join(F.broadcast(lengths), keys[:-1], "left")
-    return out.withColumn("is_ranked", F.col("_rank").isNotNull()).withColumn("rank", F.coalesce("_rank", "_n", F.lit(0))).drop("_rank", "_n")
+    return out.withColumn(is_ranked, F.col("_rank").isNotNull()).withColumn(rank, F.coalesce("_rank", "_n", F.lit(0))).drop("_rank", "_n")
 
 
-def consensus(rows: DataFrame) -> DataFrame:
-    """track_id, field, value, source, is_ranked of the winner among ranked rows of one or more fields."""
-    value, field = F.col("value"), F.col("field")
-    keys = F.array(T.key(value), T.key(T.strip_version(value)), T.core_key(field, value))
-    tiers = rows.select(*rows.columns, F.posexplode(keys).alias("tier", "key"))
-    group = Window.partitionBy("track_id", "field", "tier", "key")
-    tier, whole = Window.partitionBy("track_id", "field", "tier"), Window.partitionBy("track_id", "field")
-    tiers = tiers.withColumn("n", F.size(F.collect_set("source").over(group))).withColumn("place", F.struct(-F.col("n"), F.min("rank").over(group), F.min("ord").over(group)))
-    tiers = tiers.withColumn("best", F.min("place").over(tier)).where(F.col("place") == F.col("best"))
-    agrees = F.min(F.when(F.col("n") >= 2, F.col("tier"))).over(whole)
-    chosen = tiers.withColumn("used", F.coalesce(agrees, F.lit(0))).where(F.col("tier") == F.col("used"))
-    longest = F.when(F.col("tier") == 2, -F.length("value")).otherwise(0)
-    return chosen.groupBy("track_id", "field").agg(F.min_by(F.struct("value", "source", "is_ranked"), F.struct(longest, F.col("rank"), F.col("ord"))).alias("w")).select("track_id", "field", "w.*")
+def _order(first: Column | None = None, a: Column | None = None, second: Column | None = None, b: Column | None = None) -> Column:
+    """Keys of one shape for every kind of field; arrival breaks what ties are left."""
+    text = lambda c: F.lit("") if c is None else c
+    number = lambda c: (F.lit(0) if c is None else c).cast("long")
+    return F.struct(text(first).alias("k0"), number(a).alias("k1"), text(second).alias("k2"), number(b).alias("k3"), number(F.col("ord")).alias("k4"))
 
 
-def by_precedence(rows: DataFrame) -> DataFrame:
-    """The first candidate of the best ranked source, else the first of all."""
-    order = F.struct(F.when(F.col("is_ranked"), 0).otherwise(1), F.when(F.col("is_ranked"), F.col("rank")).otherwise(0), F.col("ord"))
-    return rows.groupBy("track_id", "field").agg(F.min_by(F.struct("value", "source", "is_ranked"), order).alias("w")).select("track_id", "field", "w.*")
+def keep_agreed(ranked: DataFrame) -> DataFrame:
+    """Of fields where agreement counts, the candidates of the winning group; of all others every candidate.
 
-
-def earliest_dates(rows: DataFrame) -> DataFrame:
-    """The earliest year; within it the most precise date."""
-    v = T.strip(F.col("value"))
-    order = F.struct(F.substring(v, 1, 4), -F.length(v), v, F.col("ord"))
-    return rows.groupBy("track_id", "field").agg(F.min_by(F.struct("value", "source"), order).alias("w")).select("track_id", "field", "w.*", F.lit("precedence").alias("decided_by"))
+    Adds place, the order of what is kept within its field.
+    """
+    value, field = F.col("value"), F.col("field")
+    plain = ~field.isin(*vocab.ALBUM_GROUP, *vocab.DATE_FIELDS, "artwork_url")
+    agrees = plain & ~skips_consensus(F.col("family"), field)
+    keys = F.when(agrees, F.array(T.key(value), T.key(T.strip_version(value)), T.core_key(field, value))).otherwise(F.array(F.lit("")))
+    tiers = ranked.select(*ranked.columns, agrees.alias("agrees"), F.posexplode(keys).alias("tier", "key"))
+    group = Window.partitionBy("track_id", "field", "tier", "key")
+    tier, whole = Window.partitionBy("track_id", "field", "tier"), Window.partitionBy("track_id", "field")
+    tiers = tiers.withColumn("n", F.size(F.collect_set("source").over(group))).withColumn("group", F.struct(-F.col("n"), F.min("rank").over(group), F.min("ord").over(group)))
+    tiers = tiers.withColumn("best", F.min("group").over(tier)).where(F.col("group") == F.col("best"))
+    lowest = F.min(F.when(F.col("n") >= 2, F.col("tier"))).over(whole)
+    kept = tiers.withColumn("used", F.coalesce(lowest, F.lit(0))).where(F.col("tier") == F.col("used"))
+    trimmed = T.strip(value)
+    place = (
+        F.when(F.col("agrees"), _order(a=F.when(F.col("tier") == 2, -F.length("value")).otherwise(0), b=F.col("rank")))
+        .when(field.isin(*vocab.DATE_FIELDS), _order(F.substring(trimmed, 1, 4), -F.length(trimmed), trimmed))
+        .otherwise(_order(a=F.when(F.col("is_ranked"), 0).otherwise(1), b=F.when(F.col("is_ranked"), F.col("rank")).otherwise(0)))
+    )
+    return kept.withColumn("place", place).drop("agrees", "tier", "key", "n", "group", "best", "used")
 
 
 def is_compilation(credit: Column, artist: Column, family: Column) -> Column:
@@ -82,45 +86,50 @@ def is_compilation(credit: Column, artist: Column, family: Column) -> Column:
     return (T.text(credit) != "") & (named | ((T.text(artist) != "") & ~by_convention & other))
 
 
-def album_choice(candidates: DataFrame, artists: DataFrame, ranking: DataFrame) -> DataFrame:
-    """track_id, album_source, album: whose album fields are taken, and the title there. artists: track_id, artist (the decided one)."""
-    here = candidates.where(F.col("field").isin(*vocab.ALBUM_GROUP) & (F.col("value") != ""))
-    is_album, is_credit = F.col("field") == "album", F.col("field") == "album_artist"
-    offers = here.groupBy("track_id", "family", "source").agg(
-        F.min_by(F.when(is_credit, F.col("value")), F.when(is_credit, F.col("ord"))).alias("credit"), F.min("ord").alias("first"),
-        F.max_by(F.when(is_album, F.col("value")), F.when(is_album, F.col("ord"))).alias("album"),
-        F.min(F.when(is_album, F.struct("ord", "value"))).alias("first_album"),
-    )
-    offers = rank_candidates(offers, ranking, "album").join(artists, "track_id", "left")
-    pool = offers.where(~is_compilation(F.col("credit"), F.col("artist"), F.col("family"))).withColumn("album_key", T.album_key(F.col("album")))
-    group, track = Window.partitionBy("track_id", "album_key"), Window.partitionBy("track_id")
-    has = F.col("album").isNotNull()
-    pool = pool.withColumn("titled", F.max(has).over(track))
-    place = F.struct(-F.count(F.when(has, 1)).over(group), F.min("rank").over(group), F.min("first_album.ord").over(group))
-    pool = pool.where(has | ~F.col("titled")).withColumn("place", F.when(has, place)).withColumn("best", F.min("place").over(track))
-    deluxe = T.let(T.fold(F.col("album")), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in vocab.DELUXE_WORDS]))
-    unnumbered = ~F.rlike("album", F.lit(T.NUMBER_TAIL))
-    edition = (~deluxe, unnumbered, F.col("rank"), F.col("first_album.ord"))
-    untitled = (F.lit(0), ~F.col("is_ranked"), F.when(F.col("is_ranked"), F.col("rank")).otherwise(0), F.col("first"))
-    order = F.struct(*[F.when(F.col("titled"), x.cast("long")).otherwise(y.cast("long")).alias(f"k{i}") for i, (x, y) in enumerate(zip(edition, untitled, strict=True))])
-    winners = pool.where(~F.col("titled") | (F.col("place") == F.col("best")))
-    return winners.groupBy("track_id").agg(F.min_by(F.struct(F.col("source").alias("album_source"), F.col("first_album.value").alias("album")), order).alias("w")).select("track_id", "w.*")
-
-
-def albums_and_covers(candidates: DataFrame, choice: DataFrame, ranking: DataFrame) -> DataFrame:
-    """All album fields of the chosen source, its first value each, and the cover of the release that was chosen.
+def choose_album(kept: DataFrame) -> DataFrame:
+    """kept with own_album, the last of the row's source, and the track's album_source and album, its first title there.
+
+    Sources whose album is a compilation are out. Of the others the group of editions that most sources name
+    wins, and in it the fullest edition; without titles, the best ranked source.
+    """
+    track, by_source = Window.partitionBy("track_id"), Window.partitionBy("track_id", "source")
+    is_album, in_group = F.col("field") == "album", F.col("field").isin(*vocab.ALBUM_GROUP)
+    said = F.struct("ord", "value")
+    rows = kept.withColumns({
+        "artist": F.min(F.when(F.col("field") == "artist", F.struct("place", "value"))).over(track)["value"],
+        "credit": F.min(F.when(F.col("field") == "album_artist", said)).over(by_source)["value"],
+        "last": F.max(F.when(is_album, said)).over(by_source), "first": F.min(F.when(is_album, said)).over(by_source), "since": F.min(F.when(in_group, F.col("ord"))).over(by_source),
+    })
+    rows = rows.withColumn("fits", in_group & ~is_compilation(F.col("credit"), F.col("artist"), F.col("family"))).withColumn("own_key", T.album_key(F.col("last.value")))
+    rows = rows.withColumn("names", F.col("fits") & is_album & (F.col("ord") == F.col("last.ord")))  # one row for each source with a title
+    edition_group = Window.partitionBy("track_id", "own_key")
+    of_names = lambda c: F.when(F.col("names"), c)
+    size = F.struct(-F.count(of_names(F.lit(1))).over(edition_group), F.min(of_names(F.col("album_rank"))).over(edition_group), F.min(of_names(F.col("first.ord"))).over(edition_group))
+    rows = rows.withColumn("size", of_names(size)).withColumn("best", F.min("size").over(track)).withColumn("titled", F.max("names").over(track))
+    deluxe = T.let(T.fold(F.col("last.value")), lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in vocab.DELUXE_WORDS]))
+    edition = (~deluxe, ~F.rlike("last.value", F.lit(T.NUMBER_TAIL)), F.col("album_rank"), F.col("first.ord"))
+    untitled = (F.lit(0), ~F.col("album_ranked"), F.when(F.col("album_ranked"), F.col("album_rank")).otherwise(0), F.col("since"))
+    shown = (F.col("source").alias("source"), F.col("first.value").alias("album"))
+    entry = lambda keys: F.struct(*[k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)], *shown)
+    choice = F.min(F.when(F.col("names") & (F.col("size") == F.col("best")), entry(edition)).when(~F.col("titled") & F.col("fits"), entry(untitled))).over(track)
+    rows = rows.withColumn("choice", choice)
+    return rows.select(*kept.columns, F.col("last.value").alias("own_album"), F.col("choice.source").alias("album_source"), F.col("choice.album").alias("album"))
+
+
+def decide(chosen: DataFrame) -> DataFrame:
+    """DECISION rows: album fields from the album's source, a cover of that release, everything else by place.
 
     A cover comes from a source whose own album is that release, else from the album's source, else by ranking.
     """
-    rows = rank_candidates(candidates.where(F.col("field").isin(*vocab.ALBUM_GROUP, "artwork_url") & (F.col("value") != "")), ranking)
-    own = F.max(F.when(F.col("field") == "album", F.struct("ord", "value"))).over(Window.partitionBy("track_id", "source"))
-    rows = rows.withColumn("own_album", own["value"]).join(choice, "track_id", "left")
-    cover = F.col("field") == "artwork_url"
-    rows = rows.where(cover | (F.col("source") == F.col("album_source")))
+    cover, in_group = F.col("field") == "artwork_url", F.col("field").isin(*vocab.ALBUM_GROUP)
+    of_source = F.coalesce(F.col("source") == F.col("album_source"), F.lit(False))
     same = (T.text("album") != "") & (T.album_key(F.col("own_album")) == T.album_key(F.col("album")))
-    tier = F.when(~cover, 0).when(same, 0).when(F.col("source") == F.col("album_source"), 1).otherwise(2)
-    order = F.struct(tier, F.when(~cover | (tier == 1), 0).otherwise(F.col("rank")), F.col("ord"))
-    return rows.groupBy("track_id", "field").agg(F.min_by(F.struct("value", "source"), order).alias("w")).select("track_id", "field", "w.*", F.lit("precedence").alias("decided_by"))
+    tier = F.when(same, 0).when(of_source, 1).otherwise(2)
+    rows = chosen.where(~in_group | of_source).withColumn("tier", F.when(cover, tier).otherwise(0))
+    order = F.when(in_group, _order()).when(cover, _order(a=F.col("tier"), b=F.when(F.col("tier") == 1, 0).otherwise(F.col("rank")))).otherwise(F.col("place"))
+    won = rows.groupBy("track_id", "field").agg(F.min_by(F.struct("value", "source", "is_ranked"), order).alias("w")).select("track_id", "field", "w.*")
+    own_rule = F.col("field").isin(*vocab.ALBUM_GROUP, *vocab.DATE_FIELDS, "artwork_url")
+    return won.select("track_id", "field", "value", "source", F.when(own_rule | F.col("is_ranked"), "precedence").otherwise("fallback").alias("decided_by"))
 
 
 def carry_features(decisions: DataFrame) -> DataFrame:
@@ -133,27 +142,16 @@ def carry_features(decisions: DataFrame) -> DataFrame:
     return rows.withColumn("value", title).select(*decisions.columns)
 
 
-def agreed_or_ranked(rows: DataFrame, ranking: DataFrame) -> DataFrame:
-    """Decisions of all fields but albums, dates and covers."""
-    ranked = rank_candidates(rows, ranking)
-    plain = ranked.where(~F.col("field").isin(*vocab.ALBUM_GROUP, *vocab.DATE_FIELDS, "artwork_url")).where((F.col("field") != "label") | ~T.is_non_label(F.col("value")))
-    skip = skips_consensus(F.col("family"), F.col("field"))
-    how = F.when(F.col("is_ranked"), "precedence").otherwise("fallback").alias("decided_by")
-    return consensus(plain.where(~skip)).unionByName(by_precedence(plain.where(skip))).select("track_id", "field", "value", "source", how)
-
-
-def decided_artists(rows: DataFrame, ranking: DataFrame) -> DataFrame:
-    """track_id, artist; takes the candidates of this one field."""
-    return agreed_or_ranked(rows.where(F.col("field") == "artist"), ranking).select("track_id", F.col("value").alias("artist"))
+def with_albums(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
+    """Non-empty candidates, ranked and narrowed by agreement, with the track's album choice."""
+    rows = candidates.withColumn("value", T.text("value")).where((F.col("value") != "") & ((F.col("field") != "label") | ~T.is_non_label(F.col("value"))))
+    ranked = rank_candidates(rows.repartition("track_id"), ranking)
+    return choose_album(keep_agreed(rank_candidates(ranked, ranking, "album", "album_rank", "album_ranked")))
 
 
 def arbitrate(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
     """DECISION rows, one for each field of each track. candidates: track_id, family, field, value, source, ord."""
-    rows = candidates.withColumn("value", T.text("value")).where("value <> ''").repartition("track_id")
-    won = agreed_or_ranked(rows, ranking)
-    dates = earliest_dates(rows.where(F.col("field").isin(*vocab.DATE_FIELDS)))
-    choice = album_choice(rows, decided_artists(rows, ranking), ranking)
-    return carry_features(won.unionByName(dates).unionByName(albums_and_covers(rows, choice, ranking)).select(*DECISION))
+    return carry_features(decide(with_albums(candidates, ranking)))
 
 
 def rearbitrate(candidates: DataFrame, ranking: DataFrame, before: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def fuse_persist(spark, sf_dir):
 
 
 def fuse_album_source(spark, sf_dir):
-    rows, ranking = _candidates(spark, sf_dir).repartition("track_id"), vocab.default_ranking(spark)
-    return fuse.album_choice(rows, fuse.decided_artists(rows, ranking), ranking).select("track_id", "album_source")
+    rows = fuse.with_albums(_candidates(spark, sf_dir), vocab.default_ranking(spark))
+    return rows.where("album_source is not null").select("track_id", "album_source").distinct()
 
 
 def _values(rows) -> str:
