@@ -10,10 +10,10 @@
 3. Candidates are confirmed on full sets of shingle hashes: first each node's BEST by sketch, then what
    still would join two components.
 4. Larger regions, and those cut by a partition's end, are gone through again wherever components still
-   differ: all nodes outside a region's largest component are compared by sketch with all nodes of other
-   components there, so a region loses no pair by its size. A region with too many such comparisons is
-   taken at greater depth first (adaptive depth), at DEPTH as it is; a pair must then agree further in one
-   of the trees.
+   differ. Nodes outside a region's largest component are compared in full with all of that component, in
+   blocks, and by sketch with each other, so a region loses no pair by its size. A region with too many
+   such nodes is taken at greater depth first (adaptive depth), at DEPTH as it is; a pair of them must
+   then agree further in one of the trees.
 
 Two sets of similarity s share a region in some tree with probability 1 - (1 - s ** LEAST_DEPTH) ** TREES:
 0.99997 at 0.8.
@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,9 @@ SMALL, NEAR, BEST = 8, 2, 4
 #: Bits of a sketch that may differ: at similarity 0.8 a tenth differs on average, 3.4 deviations more are let through.
 MOST_BITS = 33
 #: Comparisons of one region before it is taken at greater depth.
-REGION_WORK = 1 << 23
+REGION_WORK = 1 << 22
+#: Shingles of a component's block: 8 MB.
+BLOCK = 1 << 20
 #: Ids that are sent to all executors at most, 16 MB.
 FEW_IDS = 1_000_000
 
@@ -256,28 +259,69 @@ def _bits(x: str, y: str) -> Column:
     return total
 
 
-def _again(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components in the regions of members that sketches don't rule out."""
+def _again(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What regions leave to be compared: (a, b) of nodes outside their region's largest component, as sketches
+    allow, and (node, component) of such nodes with that component."""
     rows = members.join(found, members["a"] == found["node"], "left").select(members["a"], "tree", "label", *SKETCH, F.coalesce("component", "a").alias("component"))
     rows = common.materialize(rows, "region-rows")
-    out = None
+    pairs = mains = None
     for depth in (*range(LEAST_DEPTH, DEPTH, 2), DEPTH):
         keyed = rows.withColumn("region", F.substring("label", 1, 2 * depth))
         sizes = keyed.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
         regions = sizes.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
-        mixed = regions.select("tree", "region", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("main")).where("others > 0")
-        work = F.col("n") * F.col("others")
-        mixed = common.materialize(mixed.withColumn("now", (work <= REGION_WORK) | F.lit(depth == DEPTH)), "regions")
-        here = keyed.join(mixed, ["tree", "region"])
-        m, o = here.where("now").alias("m"), here.where(F.col("now") & (F.col("component") != F.col("main"))).alias("o")
-        apart = (F.col("m.component") != F.col("o.component")) & (_bits("m", "o") <= MOST_BITS)
-        pairs = o.join(m, (F.col("m.tree") == F.col("o.tree")) & (F.col("m.region") == F.col("o.region")) & apart)
-        pairs = pairs.select(F.least("m.a", "o.a").alias("a"), F.greatest("m.a", "o.a").alias("b"))
-        out = pairs if out is None else out.union(pairs)
+        mixed = regions.select("tree", "region", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("main")).where("others > 0")
+        mixed = common.materialize(mixed.withColumn("now", (F.col("others") * F.col("others") <= REGION_WORK) | F.lit(depth == DEPTH)), "regions")
+        others = common.materialize(keyed.join(mixed, ["tree", "region"]).where(F.col("component") != F.col("main")), "region-others")
+        x, y = others.where("now").alias("x"), others.where("now").alias("y")
+        apart = (F.col("x.component") < F.col("y.component")) & (_bits("x", "y") <= MOST_BITS)
+        here = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.region") == F.col("y.region")) & apart)
+        here = here.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
+        main = others.select(F.col("a").alias("node"), F.col("main").alias("component"))
+        pairs, mains = (here, main) if pairs is None else (pairs.union(here), mains.union(main))
         if mixed.where(~F.col("now")).isEmpty():
             break
-        rows = common.materialize(here.where(~F.col("now")).select(*rows.columns), "region-rows")
-    return out.distinct()
+        rows = common.materialize(others.where(~F.col("now")).select(*rows.columns), "region-rows")
+    return pairs.distinct(), mains.distinct()
+
+
+def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """One link (a, b) for each node of wanted (node, component) and block of the component that holds a similar set.
+
+    Components and the nodes that ask are dealt into blocks of BLOCK shingles; a task holds one block of either and
+    finds all intersections through the shingles' places, so no pair of texts is a row.
+    """
+    size = F.size("shingles").cast("long")
+    parts = lambda total: F.ceil(F.col(total) / BLOCK).cast("int")
+    asking = wanted.join(sets, "node").select("component", "node", "shingles")
+    held = found.join(wanted.select("component").distinct(), "component", "left_semi").join(sets, "node").select("component", "node", "shingles")
+    n_asking = asking.groupBy("component").agg(F.sum(size).alias("total")).select("component", parts("total").alias("asking_parts"))
+    n_held = held.groupBy("component").agg(F.sum(size).alias("total")).select("component", parts("total").alias("held_parts"))
+    dealt = common.materialize(n_asking.join(n_held, "component"), "component-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = asking.join(dealt, "component").withColumn("p", own("asking_parts")).withColumn("q", every("held_parts")).select("component", "p", "q", "node", "shingles")
+    right = held.join(dealt, "component").withColumn("q", own("held_parts")).withColumn("p", every("asking_parts"))
+    right = right.select(F.col("component").alias("c2"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("node").alias("member"), F.col("shingles").alias("member_set"))
+
+    def links(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(there):
+            nodes, sizes = there["member"].to_numpy(), there["member_set"].map(len).to_numpy()
+            shingles = np.concatenate(there["member_set"].to_numpy())
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], np.repeat(np.arange(len(nodes)), sizes)[order]
+            for node, own_set in zip(asked["node"], asked["shingles"], strict=True):
+                lo, hi = np.searchsorted(shingles, own_set, side="left"), np.searchsorted(shingles, own_set, side="right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(nodes))
+                good = np.flatnonzero((100 * both >= threshold * (len(own_set) + sizes - both)) & (nodes != node))
+                if len(good):
+                    out.append((min(node, nodes[good[0]]), max(node, nodes[good[0]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    found_links = left.groupBy("component", "p", "q").cogroup(right.groupBy("c2", "p2", "q2")).applyInPandas(links, "a long, b long")
+    return common.materialize(found_links, "confirmed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -297,7 +341,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     found = graph.components(links)
     links = links.union(confirm(_across(pairs, found), shingles, threshold))
     found = graph.components(links)
-    links = links.union(confirm(_again(members, found), shingles, threshold))
+    others, mains = _again(members, found)
+    links = links.union(confirm(others, shingles, threshold)).union(_into_components(mains, found, shingles, threshold))
     found = graph.components(links)
     of_set = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     rows = signed.select("doc_id", "text_hash", "set_hash", "n_shingles").join(of_set, "set_hash", "left")
