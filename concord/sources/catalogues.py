@@ -122,7 +122,7 @@ def with_isrc_first(rows: DataFrame, query: Sequence[str], isrc: str = "isrc") -
 
 
 def _credit(c: Column) -> Column:
-    return F.transform(c, lambda x: F.struct(F.when(T.text(x["name"]) != "", x["name"]).otherwise(x["artist"]["name"]).alias("name"), x["joinphrase"].alias("joinphrase")))
+    return F.transform(c, lambda x: F.named_struct(F.lit("name"), F.coalesce(F.nullif(x["name"], F.lit("")), x["artist"]["name"]), F.lit("joinphrase"), x["joinphrase"]))
 
 
 def releases_of(rows: DataFrame, keys: Sequence[str], recording: str = "recording") -> DataFrame:
