@@ -293,7 +293,9 @@ def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, thres
     size = F.size("shingles").cast("long")
     parts = lambda total: F.ceil(F.col(total) / BLOCK).cast("int")
     asking = wanted.join(sets, "node").select("component", "node", "shingles")
-    held = found.join(wanted.select("component").distinct(), "component", "left_semi").join(sets, "node").select("component", "node", "shingles")
+    # A component of one node is in no link, so found lacks it: its only member is the node that it is named by.
+    members = wanted.select("component").distinct().join(found.select("component", "node"), "component", "left").select("component", F.coalesce("node", "component").alias("node"))
+    held = members.join(sets, "node").select("component", "node", "shingles")
     n_asking = asking.groupBy("component").agg(F.sum(size).alias("total")).select("component", parts("total").alias("asking_parts"))
     n_held = held.groupBy("component").agg(F.sum(size).alias("total")).select("component", parts("total").alias("held_parts"))
     dealt = common.materialize(n_asking.join(n_held, "component"), "component-blocks")

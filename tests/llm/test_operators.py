@@ -203,6 +203,27 @@ def test_nodes_outside_a_large_component_are_compared_in_full(spark):
     assert {b for _, b in links} == {35, 39} and all(39 - a <= 11 or b == 35 for a, b in links)
 
 
+def template_texts(n, seed):
+    """n texts that differ from one template in 33 words each, so any two are at about 0.77, and a twin of each, which shares 15 of them: at about 0.82."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(2000)]
+    grid = range(2, 1998, 4)  # no shingle holds two changed words
+
+    def some(k, but=()):
+        return {int(i): f"z{rng.integers(1 << 40)}" for i in rng.choice([i for i in grid if i not in but], k, replace=False)}
+
+    first = [some(33) for _ in range(n)]
+    twins = [dict(list(c.items())[:15]) | some(18, c) for c in first]
+    return [[" ".join(c.get(i, w) for i, w in enumerate(base)) for c in both] for both in (first, twins)]
+
+
+def test_lone_text_of_the_largest_id_is_compared(spark):
+    texts, twins = template_texts(60, 1)
+    texts.append(twins[17])  # in no tree among the nearest of its like
+    got = sorted(near_duplicates.near_duplicates(documents(spark, texts), 4).collect())
+    assert [r.component_id for r in got] == brute_components(texts, 4)[1] == [*range(60), 17]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
