@@ -11,9 +11,9 @@
    still would join two components.
 4. Larger regions, and those cut by a partition's end, are gone through again wherever components still
    differ. Nodes outside a region's largest component are compared in full with all of that component, in
-   blocks, and by sketch with each other, so a region loses no pair by its size. A region with too many
-   such nodes is taken at greater depth first (adaptive depth), at DEPTH as it is; a pair of them must
-   then agree further in one of the trees.
+   blocks, and by sketch with each other, so a region loses no pair by its size. In a region with too many
+   such nodes for rows of pairs, they are compared with each other in blocks too, whose number grows with
+   the square of theirs.
 
 Two sets of similarity s share a region in some tree with probability 1 - (1 - s ** LEAST_DEPTH) ** TREES:
 0.99997 at 0.8.
@@ -43,7 +43,7 @@ VALUES = 192
 SMALL, NEAR, BEST = 8, 2, 4
 #: Bits of a sketch that may differ: at similarity 0.8 a tenth differs on average, 3.4 deviations more are let through.
 MOST_BITS = 33
-#: Comparisons of one region before it is taken at greater depth.
+#: Comparisons of one region before its nodes are compared in blocks.
 REGION_WORK = 1 << 22
 #: Shingles of a component's block: 8 MB.
 BLOCK = 1 << 20
@@ -259,29 +259,70 @@ def _bits(x: str, y: str) -> Column:
     return total
 
 
-def _again(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _again(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What regions leave to be compared: (a, b) of nodes outside their region's largest component, as sketches
-    allow, and (node, component) of such nodes with that component."""
-    rows = members.join(found, members["a"] == found["node"], "left").select(members["a"], "tree", "label", *SKETCH, F.coalesce("component", "a").alias("component"))
-    rows = common.materialize(rows, "region-rows")
-    pairs = mains = None
-    for depth in (*range(LEAST_DEPTH, DEPTH, 2), DEPTH):
-        keyed = rows.withColumn("region", F.substring("label", 1, 2 * depth))
-        sizes = keyed.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
-        regions = sizes.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
-        mixed = regions.select("tree", "region", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("main")).where("others > 0")
-        mixed = common.materialize(mixed.withColumn("now", (F.col("others") * F.col("others") <= REGION_WORK) | F.lit(depth == DEPTH)), "regions")
-        others = common.materialize(keyed.join(mixed, ["tree", "region"]).where(F.col("component") != F.col("main")), "region-others")
-        x, y = others.where("now").alias("x"), others.where("now").alias("y")
-        apart = (F.col("x.component") < F.col("y.component")) & (_bits("x", "y") <= MOST_BITS)
-        here = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.region") == F.col("y.region")) & apart)
-        here = here.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-        main = others.select(F.col("a").alias("node"), F.col("main").alias("component"))
-        pairs, mains = (here, main) if pairs is None else (pairs.union(here), mains.union(main))
-        if mixed.where(~F.col("now")).isEmpty():
-            break
-        rows = common.materialize(others.where(~F.col("now")).select(*rows.columns), "region-rows")
-    return pairs.distinct(), mains.distinct()
+    allow, (node, component) of such nodes with that component, and (tree, region, node, own) of such nodes, with the
+    component that each is in, where they are too many for pairs."""
+    keyed = members.join(found, members["a"] == found["node"], "left")
+    keyed = common.materialize(keyed.select(members["a"], "tree", F.substring("label", 1, 2 * LEAST_DEPTH).alias("region"), *SKETCH, F.coalesce("component", "a").alias("component")), "region-rows")
+    sizes = keyed.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+    mixed = regions.select("tree", "region", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("main")).where("others > 0")
+    mixed = mixed.withColumn("few", F.col("others") * F.col("others") <= REGION_WORK)
+    others = common.materialize(keyed.join(mixed, ["tree", "region"]).where(F.col("component") != F.col("main")), "region-others")
+    x, y = others.where("few").alias("x"), others.where("few").alias("y")
+    apart = (F.col("x.component") < F.col("y.component")) & (_bits("x", "y") <= MOST_BITS)
+    pairs = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.region") == F.col("y.region")) & apart)
+    pairs = pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
+    mains = others.select(F.col("a").alias("node"), F.col("main").alias("component"))
+    many = others.where(~F.col("few")).select("tree", "region", F.col("a").alias("node"), F.col("component").alias("own"))
+    return pairs.distinct(), mains.distinct(), many
+
+
+def _within_regions(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join all nodes of many (tree, region, node, own) that a chain of similar sets joins within a region.
+
+    A region is dealt into blocks of BLOCK shingles; a task holds two blocks, or one, compares sketches and then
+    full sets, and keeps one link for each two groups that it joins, so no pair of texts is a row. A pair is compared
+    in the first tree that has it in one region; the forest or _again() have seen to it if that region is smaller.
+    """
+    if many.isEmpty():
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    roots = F.transform("labels", lambda x: F.substring(x, 1, 2 * LEAST_DEPTH))
+    rows = many.join(nodes.select("node", *SKETCH, roots.alias("roots")), "node").join(sets, "node")
+    total = rows.groupBy("tree", "region").agg(F.sum(F.size("shingles").cast("long")).alias("total"))
+    parts = total.select("tree", "region", F.ceil(F.col("total") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(parts, ["tree", "region"]).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"p": F.least("own_part", "other_part"), "q": F.greatest("own_part", "other_part")})
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["own_part", "node"], kind="stable")
+        tree, nodes, component = int(group["tree"].iloc[0]), group["node"].to_numpy(), group["own"].to_numpy().copy()
+        sketch = group[SKETCH].to_numpy()
+        label = np.frombuffer(b"".join(x for labels in group["roots"] for x in labels), dtype=">u8").reshape(len(nodes), TREES)
+        own_sets, sizes = group["shingles"].to_numpy(), group["shingles"].map(len).to_numpy()
+        n_left = int((group["own_part"] == group["p"]).sum())
+        one = bool(group["p"].iloc[0] == group["q"].iloc[0])
+        out = []
+        for i in range(n_left):
+            lo = i + 1 if one else n_left
+            near = np.bitwise_count((sketch[lo:] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= MOST_BITS
+            at = lo + np.flatnonzero(near & (component[lo:] != component[i]))
+            at = at[~(label[at, :tree] == label[i, :tree]).any(axis=1)]
+            if not len(at):
+                continue
+            theirs, mine = np.concatenate(own_sets[at]), own_sets[i]
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+            for j in at[100 * both >= threshold * (sizes[i] + sizes[at] - both)]:
+                if component[j] != component[i]:
+                    out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    component[component == component[j]] = component[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = rows.withColumn("shingles", F.array_sort("shingles"))
+    return common.materialize(rows.groupBy("tree", "region", "p", "q").applyInPandas(links, "a long, b long"), "confirmed")
 
 
 def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -343,8 +384,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     found = graph.components(links)
     links = links.union(confirm(_across(pairs, found), shingles, threshold))
     found = graph.components(links)
-    others, mains = _again(members, found)
+    others, mains, many = _again(members, found)
     links = links.union(confirm(others, shingles, threshold)).union(_into_components(mains, found, shingles, threshold))
+    links = links.union(_within_regions(many, nodes, shingles, threshold))
     found = graph.components(links)
     of_set = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     rows = signed.select("doc_id", "text_hash", "set_hash", "n_shingles").join(of_set, "set_hash", "left")

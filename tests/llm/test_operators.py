@@ -224,6 +224,24 @@ def test_lone_text_of_the_largest_id_is_compared(spark):
     assert [r.component_id for r in got] == brute_components(texts, 4)[1] == [*range(60), 17]
 
 
+def test_large_regions_lose_no_pair(spark, monkeypatch):
+    texts = [t for both in zip(*template_texts(40, 1), strict=True) for t in both]
+    label = lambda i: (7).to_bytes(8) + i.to_bytes(8)  # noqa: E731  (one region whose labels agree in LEAST_DEPTH values alone)
+    schema = f"a long, b long, bits int, tree int, label binary, {', '.join(f'{s} long' for s in near_duplicates.SKETCH)}"
+
+    def forest(nodes):
+        sketch = {r.node: r for r in nodes.collect()}
+        return nodes.sparkSession.createDataFrame([(i, None, None, 0, label(i), *[r[s] for s in near_duplicates.SKETCH]) for i, r in sketch.items()], schema)
+
+    monkeypatch.setattr(near_duplicates, "forest", forest)
+    expected = brute_components(texts, 4)[1]
+    assert len(set(expected)) == 40
+    for work, block in ((1 << 22, 1 << 20), (0, 1 << 20), (0, 1 << 14)):
+        monkeypatch.setattr(near_duplicates, "REGION_WORK", work)
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        assert [r.component_id for r in sorted(near_duplicates.near_duplicates(documents(spark, texts), 4).collect())] == expected
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
