@@ -1,5 +1,6 @@
 """The training-data operators against brute force, SQL, round trips and planted cases."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -224,6 +225,13 @@ def test_lone_text_of_the_largest_id_is_compared(spark):
     assert [r.component_id for r in got] == brute_components(texts, 4)[1] == [*range(60), 17]
 
 
+def test_sketches_lose_less_than_the_forest():
+    n, s, m = near_duplicates.VALUES, near_duplicates.THRESHOLD / 100, near_duplicates.MOST_BITS
+    differ = (1 - s) / 2
+    beyond = sum(math.comb(n, k) * differ**k * (1 - differ) ** (n - k) for k in range(m + 1, n + 1))
+    assert beyond < (1 - s**near_duplicates.LEAST_DEPTH) ** near_duplicates.TREES
+
+
 def test_large_regions_lose_no_pair(spark, monkeypatch):
     texts = [t for both in zip(*template_texts(40, 1), strict=True) for t in both]
     label = lambda i: (7).to_bytes(8) + i.to_bytes(8)  # noqa: E731  (one region whose labels agree in LEAST_DEPTH values alone)
