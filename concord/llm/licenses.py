@@ -114,10 +114,20 @@ def postfix(tokens: list[str]) -> list[str]:
     return out
 
 
+def _group(alternatives: list[frozenset[str]]) -> frozenset[str]:
+    """Alternatives as one set of what must be met: the only one itself, else a text in parentheses."""
+    return alternatives[0] if len(alternatives) == 1 else frozenset([f"({_text(alternatives)})"])
+
+
+def _text(alternatives: list[frozenset[str]]) -> str:
+    return " or ".join(sorted(" and ".join(sorted(s)) for s in alternatives))
+
+
 def evaluate(order: list[str]) -> tuple[list[frozenset[str]], list[str]]:
     """(alternatives, identifiers): each alternative is a set of licenses that must all be met.
 
-    More than 64 alternatives are not multiplied out; they fold into one set of all.
+    More than 64 alternatives are not multiplied out: they stay two groups in parentheses, both of which must be
+    met, and what holds a group is not multiplied out either, so the text doesn't grow with the product.
     """
     stack: list[list[frozenset[str]]] = []
     names: list[str] = []
@@ -127,7 +137,9 @@ def evaluate(order: list[str]) -> tuple[list[frozenset[str]], list[str]]:
             if token == "or":
                 both = list(dict.fromkeys(a + b))
             elif token == "and":
-                both = list(dict.fromkeys(x | y for x in a for y in b)) if len(a) * len(b) <= 64 else [frozenset().union(*a, *b)]
+                grouped = any(x.startswith("(") for s in a + b for x in s)
+                multiply = len(a) * len(b) <= (1 if grouped else 64)
+                both = list(dict.fromkeys(x | y for x in a for y in b)) if multiply else [_group(a) | _group(b)]
             else:
                 exception = "+".join(sorted(set().union(*b)))
                 both = [frozenset(f"{x} with {exception}" for x in s) for s in a]
@@ -188,7 +200,7 @@ class Scanner:
                 alternatives, names = evaluate(postfix(tokenize(rest)))
                 if names:
                     labels.update(names)
-                    expressions.append(" or ".join(sorted(" and ".join(sorted(s)) for s in alternatives)))
+                    expressions.append(_text(alternatives))
         strength += 2 * len(expressions)
         return Found(len(words), n_base, starts[0] if starts else None, starts[-1] if starts else None, tuple(sorted(base)), tuple(sorted(labels)), 1 - 0.5**strength, tuple(expressions))
 
