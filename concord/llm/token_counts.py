@@ -13,8 +13,9 @@ is committed again. A batch whose marker is there is not applied again, so a rep
 nothing. Each batch has a number; state is the row of the largest committed number for each doc_id.
 
 Within a batch the last change of a doc_id counts, by column seq if there is one, else by a hash of the row. Defined
-cases: a null text counts as empty; null source, lang or doc_id are values of their own; deleting what
-isn't there changes nothing; empty batches are committed as such; other columns are ignored.
+cases: a null text counts as empty; null source or lang are values of their own; rows with a null doc_id are
+documents one by one, which nothing later can revise or delete; deleting what isn't there changes nothing;
+empty batches are committed as such; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,12 +90,13 @@ class Rollups:
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
             text.alias("text"), op.alias("op"), F.xxhash64(text).alias("text_hash"),
             (F.col("seq").cast("long") if "seq" in columns else F.lit(0).cast("long")).alias("seq"),
+            F.when(F.col("doc_id").cast("long").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")).alias("unnamed"),
         )
         # Tokens are counted before documents are brought together, so only counts are shuffled.
         new = counted(rows, self.tokenizer_path).withColumn("tie", F.xxhash64("text_hash", "source", "lang", "op"))
-        last = new.groupBy("doc_id").agg(F.max_by(F.struct("source", "lang", "tokens", "bytes", "text_hash", "op"), F.struct("seq", "tie")).alias("n")).select("doc_id", "n.*")
-        old = self.state().where(F.col("live")).select("doc_id", *[F.col(c).alias(f"old_{c}") for c in (*KEYS, "tokens", "bytes")], F.lit(True).alias("was"))
-        both = last.withColumnRenamed("doc_id", "new_doc_id").join(old, F.col("new_doc_id").eqNullSafe(F.col("doc_id")), "left")
+        last = new.groupBy("doc_id", "unnamed").agg(F.max_by(F.struct("source", "lang", "tokens", "bytes", "text_hash", "op"), F.struct("seq", "tie")).alias("n")).select("doc_id", "unnamed", "n.*")
+        old = self.state().where(F.col("live")).select("doc_id", *[F.col(c).alias(f"old_{c}") for c in (*KEYS, "tokens", "bytes")], F.lit(True).alias("was"), F.lit(-1).cast("long").alias("named"))
+        both = last.withColumnRenamed("doc_id", "new_doc_id").join(old, (F.col("new_doc_id") == F.col("doc_id")) & (F.col("unnamed") == F.col("named")), "left")
         changed = common.materialize(both.select(
             F.col("new_doc_id").alias("doc_id"), "source", "lang", F.lit(self.tokenizer).alias("tokenizer"), "tokens", "bytes", "text_hash",
             (F.col("op") != "delete").alias("live"), F.lit(batch).cast("long").alias("batch"), F.coalesce("was", F.lit(False)).alias("was"), *[f"old_{c}" for c in (*KEYS, "tokens", "bytes")],
@@ -103,7 +105,7 @@ class Rollups:
         minus = changed.where("was").select(*[F.col(f"old_{k}").alias(k) for k in KEYS], F.lit(-1).cast("long").alias("sign"), (-F.col("old_tokens")).alias("tokens"), (-F.col("old_bytes")).alias("bytes"))
         delta = plus.unionByName(minus).groupBy(*KEYS).agg(F.sum("sign").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
         delta.write.mode("overwrite").parquet(f"{self.folder}/delta/batch={batch}")
-        changed.select(*[c.split()[0] for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch}")
+        changed.where("doc_id IS NOT NULL").select(*[c.split()[0] for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch}")
         self.spark.range(1).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/commits/batch={batch}")
         return True
 
@@ -115,9 +117,15 @@ class Rollups:
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as batch 1; the batch is delivered twice, as after a lost answer, and counts once."""
+    """All documents as they are, in the last of three batches, which is delivered twice, as after a lost answer.
+
+    Before it, each document is inserted with other values, and then deleted or revised, so the batches insert,
+    delete, insert again and revise over the whole table; the totals are those of the documents as they are.
+    """
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    named = docs.where("doc_id IS NOT NULL").select("doc_id", F.lit("earlier").alias("source"), "lang", F.col("source").alias("text"))
+    revised = named.withColumns({"source": F.lit("revised"), "op": F.when(F.xxhash64("doc_id") % 2 == 0, "delete").otherwise("upsert")})
     rollups = Rollups(spark, common.fresh_path(spark, "token-rollups"))
-    rollups.commit(1, docs)
-    rollups.commit(1, docs)
+    for batch, changes in ((1, named), (2, revised), (3, docs), (3, docs)):
+        rollups.commit(batch, changes)
     return rollups.totals()

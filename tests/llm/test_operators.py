@@ -353,6 +353,25 @@ def test_rollups(spark, encoder, tmp_path):
     assert r.commit(5, spark.createDataFrame([], ddl)) and r.committed() == [1, 2, 5]
 
 
+def test_rows_without_doc_id_count_one_by_one(spark, tmp_path):
+    r = token_counts.Rollups(spark, f"file://{tmp_path}/rollups")
+    ddl = "doc_id long, source string, lang string, text string, op string"
+    rows = [(None, "a", "en", "one", "upsert"), (None, "a", "en", "one", "upsert"), (None, "b", "en", "two", "upsert"), (None, "b", "en", "two", "delete"), (1, "a", "en", "x", "upsert")]
+    assert r.commit(1, spark.createDataFrame(rows, ddl)) and r.commit(2, spark.createDataFrame(rows[:1] + [(1, "a", "en", "", "delete")], ddl))
+    assert {x.source: (x.documents, x.bytes) for x in r.totals().collect()} == {"a": (3, 9), "b": (1, 3)}
+
+
+def test_rollups_query_revises_and_deletes(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(token_counts, "Rollups", lambda *a, f=token_counts.Rollups: made.append(f(*a)) or made[0])
+    token_counts.op7_token_rollups(spark, sf)
+    n = token_counts.common.documents(spark, sf).count()
+    state = made[0]._read("state", token_counts.STATE, made[0].committed())
+    assert state.count() == 3 * n and 0 < state.where("NOT live").count() < n
+    delta = made[0]._read("delta", token_counts.DELTA, [made[0].committed()[-1]])
+    assert delta.where("documents < 0 AND source = 'revised'").count() > 0
+
+
 # --- 8 secrets
 
 
