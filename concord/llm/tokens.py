@@ -3,7 +3,8 @@
 The library's pre-tokenizer never joins what white space parts, so a text's ids are those of its
 chunks between ASCII white space, one after another. Each chunk that the memo lacks goes through the
 library; the memo only saves encoding the same chunk again. ASCII capitals are lower-cased first where
-the vocabulary's normalizer lower-cases anyway. A chunk of Latin letters, digits and ASCII signs falls
+the vocabulary's normalizer lower-cases anyway, but not in a chunk where one may compose with a mark after
+it, as NFC comes before lower case. A chunk of Latin letters, digits and ASCII signs falls
 apart into the same pieces for any such vocabulary (letters, one digit, other signs), which the
 library's model encodes one by one; every other chunk takes the library's whole path.
 """
@@ -17,6 +18,16 @@ MEMO_ENTRIES = 600_000
 #: Chunks whose pieces are known without the library: no apostrophe, as contractions are pieces of their own.
 _PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 _PIECE = re.compile("[a-zA-Z\u00c0-\u017f]+|[0-9]|[^a-zA-Z0-9\u00c0-\u017f]+")
+#: A capital with a mark of U+0300 to U+036F among the characters beyond ASCII after it: only its small letter may have a composed form.
+_MARKED = re.compile(rb"[A-Z][\x80-\xff]*?[\xcc\xcd]")
+
+
+def _chunks(text: bytes) -> list[bytes]:
+    if b"<" in text:
+        return text.split()
+    if (b"\xcc" not in text and b"\xcd" not in text) or not _MARKED.search(text):
+        return text.lower().split()
+    return [c if _MARKED.search(c) else c.lower() for c in text.split()]
 
 
 def _byte_letters() -> list[str]:
@@ -82,7 +93,7 @@ class WordEncoder:
         for kept in (memo, self.pieces):
             if len(kept) > self.memo_entries:
                 kept.clear()
-        split = [b.split() if b"<" in (b := (t or "").encode()) else b.lower().split() for t in texts]
+        split = [_chunks((t or "").encode()) for t in texts]
         found = [list(map(memo.get, chunks)) for chunks in split]
         missing = {c for chunks, ids in zip(split, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
         todo = []

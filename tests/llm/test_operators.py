@@ -55,6 +55,12 @@ def test_memo_equals_library(encoder, docs):
 # --- 1 sharding
 
 
+def test_capitals_before_marks_equal_library(encoder):
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [f"x {a}{m}y Ab{a}{m} {a} {m}É{a}{a}{m}{m}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks] + ["H\u0331 <x T\u0308", "W\u030a\u0331 ZÉ", "H\u20d2\u0331 I\u2019m"]
+    assert encoder.encode(texts) == encoder._library(texts)
+
+
 def test_shards(spark, docs):
     texts = [t for _, t in docs] + ODD
     rows = sharding.shard(documents(spark, texts), 24).toPandas()
