@@ -1,18 +1,22 @@
 """Benchmark decontamination by winnowing (operator 6), DataFrame functions only.
 
-Of every K consecutive words a hash is taken, and of each SPAN - K + 1 consecutive hashes the least is a
-fingerprint. Two texts with SPAN words in a row in common share the hashes of that run, so at least one
-of the run's fingerprints is the same in both: no shared span is missed. Documents that share a
-fingerprint with an item are read again: around each place of a shared hash the windows of SPAN words
-that contain it are compared with the items' windows word by word, and the words of those that are
-equal are hit; neighbouring windows add up to the whole shared span.
+Of every K consecutive words a hash is taken; the least of SPAN - K + 1 consecutive hashes is the fingerprint
+of the window of SPAN words that they span. Equal windows have equal fingerprints, so every window that a
+document shares with an item starts at a place whose fingerprint is among the items': no shared span is missed.
+Fingerprints of documents and items are joined, the windows at the places found are compared with the items'
+windows word by word, and the words of equal ones are hit; neighbouring windows add up to the whole shared span.
 
-Items of fewer than SPAN words are one window of their own length, looked up at every place of every
-document; that work arises only for lengths that occur.
+A text's words are laid beside themselves, shifted by one to SPAN - 1 places, so each window is a row of its words
+for a moment, and all hashing is generated code; only rows with a shared fingerprint leave the scan, and one for
+each document. CHUNK words are laid out at a time, so a very long text needs no more memory for it.
 
-Fingerprints are joined by Spark's own choice: the items' are written first, so their size is known;
-under spark.sql.autoBroadcastJoinThreshold they are sent to all executors, beyond it both sides are
-shuffled by hash, the documents' without repeats within a document.
+Items of fewer than SPAN words are one window of their own length, whose hash is looked up at every place of
+every document; that work arises only for lengths that occur.
+
+The items' fingerprints are written first, so their number is known: up to FEW are sent to all executors. Beyond
+that, documents that share any are found first, by a join on each document's distinct fingerprints. Windows are
+joined with sets of items, each of which is listed once, so a passage of many items and many documents makes a
+row for each document and window, not for each item too.
 
 Defined cases: a null or empty text has no words and no hits; items without words are passed over;
 repeated rows get equal results each; an empty table of items leaves all documents clean, an empty table of
@@ -21,111 +25,134 @@ documents gives no rows; other columns are carried along by flag() and ignored o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm import common
 
 SPAN = 10
 K = 5
+#: Fingerprints that are sent to all executors at most, about 32 MB.
+FEW = 1_000_000
+CHUNK = 4096
+KEY = ("doc_id", "text_hash")
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(common.ascii_lower(common.whole_text(text)), F.lit(common.WORD), F.lit(0))
-
-
-def _starts(size: Column, n: int | Column) -> Column:
-    """1, 2, ... for the runs of n among so many; there must be one at least."""
-    return F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-
-
-def grams(words: Column, n: int) -> Column:
-    """A hash of each n consecutive words, in order; none if there are fewer."""
-    hashes = lambda w: F.when(F.size(w) >= n, F.transform(_starts(F.size(w), n), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<long>"))
-    return common.let(words, hashes)
+    text = common.whole_text(text)
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(common.ascii_lower(text))
+    return F.array_remove(F.split(lower, common.BETWEEN_WORDS), "")
 
 
-def fingerprints(hashes: Column, width: int) -> Column:
-    """Distinct least hashes of each width consecutive ones."""
-    least = lambda h: F.when(F.size(h) >= width, F.array_distinct(F.transform(_starts(F.size(h), width), lambda i: F.array_min(F.slice(h, i, width))))).otherwise(F.array().cast("array<long>"))
-    return common.let(hashes, least)
+def fingerprint(words: list[Column], k: int) -> Column:
+    """The least hash of k consecutive words in a window, or of all its words if they are fewer."""
+    if len(words) <= k:
+        return F.xxhash64(*words)
+    grams = [F.xxhash64(*words[i : i + k]) for i in range(len(words) - k + 1)]
+    return F.least(*grams) if len(grams) > 1 else grams[0]
 
 
-def windows(words: Column, n: int | Column, starts: Column) -> Column:
-    """start and words, joined, of the windows of n words at the given starts (from 1)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return common.let(words, lambda w: F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_join(F.slice(w, i, n), " ").alias("window"))))
-
-
-def item_windows(items: DataFrame, span: int) -> DataFrame:
-    """item_id, n, window: every window of every item, once."""
-    found = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    n = F.least(F.size("words"), F.lit(span))
-    all_windows = windows(F.col("words"), F.col("n"), F.sequence(F.lit(1), F.size("words") - F.col("n") + 1))
-    return found.withColumn("n", n).select("item_id", "n", F.explode(all_windows).alias("w")).select("item_id", "n", "w.window").distinct()
+def windows(rows: DataFrame, n: int, k: int, *kept: str) -> DataFrame:
+    """kept, n_words, place (from 0), hash, window (its words, joined) of every place of a text's words; rows has text.
 
+    Where fewer than n words are left, hash and window are null; a text without words has one row, whose place is 0.
+    """
+    of_text = rows.select(*kept, words_of(F.col("text")).alias("__words")).withColumn("n_words", F.size("__words").cast("long"))
+    chunks = of_text.withColumn("__first", F.explode(F.sequence(F.lit(0), F.greatest(F.size("__words") - 1, F.lit(0)), F.lit(CHUNK))))
+    shifted = [F.slice("__words", F.col("__first") + (i + 1), F.lit(CHUNK)).alias(f"w{i}") for i in range(n)]
+    laid = chunks.select(*kept, "n_words", "__first", F.posexplode_outer(F.arrays_zip(*shifted)).alias("__at", "__w"))
+    words = [F.col(f"__w.w{i}") for i in range(n)]
+    place = F.col("__first") + F.coalesce("__at", F.lit(0))
+    whole = place + n <= F.col("n_words")
+    return laid.select(*kept, "n_words", place.alias("place"), F.when(whole, fingerprint(words, k)).alias("hash"), F.when(whole, F.concat_ws(" ", *words)).alias("window"))
+
+
+def item_windows(items: DataFrame, span: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(n, window, hash, set_id) of every window of any item, and (set_id, item_ids) of each set of items that a window is in."""
+    found = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text"), F.least(F.size(words_of(F.col("text"))), F.lit(span)).alias("n"))
+    short = sorted(r.n for r in found.where(F.col("n").between(1, span - 1)).select("n").distinct().collect())  # at most span - 1
+    each = [windows(found.where(F.col("n") == n), n, k, "item_id", "n").where(F.col("hash").isNotNull()) for n in [*short, span]]
+    sets = reduce(DataFrame.unionByName, each).groupBy("n", "window", "hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    table = common.materialize(sets.withColumn("set_id", F.sha2(F.to_json("item_ids"), 256)), "item-windows")
+    return table.select("n", "window", "hash", "set_id"), table.groupBy("set_id").agg(F.first("item_ids").alias("item_ids"))
+
+
+def scan(docs: DataFrame, table: DataFrame, span: int, k: int, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, text_hash, n_words of every row of docs; KEY, n, start, set_id of every window of table found in docs)."""
+    keyed = docs.withColumn("text_hash", F.xxhash64(common.whole_text(F.col("text"))))
+    carried = F.struct(*[F.col(c) for c in kept])
+    found, base = None, None
+    for n in sorted({span, *(r.n for r in table.select("n").distinct().collect())}):
+        of_length = table.where(F.col("n") == n).drop("n")
+        wanted = common.materialize(of_length.select(F.col("hash").alias("wanted")).distinct(), "item-fingerprints")
+        places, keep = keyed.select(*KEY, carried.alias("carried"), "text"), F.col("wanted").isNotNull()
+        if wanted.count() <= FEW:
+            wanted = F.broadcast(wanted)
+            keep = keep | (F.col("place") == 0) if n == span else keep
+        else:
+            some = windows(places, n, k, *KEY).where(F.col("hash").isNotNull()).select(*KEY, "hash").distinct()
+            some = common.materialize(some.join(wanted, F.col("hash") == F.col("wanted"), "left_semi").select(*KEY).distinct(), "shared-fingerprints")
+            if n == span:
+                base = places.select("carried", "text_hash", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+            places = join_key(places, some)
+        rows = windows(places, n, k, *KEY, "carried").join(wanted, F.col("hash") == F.col("wanted"), "left").where(keep)
+        first = F.col("place") == 0
+        rows = rows.select(*KEY, F.when(first, F.col("carried")).alias("carried"), "n_words", (F.col("place") + 1).alias("start"), F.when(F.col("wanted").isNotNull(), F.col("window")).alias("window"))
+        rows = common.materialize(rows, "shared-places")
+        if n == span and base is None:
+            base = rows.where("start = 1")
+        here = rows.where("window IS NOT NULL").select(*KEY, "start", "window").join(of_length.drop("hash"), "window").select(*KEY, F.lit(n).alias("n"), "start", "set_id")
+        found = here if found is None else found.unionByName(here)
+    return base.select("carried.*", "text_hash", "n_words"), found
+
+
+def join_key(rows: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the other columns of found, of the same key; sent to all executors if few."""
+    renamed = found.withColumnsRenamed({c: f"__{c}" for c in KEY})
+    if found.count() <= common.FEW_KEYS // 10:
+        renamed = F.broadcast(renamed)
+    same = rows["doc_id"].eqNullSafe(F.col("__doc_id")) & (rows["text_hash"] == F.col("__text_hash"))
+    return rows.join(renamed, same, how).drop("__doc_id", "__text_hash")
+
+
+def _covered(spans: Column) -> Column:
+    """Places inside any of the spans (start, n)."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["end"], s["start"] + s["n"]).alias("end"),
+        (acc["total"] + F.greatest(s["start"] + s["n"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("total"),
+    )
+    return F.aggregate(F.array_sort(spans), zero, step)["total"]
 
-def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """doc_id, text_hash, n_hit, item_ids (sorted) of the documents that hold a window of an item.
 
-    docs has doc_id and text; together with the text's hash doc_id names a row here.
-    """
-    spark = docs.sparkSession
-    table = common.materialize(item_windows(items, span), "item-windows")
-    keyed = docs.select(F.col("doc_id"), F.xxhash64(common.whole_text(F.col("text"))).alias("text_hash"), F.col("text"))
-    key = ["doc_id", "text_hash"]
-    width = span - k + 1
-    short = sorted(r.n for r in table.where(F.col("n") < span).select("n").distinct().collect())  # at most span - 1 lengths
-    wanted = common.materialize(
-        items.select(F.explode(fingerprints(grams(words_of(F.col("text")), k), width)).alias("hash")).distinct(),
-        "item-fingerprints",
-    )
-    shared = (
-        keyed.select(*key, words_of(F.col("text")).alias("words"))
-        .select(*key, F.explode(fingerprints(grams(F.col("words"), k), width)).alias("hash"))
-        .join(wanted, "hash")
-        .groupBy(*key)
-        .agg(F.collect_set("hash").alias("hashes"))
-    )
-    shared = common.materialize(shared, "shared-fingerprints")
-    again = keyed.join(shared, _same(keyed, shared)).select(keyed["doc_id"], keyed["text_hash"], "text", "hashes")
-    n_words = F.size("words")
-    places = common.let(F.struct("hashes", "gram"), lambda x: F.filter(F.transform(x["gram"], lambda h, i: F.when(F.array_contains(x["hashes"], h), i + 1)), lambda p: p.isNotNull()))
-    near = F.flatten(F.transform(F.col("places"), lambda p: F.sequence(F.greatest(p + (k - span), F.lit(1)), F.least(p, n_words - (span - 1)))))
-    candidates = (
-        again.select(*key, words_of(F.col("text")).alias("words"), "hashes")
-        .where(n_words >= span)
-        .withColumn("gram", grams(F.col("words"), k))
-        .withColumn("places", places)
-        .select(*key, F.explode(windows(F.col("words"), span, F.array_distinct(near))).alias("w"))
-        .select(*key, F.lit(span).alias("n"), "w.start", "w.window")
-    )
-    for n in short:
-        whole = keyed.select(*key, words_of(F.col("text")).alias("words")).where(F.size("words") >= n)
-        short_table = table.where(F.col("n") == n).select("window").distinct()
-        places = whole.select(*key, F.explode(windows(F.col("words"), n, F.sequence(F.lit(1), F.size("words") - (n - 1)))).alias("w"))
-        candidates = candidates.unionByName(places.select(*key, F.lit(n).alias("n"), "w.start", "w.window").join(short_table, "window", "left_semi").select(*key, "n", "start", "window"))
-    found = candidates.join(table, ["n", "window"])
-    per_doc = found.groupBy(*key).agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    return per_doc.select(*key, F.size(covered).cast("long").alias("n_hit"), "item_ids")
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+def _of_documents(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """KEY, n_hit, item_ids (sorted) of the documents that hold a window of an item."""
+    per_doc = found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.array_sort(F.collect_set("set_id")).alias("set_ids"))
+    per_doc = common.materialize(per_doc.select(*KEY, _covered(F.col("spans")).alias("n_hit"), "set_ids"), "hit-sets")
+    # Documents with the same passages have the same sets: their items are brought together once.
+    mixed = per_doc.select("set_ids").distinct().select("set_ids", F.explode("set_ids").alias("set_id")).join(sets, "set_id")
+    mixed = mixed.select("set_ids", F.explode("item_ids").alias("item_id")).groupBy("set_ids").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    return per_doc.join(mixed, "set_ids").select(*KEY, "n_hit", "item_ids")
 
 
 def flag(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """All columns of docs but text, with n_words, n_hit and item_ids in place of any of these names."""
-    found = common.materialize(hits(docs.select("doc_id", "text"), items, span, k), "hits")
-    rows = docs.drop("n_hit", "item_ids", "hit_doc_id", "hit_text_hash").withColumn("text_hash", F.xxhash64(common.whole_text(F.col("text")))).withColumn("n_words", F.size(words_of(F.col("text"))).cast("long")).drop("text")
-    out = rows.join(found.withColumnsRenamed({"doc_id": "hit_doc_id", "text_hash": "hit_text_hash"}), (rows["doc_id"].eqNullSafe(F.col("hit_doc_id"))) & (rows["text_hash"] == F.col("hit_text_hash")), "left")
-    return out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))).drop("hit_doc_id", "hit_text_hash", "text_hash")
+    own = ("text", "text_hash", "n_words", "n_hit", "item_ids")
+    kept = [c for c in docs.columns if c not in own]
+    table, sets = item_windows(items, span, k)
+    base, found = scan(docs, table, span, k, kept)
+    hits = common.materialize(_of_documents(found, sets), "hits")
+    rows = join_key(base, hits, "left")
+    return rows.select(*kept, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """docs without the documents that hold a window of an item."""
-    return common.without(docs, hits(docs.select("doc_id", "text"), items, span, k).select("doc_id", "text_hash"))
+    table, _ = item_windows(items, span, k)
+    _, found = scan(docs.select("doc_id", "text"), table, span, k, ["doc_id"])
+    return common.without(docs, found.select(*KEY))
 
 
 def digest(flagged: DataFrame) -> DataFrame:

@@ -329,7 +329,10 @@ def brute_hits(text, items, span=10):
     return len(words), len(hit), sorted(found)
 
 
-def test_hits(spark, docs):
+@pytest.mark.parametrize("few", [decontaminate.FEW, 0])
+def test_hits(spark, docs, few, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEW", few)
+    monkeypatch.setattr(decontaminate, "CHUNK", 64)
     passage = " ".join(f"p{i}" for i in range(30))
     items = [(1, passage), (2, "short item"), (3, ""), (4, None), (5, "a a a a a a a a a a a a"), (11, passage + " tail"), (12, "Seven words are in This very item")]
     texts = [t for _, t in docs[:40]] + ODD + [passage, f"x {passage.upper()} y", " ".join(passage.split()[5:16]), " ".join(passage.split()[:9]), "short, item short item", "a " * 40, "seven words are in this very item!", f"{passage} gap {passage}"]
