@@ -133,7 +133,6 @@ def write_ids(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, l
     another name; only those of the attempt that counted are in the list.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     folder = folder or common.fresh_path(spark, "ids")
     path = tokenizer_path or tokens.default_path()
     end = end_id.to_bytes(4, "little")
@@ -153,18 +152,15 @@ def write_ids(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, l
                     writer = PartWriter(folder, f"{part:06d}-{uuid.uuid4().hex}", length, per_batch, narrow)
                 encoded = encoder.encode(batch.column("text").to_pylist())
                 writer.add(batch.column("doc_id").to_pylist(), [e + end for e in encoded])
+        encoder.forget()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "ids_path": [writer.ids_path], "docs_path": [writer.docs_path], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids]})
 
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(F.col("text")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(common.shuffle_partitions(spark), "doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .mapInArrow(encode, "part int, ids_path string, docs_path string, n_docs long, n_ids long")
-        .collect()
-    )
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(F.col("text")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = whole.repartitionByRange(common.partitions_for(whole), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    with common.bounded_batches(spark):
+        rows = ordered.mapInArrow(encode, "part int, ids_path string, docs_path string, n_docs long, n_ids long").collect()
     parts, base = [], 0
     for r in sorted(rows, key=lambda r: r.part):
         parts.append(Row(ids_path=r.ids_path, docs_path=r.docs_path, n_docs=r.n_docs, n_ids=r.n_ids, base=base))

@@ -11,17 +11,19 @@ from concord.llm import common
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each linked node reaches. links: a, b (long).
 
-    In each round every node points to the least of itself and its neighbours, links are carried over to
-    what their ends point to, and all nodes seen so far follow. Rounds are few, as every node but the
-    local minima leaves in each. A node with very many links is a skewed key of a plain sort-merge join,
-    which adaptive execution splits.
+    In each round every node points to the least of itself and its neighbours, pointers are followed to
+    their ends by doubling, and links are carried over to what their ends point to, where those differ. What is left
+    after two rounds are nodes that were the least among all their neighbours' neighbours, half of a component at
+    most, so rounds grow with the logarithm of a component's nodes, as do the doublings with that of the longest
+    chain, whatever the order of ids. A node with very many links is a skewed key of a plain sort-merge join, which
+    adaptive execution splits.
     """
     edges = common.materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    both = edges.select(F.col("a").alias("node")).union(edges.select("b"))
+    nobody = edges.select(F.col("a").alias("node"), F.col("a").alias("component"))
     at = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        parent = common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")), "parents")
+        parent = _followed(common.materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent")), "parents"))
         if at is None:
             at = parent.withColumnRenamed("parent", "component")
         else:
@@ -30,4 +32,16 @@ def components(links: DataFrame) -> DataFrame:
         a = edges.join(parent, edges["a"] == parent["node"]).select(F.col("parent").alias("pa"), "b")
         b = a.join(parent, a["b"] == parent["node"]).select("pa", F.col("parent").alias("pb"))
         edges = common.materialize(b.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
-    return at if at is not None else both.select("node", F.col("node").alias("component"))
+    return at if at is not None else nobody
+
+
+def _followed(parent: DataFrame) -> DataFrame:
+    """node, parent, the parent being the end of the node's chain of parents. Each step goes four times as far."""
+    while True:
+        second = parent.select(F.col("node").alias("n2"), F.col("parent").alias("p2"))
+        twice = common.materialize(parent.join(second, parent["parent"] == second["n2"]).select("node", "parent", "p2"), "parents")
+        if twice.where("p2 <> parent").isEmpty():
+            return parent
+        half = twice.select("node", F.col("p2").alias("parent"))
+        far = twice.select(F.col("node").alias("n4"), F.col("p2").alias("p4"))
+        parent = common.materialize(half.join(far, half["parent"] == far["n4"]).select("node", F.col("p4").alias("parent")), "parents")

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from concord.llm import common
 
 #: Phrases of lower-case words and the labels that they stand for.
-BASE = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICES = {
+    "mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license": "apache-2",
     "gnu general public license": "gpl",
@@ -214,7 +215,6 @@ _DDL = "n_words long, n_base long, first_word long, last_word long, base_labels
 
 def scan(docs: DataFrame) -> DataFrame:
     """All columns of docs but text, with the fields of Found; columns of the same names give way."""
-    common.small_batches(docs.sparkSession)
     names = [f.name for f in FOUND]
     keep = [c for c in docs.columns if c not in ("text", *names)]
 
@@ -228,7 +228,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(*keep, common.whole_text(F.col("text")).alias("text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"] + [_DDL])
-    return rows.mapInArrow(run, schema)
+    return common.materialize(rows.mapInArrow(run, schema), "licenses")
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -157,9 +157,8 @@ CANDIDATES = "a long, b long, bits int, tree int, label binary, " + ", ".join(f"
 
 def forest(nodes: DataFrame) -> DataFrame:
     """Candidate pairs (a, b, bits), and rows (a, tree, label, sketch) of regions to be gone through again (b null). nodes: node, labels, sketch."""
-    spark = nodes.sparkSession
     rows = nodes.select("node", *SKETCH, F.posexplode("labels").alias("tree", "label"))
-    ordered = rows.repartitionByRange(common.shuffle_partitions(spark), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    ordered = rows.repartitionByRange(common.partitions_for(rows), "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
 
     def regions(table: pa.Table, first: bool, last: bool) -> pa.Table:
         """Output for rows that hold whole regions, except that the first or the last may have been cut."""
@@ -370,7 +369,6 @@ def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, thres
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs."""
-    common.small_batches(docs.sparkSession)
     signed = common.materialize(sign(docs, words), "signed")
     sets = signed.where(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     sets = common.materialize(sets, "sets")

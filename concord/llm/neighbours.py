@@ -220,7 +220,6 @@ def search(queries: DataFrame, index: Index, entries: DataFrame, top: int = TOP,
 
 
 def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    common.small_batches(spark, 2000)
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     built = build(rows)
     if built is None:

@@ -42,8 +42,6 @@ PIECE = "part int, doc_id long, start long, length int, doc_tokens long, ids_crc
 
 def cut(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents, written to the shared folder; ids are little-endian unsigned 32-bit."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
     path = tokenizer_path or tokens.default_path()
     end = end_id.to_bytes(4, "little")
 
@@ -64,6 +62,7 @@ def cut(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, window:
                     seen[n] += 1
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+        encoder.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.whole_text(F.col("text")).alias("text"))
     return common.materialize(rows.mapInArrow(encode, PIECE), "pieces")

@@ -7,7 +7,7 @@
 3. score() compiles the rules into one column expression that any executor evaluates in generated code.
 
 Defined cases: a null text counts as empty; an empty text has all statistics 0 and is scored like
-any other; repeated rows get equal scores; labels that are null are not used; an empty table gives no
+any other; repeated rows get equal scores; labels that are null are not used, and of repeated ones each kind once; an empty table gives no
 rows; with labels of one kind alone, or none, the score is their share (0.5 for none); other columns are
 carried along.
 """
@@ -57,11 +57,11 @@ def statistics(t: Column, words: Column, lines: Column) -> dict[str, Column]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with a struct column statistics."""
+    """docs with a struct column __statistics."""
     text = common.whole_text(F.col("text"))
     parts = F.struct(text.alias("t"), F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x != "").alias("lines"))
     fields = lambda p: F.struct(*[c.alias(k) for k, c in statistics(p["t"], p["words"], p["lines"]).items()])
-    return docs.withColumn("statistics", common.let(parts, fields))
+    return docs.withColumn("__statistics", common.let(parts, fields))
 
 
 @dataclass(frozen=True)
@@ -181,24 +181,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, penalty: f
     bounded = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     empty = F.array().cast("array<string>")
     names = list(statistics(F.lit(""), empty, empty))
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")).select("doc_id", "y", "statistics.*")
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id")).select("doc_id", "y", "__statistics.*")
     # The same rows in the same order on every run; repeated documents count once for each label.
-    data = sorted(set(map(tuple, rows.limit(4 * max_rows).collect()))) if max_rows else []
+    first = rows.distinct().orderBy(F.xxhash64("doc_id"), *rows.columns).limit(max_rows)
+    data = sorted(map(tuple, first.collect()))
     x = np.array([r[2:] for r in data], dtype=float).reshape(len(data), len(names))
     return fit_rows(x, np.array([r[1] for r in data], dtype=float), names, penalty)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, 0 to 1, higher for better texts."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with score, 0 to 1, higher for better texts, in place of a column of that name."""
     margin = F.lit(model.intercept)
     for r in model.rules:
         here = None
-        for name, above, bound in r.terms:
-            c = F.col(f"statistics.{name}")
+        for statistic, above, bound in r.terms:
+            c = F.col(f"__statistics.{statistic}")
             term = c > bound if above else c <= bound
             here = term if here is None else here & term
         margin = margin + F.when(here, F.lit(r.weight)).otherwise(F.lit(0.0))
-    return with_statistics(docs).withColumn("score", 1 / (1 + F.exp(-margin))).drop("statistics")
+    return with_statistics(docs).withColumn(name, 1 / (1 + F.exp(-margin))).drop("__statistics")
+
+
+def accept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, as they are, whose score reaches the threshold."""
+    return score(docs, model, "__score").where(F.col("__score") >= threshold).drop("__score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

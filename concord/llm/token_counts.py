@@ -35,7 +35,6 @@ DELTA = "source string, lang string, tokenizer string, documents long, tokens lo
 
 def counted(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """docs with tokens (of the whole text) and bytes; the text goes."""
-    common.small_batches(docs.sparkSession)
     path = tokenizer_path or tokens.default_path()
     keep = [c for c in docs.columns if c not in ("text", "tokens", "bytes")]
 
@@ -45,6 +44,7 @@ def counted(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
             texts = batch.column("text").to_pylist()
             n = [len(ids) // 4 for ids in encoder.encode(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())], names=[*keep, "tokens", "bytes"])
+        encoder.forget()
 
     rows = docs.select(*keep, common.whole_text(F.col("text")).alias("text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"] + ["tokens long, bytes long"])

@@ -262,6 +262,15 @@ def test_components(spark):
     assert graph.components(links.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", ["ascending", "descending", "shuffled"])
+def test_long_chains_take_few_rounds(spark, order, monkeypatch):
+    ids = {"ascending": list(range(301)), "descending": list(range(300, -1, -1)), "shuffled": np.random.default_rng(2).permutation(301).tolist()}[order]
+    followed, rounds = graph._followed, []
+    monkeypatch.setattr(graph, "_followed", lambda p: (rounds.append(1), followed(p))[1])
+    found = graph.components(spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == dict.fromkeys(ids, 0) and len(rounds) <= 10
+
+
 def test_keep_one(spark):
     texts = ["a b c d e f g h", "A B C D E F G H", "other words here now and then", None, ""]
     assert sorted(r.doc_id for r in near_duplicates.keep_one(documents(spark, texts)).collect()) == [0, 2, 3, 4]
@@ -270,11 +279,14 @@ def test_keep_one(spark):
 # --- 5 licenses
 
 
+PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
 def test_license_places(spark, docs):
-    texts = [t for _, t in docs] + ODD + ["The MIT-License; mit license MIT LICENSE. cc by nc", "Apache License, Version 2"]
+    texts = [t for _, t in docs] + ODD + ["Under The MIT-License; mit license MIT LICENSE. cc by nc", "Apache License, Version 2", "mit license", "under the mit license under the mit license"]
     for r, t in zip(sorted(licenses.scan(documents(spark, texts)).collect(), key=lambda r: r.doc_id), texts, strict=True):
         words = re.findall(common.WORD, "".join(c.lower() if c.isascii() else c for c in t or ""))
-        places = [(i, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        places = [(i, label) for p, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         starts = sorted(i for i, _ in places)
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), starts[0] if starts else None, starts[-1] if starts else None)
         assert r.base_labels == sorted({x for _, x in places}) and set(r.base_labels) <= set(r.labels) and 0 <= r.score <= 1
