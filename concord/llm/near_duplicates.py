@@ -10,10 +10,10 @@
 3. Candidates are confirmed on full sets of shingle hashes: first each node's BEST by sketch, then what
    still would join two components.
 4. Larger regions, and those cut by a partition's end, are gone through again wherever components still
-   differ. Nodes outside a region's largest component are compared in full with all of that component, in
-   blocks, and by sketch with each other, so a region loses no pair by its size. In a region with too many
-   such nodes for rows of pairs, they are compared with each other in blocks too, whose number grows with
-   the square of theirs.
+   differ. Nodes outside a region's largest component are compared in full with all of that component, and with each
+   other, in blocks whose number grows with the square of theirs, so a region loses no pair by its size. In a
+   block, sets whose rarest shingles can't belong to similar sets are passed over (prefix and place
+   filters, which are exact), so texts of one template that are not near-duplicates cost little.
 
 Two sets of similarity s share a region in some tree with probability 1 - (1 - s ** LEAST_DEPTH) ** TREES:
 0.99997 at 0.8. Of such pairs 0.0000025 differ in more than MOST_BITS bits, in all trees alike; at 0.8 the
@@ -44,10 +44,10 @@ VALUES = 192
 SMALL, NEAR, BEST = 8, 2, 4
 #: Bits of a sketch that may differ: at similarity 0.8 a tenth differs on average, 5 deviations more are let through.
 MOST_BITS = 40
-#: Comparisons of one region before its nodes are compared in blocks.
-REGION_WORK = 1 << 22
-#: Shingles of a component's block: 8 MB.
-BLOCK = 1 << 20
+#: Nodes of one region that are compared as rows of pairs; of more, they are compared in blocks.
+PAIRED = 16
+#: Shingles and sets of a block: 4 MB.
+BLOCK, BLOCK_SETS = 1 << 19, 512
 #: Ids that are sent to all executors at most, 16 MB.
 FEW_IDS = 1_000_000
 
@@ -268,7 +268,7 @@ def _again(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame,
     sizes = keyed.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
     regions = sizes.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
     mixed = regions.select("tree", "region", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("main")).where("others > 0")
-    mixed = mixed.withColumn("few", F.col("others") * F.col("others") <= REGION_WORK)
+    mixed = mixed.withColumn("few", F.col("others") <= PAIRED)
     others = common.materialize(keyed.join(mixed, ["tree", "region"]).where(F.col("component") != F.col("main")), "region-others")
     x, y = others.where("few").alias("x"), others.where("few").alias("y")
     apart = (F.col("x.component") < F.col("y.component")) & (_bits("x", "y") <= MOST_BITS)
@@ -279,67 +279,105 @@ def _again(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame,
     return pairs.distinct(), mains.distinct(), many
 
 
+class Block:
+    """Sets that are compared in one task, their members in one order from rare to frequent."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: int) -> None:
+        self.threshold = threshold
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(n), dtype=np.int64)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+        rank = rank[place]
+        self.rank = rank[np.lexsort((rank, owner))]
+        self.at = np.arange(len(owner)) - self.starts[owner]
+        # Similar sets have a member in common among the first of both, as those after it are too few.
+        self.first = self.sizes - -(-threshold * self.sizes // 100) + 1
+        self.owner = owner
+
+    def hold(self, lo: int) -> None:
+        """Let candidates() look among the sets from lo on."""
+        k = np.flatnonzero((self.owner >= lo) & (self.at < self.first[self.owner]))
+        k = k[np.argsort(self.rank[k], kind="stable")]
+        self.held, self.held_rank = k, self.rank[k]
+
+    def candidates(self, i: int) -> np.ndarray:
+        """Held sets whose first common member with set i stands early enough in both."""
+        mine = self.rank[self.starts[i] : self.starts[i] + self.first[i]]
+        lo, hi = np.searchsorted(self.held_rank, mine, side="left"), np.searchsorted(self.held_rank, mine, side="right")
+        n = hi - lo
+        k = self.held[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        sets, earliest = np.unique(self.owner[k], return_index=True)
+        left = np.minimum(self.sizes[i] - np.repeat(np.arange(len(mine)), n)[earliest], self.sizes[sets] - self.at[k[earliest]])
+        return sets[left * (100 + self.threshold) >= self.threshold * (self.sizes[i] + self.sizes[sets])]
+
+    def similar(self, i: int, sets: np.ndarray) -> np.ndarray:
+        """Those of sets that reach the threshold with set i."""
+        mine = self.rank[self.starts[i] : self.starts[i] + self.sizes[i]]
+        n = self.sizes[sets]
+        theirs = self.rank[np.repeat(self.starts[sets] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+        return sets[100 * both >= self.threshold * (self.sizes[i] + n - both)]
+
+
+def _parts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and the number of blocks that their rows (shingles) make."""
+    total = rows.groupBy(*keys).agg(F.sum(F.size("shingles").cast("long")).alias("total"), F.count("*").alias("n"))
+    return total.select(*keys, F.ceil(F.greatest(F.col("total") / BLOCK, F.col("n") / BLOCK_SETS)).cast("int").alias(name))
+
+
 def _within_regions(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) that join all nodes of many (tree, region, node, own) that a chain of similar sets joins within a region.
 
-    A region is dealt into blocks of BLOCK shingles; a task holds two blocks, or one, compares sketches and then
-    full sets, and keeps one link for each two groups that it joins, so no pair of texts is a row. A pair is compared
-    in the first tree that has it in one region; the forest or _again() have seen to it if that region is smaller.
+    A region is dealt into blocks; a task holds two blocks, or one, and keeps one link for each two groups
+    that it joins, so no pair of texts is a row. A pair is compared in the first tree that has it in one region; the
+    forest or _again() have seen to it if that region is smaller.
     """
     if many.isEmpty():
         return sets.sparkSession.createDataFrame([], "a long, b long")
     roots = F.transform("labels", lambda x: F.substring(x, 1, 2 * LEAST_DEPTH))
-    rows = many.join(nodes.select("node", *SKETCH, roots.alias("roots")), "node").join(sets, "node")
-    total = rows.groupBy("tree", "region").agg(F.sum(F.size("shingles").cast("long")).alias("total"))
-    parts = total.select("tree", "region", F.ceil(F.col("total") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(parts, ["tree", "region"]).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = many.join(nodes.select("node", roots.alias("roots")), "node").join(sets, "node")
+    rows = rows.join(_parts(rows, ["tree", "region"], "parts"), ["tree", "region"]).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"p": F.least("own_part", "other_part"), "q": F.greatest("own_part", "other_part")})
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["own_part", "node"], kind="stable")
         tree, nodes, component = int(group["tree"].iloc[0]), group["node"].to_numpy(), group["own"].to_numpy().copy()
-        sketch = group[SKETCH].to_numpy()
         label = np.frombuffer(b"".join(x for labels in group["roots"] for x in labels), dtype=">u8").reshape(len(nodes), TREES)
-        own_sets, sizes = group["shingles"].to_numpy(), group["shingles"].map(len).to_numpy()
         n_left = int((group["own_part"] == group["p"]).sum())
         one = bool(group["p"].iloc[0] == group["q"].iloc[0])
+        block = Block(list(group["shingles"]), threshold)
+        block.hold(0 if one else n_left)
         out = []
         for i in range(n_left):
-            lo = i + 1 if one else n_left
-            near = np.bitwise_count((sketch[lo:] ^ sketch[i]).view(np.uint64)).sum(axis=1) <= MOST_BITS
-            at = lo + np.flatnonzero(near & (component[lo:] != component[i]))
-            at = at[~(label[at, :tree] == label[i, :tree]).any(axis=1)]
-            if not len(at):
-                continue
-            theirs, mine = np.concatenate(own_sets[at]), own_sets[i]
-            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
-            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
-            for j in at[100 * both >= threshold * (sizes[i] + sizes[at] - both)]:
-                if component[j] != component[i]:
-                    out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-                    component[component == component[j]] = component[i]
+            at = block.candidates(i)
+            at = at[(component[at] != component[i]) & ~(label[at, :tree] == label[i, :tree]).any(axis=1)]
+            for lo in range(0, len(at), 64):
+                some = at[lo : lo + 64]
+                some = some[component[some] != component[i]]
+                for j in block.similar(i, some) if len(some) else ():
+                    if component[j] != component[i]:
+                        out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                        component[component == component[j]] = component[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rows = rows.withColumn("shingles", F.array_sort("shingles"))
     return common.materialize(rows.groupBy("tree", "region", "p", "q").applyInPandas(links, "a long, b long"), "confirmed")
 
 
 def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """One link (a, b) for each node of wanted (node, component) and block of the component that holds a similar set.
 
-    Components and the nodes that ask are dealt into blocks of BLOCK shingles; a task holds one block of either and
-    finds all intersections through the shingles' places, so no pair of texts is a row.
+    Components and the nodes that ask are dealt into blocks; a task holds one block of either, so no pair of texts is a row.
     """
-    size = F.size("shingles").cast("long")
-    parts = lambda total: F.ceil(F.col(total) / BLOCK).cast("int")
     asking = wanted.join(sets, "node").select("component", "node", "shingles")
     # A component of one node is in no link, so found lacks it: its only member is the node that it is named by.
     members = wanted.select("component").distinct().join(found.select("component", "node"), "component", "left").select("component", F.coalesce("node", "component").alias("node"))
     held = members.join(sets, "node").select("component", "node", "shingles")
-    n_asking = asking.groupBy("component").agg(F.sum(size).alias("total")).select("component", parts("total").alias("asking_parts"))
-    n_held = held.groupBy("component").agg(F.sum(size).alias("total")).select("component", parts("total").alias("held_parts"))
-    dealt = common.materialize(n_asking.join(n_held, "component"), "component-blocks")
+    dealt = common.materialize(_parts(asking, ["component"], "asking_parts").join(_parts(held, ["component"], "held_parts"), "component"), "component-blocks")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     left = asking.join(dealt, "component").withColumn("p", own("asking_parts")).withColumn("q", every("held_parts")).select("component", "p", "q", "node", "shingles")
@@ -349,18 +387,17 @@ def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, thres
     def links(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(there):
-            nodes, sizes = there["member"].to_numpy(), there["member_set"].map(len).to_numpy()
-            shingles = np.concatenate(there["member_set"].to_numpy())
-            order = np.argsort(shingles, kind="stable")
-            shingles, owner = shingles[order], np.repeat(np.arange(len(nodes)), sizes)[order]
-            for node, own_set in zip(asked["node"], asked["shingles"], strict=True):
-                lo, hi = np.searchsorted(shingles, own_set, side="left"), np.searchsorted(shingles, own_set, side="right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(nodes))
-                good = np.flatnonzero((100 * both >= threshold * (len(own_set) + sizes - both)) & (nodes != node))
-                if len(good):
-                    out.append((min(node, nodes[good[0]]), max(node, nodes[good[0]])))
+            nodes = np.concatenate([asked["node"].to_numpy(), there["member"].to_numpy()])
+            block = Block([*asked["shingles"], *there["member_set"]], threshold)
+            block.hold(len(asked))
+            for i in range(len(asked)):
+                at = block.candidates(i)
+                at = at[nodes[at] != nodes[i]]
+                for lo in range(0, len(at), 16):
+                    good = block.similar(i, at[lo : lo + 16])
+                    if len(good):
+                        out.append((min(nodes[i], nodes[good[0]]), max(nodes[i], nodes[good[0]])))
+                        break
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     found_links = left.groupBy("component", "p", "q").cogroup(right.groupBy("c2", "p2", "q2")).applyInPandas(links, "a long, b long")

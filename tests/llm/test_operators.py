@@ -210,6 +210,30 @@ def test_nodes_outside_a_large_component_are_compared_in_full(spark):
     assert {b for _, b in links} == {35, 39} and all(39 - a <= 11 or b == 35 for a, b in links)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_block_finds_what_brute_force_finds(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 12))])) for _ in range(80)]
+    sets += [s.copy() for s in sets[:5]] + [np.array([1]), np.array([1]), np.array([2])]
+    block = near_duplicates.Block(sets, 80)
+    for lo in (0, 40):
+        block.hold(lo)
+        for i in range(len(sets)):
+            at = block.candidates(i)
+            want = [j for j in range(lo, len(sets)) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)]
+            assert sorted(block.similar(i, at).tolist() if len(at) else []) == want
+
+
+def test_block_passes_over_one_template():
+    rng = np.random.default_rng(1)
+    base = np.arange(500)
+    sets = [np.concatenate([rng.choice(base, 418, replace=False), rng.integers(1000, 1 << 60, 82)]) for _ in range(300)]
+    block = near_duplicates.Block(sets, 80)
+    block.hold(0)
+    assert sum(len(block.candidates(i)) for i in range(300)) < 3 * 300
+
+
 def template_texts(n, seed):
     """n texts that differ from one template in 33 words each, so any two are at about 0.77, and a twin of each, which shares 15 of them: at about 0.82."""
     rng = np.random.default_rng(seed)
@@ -250,8 +274,8 @@ def test_large_regions_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "forest", forest)
     expected = brute_components(texts, 4)[1]
     assert len(set(expected)) == 40
-    for work, block in ((1 << 22, 1 << 20), (0, 1 << 20), (0, 1 << 14)):
-        monkeypatch.setattr(near_duplicates, "REGION_WORK", work)
+    for paired, block in ((1000, 1 << 20), (0, 1 << 20), (0, 1 << 14)):
+        monkeypatch.setattr(near_duplicates, "PAIRED", paired)
         monkeypatch.setattr(near_duplicates, "BLOCK", block)
         assert [r.component_id for r in sorted(near_duplicates.near_duplicates(documents(spark, texts), 4).collect())] == expected
 
