@@ -2,16 +2,18 @@
 
 A vector is quantised in two halves, each against `cells` centroids of its own; the pair of centroids is the
 vector's cell in the index. A query sorts both halves' centroids by their share of the measure and
-walks through the pairs by the sum, best first, with a heap, until the cells passed hold PROBED of all
-entries; the entries of these cells are reranked by the exact measure on the original vectors.
+walks through the pairs by the sum, best first, with a heap, until the cells passed hold a given share of all
+entries; the entries of these cells, and no others, are reranked by the exact measure on the original vectors.
 
 Centroids come from k-means on FIT_ROWS vectors at most (those with the least hash of vec_id); the index
-holds every row. The number of centroids grows with the square root of the rows. Entries are dealt by
-cell into blocks, a cell of many entries over several; a task reranks one block for one part of the
-queries and returns each query's best TOP there.
+holds every row. The number of centroids grows with the square root of the rows. How many entries a walk passes is
+measured, not set: the nearest neighbours of TRIED vectors are found by brute force, and the share is the one
+within which walks from these vectors meet TARGET of them. Vectors close to uniform on a sphere need a large
+share, vectors with some structure a small one.
 
-PROBED is high as the vectors of the given tables have no structure that an index could use: on such
-data a recall of 0.9 takes more than half of the entries.
+Entries are dealt by cell into blocks, a cell of many entries over several. A task reads a block's entries
+and then the queries that probe it, as a stream, so no entry is copied for queries and memory holds
+one block and a batch of queries; it returns each query's best TOP there.
 
 Nearness is the largest inner product, in double precision; ties go to the smaller vec_id.
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,22 +38,37 @@ from pyspark.sql import functions as F
 from concord.llm import common
 
 TOP = 20
-PROBED = 0.75
+TARGET = 0.96
+TRIED = 96
 FIT_ROWS = 20_000
 FIT_STEPS = 12
-BLOCKS, LEAST_BLOCK, LARGEST_BLOCK = 24, 128, 32_768
-QUERY_PART = 16_384
+#: Entries of a cell on average, while there are few enough.
+CELL = 4
+BLOCKS, LEAST_BLOCK, LARGEST_BLOCK = 24, 8192, 32_768
+#: Queries whose walks are one task.
+WALKS = 128
 
 
 @dataclass(frozen=True)
 class Index:
-    """Codebooks of both halves, entries in each cell, and each cell's first block and number of blocks."""
+    """Codebooks of both halves, entries in each cell, each cell's first block and number of blocks, and the share of entries that a walk passes."""
 
     first: np.ndarray
     second: np.ndarray
     counts: np.ndarray
     block: np.ndarray
     spread: np.ndarray
+    probed: float
+
+    @property
+    def blocks(self) -> int:
+        return int((self.block + self.spread).max())
+
+    def sums(self, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The centroids' inner products with queries (rows), summed for each of some cells (columns); always in the same order."""
+        half = self.first.shape[1]
+        a, b = (np.stack([codebook @ part for part in parts]) for codebook, parts in ((self.first, q[:, :half]), (self.second, q[:, half:])))
+        return a[:, cells // len(self.second)] + b[:, cells % len(self.second)]
 
     @property
     def size(self) -> int:
@@ -89,7 +106,7 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def centroids(n: int) -> int:
     """For each half; their square is the number of cells."""
-    return int(min(max(round((n / 16) ** 0.5), 2), 1024))
+    return int(min(max(round((n / CELL) ** 0.5), 2), 1024))
 
 
 def fit(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,87 +150,157 @@ def build(rows: DataFrame) -> tuple[Index, DataFrame] | None:
             at, room = at + 1, size
         block[cell] = at
         room -= c
-    index = Index(first, second, counts, block, spread)
+    index = Index(first, second, counts, block, spread, 1.0)
+    index = replace(index, probed=measured_share(rows, celled, index))
     places = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(counts), dtype=np.int32), "block": block, "spread": spread}))
     entries = celled.join(F.broadcast(places), "cell").withColumn("block", (F.col("block") + F.pmod(F.xxhash64("vec_id"), F.col("spread"))).cast("int"))
     return index, entries.select("vec_id", "vector", "cell", "block")
 
 
-def walk(q: np.ndarray, index: Index, wanted: int) -> list[int]:
-    """Cells in falling order of the centroids' inner products with the query, until they hold so many entries."""
+def measured_share(rows: DataFrame, celled: DataFrame, index: Index, tried: int = TRIED, target: float = TARGET, top: int = TOP) -> float:
+    """The share of entries within which walks from tried vectors meet the target share of their true nearest."""
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(tried).collect()
+    ids, q = np.array([r.vec_id for r in sample]), np.array([r.vector for r in sample])
+
+    def nearest_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, own, cells = batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
+            score = q @ x.T
+            score[ids[:, None] == own[None]] = -np.inf
+            m = min(top, len(own))
+            at = np.argpartition(-score, m - 1, axis=1)[:, :m] if m else np.zeros((len(q), 0), dtype=int)
+            who = np.repeat(np.arange(len(q)), m)
+            at = at.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int32)), pa.array(score[who, at]), pa.array(cells[at])], names=["query", "score", "cell"])
+
+    found = celled.mapInArrow(nearest_here, "query int, score double, cell int").where(F.col("score") > float("-inf"))
+    found = common.materialize(found, "tried")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cell"))
+    truth = found.withColumn("rank", rank).where(F.col("rank") <= top).select("query", "cell").collect()  # tried * top rows
+    if not truth:
+        return 1.0
+    cells = np.flatnonzero(index.counts)
+    passed = []
+    for k, own in enumerate(index.sums(q, cells)):
+        order = np.argsort(-own, kind="stable")
+        upto = np.empty(len(cells))
+        upto[order] = np.cumsum(index.counts[cells][order])
+        passed += [upto[np.searchsorted(cells, r.cell)] for r in truth if r["query"] == k]
+    return min(1.0, float(np.quantile(passed, target)) / index.size)
+
+
+def walk(q: np.ndarray, index: Index, counts: list[int], wanted: int) -> tuple[float, set[int]]:
+    """Pass cells in falling order of the centroids' inner products with the query until they hold so many entries: (the last sum, the blocks met)."""
     half = index.first.shape[1]
     a, b = index.first @ q[:half], index.second @ q[half:]
     i_order, j_order = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+    first, second = (i_order * len(b)).tolist(), j_order.tolist()
     a, b = a[i_order].tolist(), b[j_order].tolist()
-    width = len(index.second)
     heap = [(-(a[0] + b[0]), 0, 0)]
-    out, held = [], 0
+    met, held, last = set(), 0, 0.0
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(i_order[i]) * width + int(j_order[j])
-        if index.counts[cell]:
-            out.append(cell)
-            held += int(index.counts[cell])
-        if j + 1 < len(b):
-            heapq.heappush(heap, (-(a[i] + b[j + 1]), i, j + 1))
+        last, i, j = heap[0]
+        cell = first[i] + second[j]
+        if counts[cell]:
+            held += counts[cell]
+            met.add(cell)
         if j == 0 and i + 1 < len(a):
             heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
-    return out
-
-
-def best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, rough: np.ndarray, top: int, repeats: int) -> tuple[np.ndarray, np.ndarray]:
-    """The top of some entries by exact score, ties to the smaller id, each id once; rough scores choose what is
-    scored exactly. repeats: how many entries share their id with another."""
-    keep = np.flatnonzero(ids != query_id)
-    if len(keep) > (most := top + repeats):
-        r = rough[keep]
-        keep = keep[r >= np.partition(r, len(r) - most)[len(r) - most] - 1e-9 * (1 + np.abs(r).max())]
-    score = (x[keep] * q).sum(axis=1)  # row by row in one order, so equal vectors score equally anywhere
-    order = np.lexsort((ids[keep], -score))
-    if repeats:
-        order = order[np.sort(np.unique(ids[keep][order], return_index=True)[1])]
-    return ids[keep][order[:top]], score[order[:top]]
-
-
-def search(queries: DataFrame, index: Index, entries: DataFrame, top: int = TOP, probed: float = PROBED) -> DataFrame:
-    """query_id, rank, vec_id, score. queries: from usable(), with vec_id the query's id."""
-    wanted = int(np.ceil(probed * index.size))
-    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+        if j + 1 < len(b):
+            heapq.heapreplace(heap, (-(a[i] + b[j + 1]), i, j + 1))
+        else:
+            heapq.heappop(heap)
+    cells = np.fromiter(met, dtype=np.int64, count=len(met))
+    blocks = set(index.block[cells].tolist())
+    for cell in cells[index.spread[cells] > 1].tolist():
+        blocks.update(range(int(index.block[cell]), int(index.block[cell] + index.spread[cell])))
+    return -last, blocks
+
+
+class BlockOfEntries:
+    """One block's entries by cell, and the reranking of queries that probe some of its cells."""
+
+    def __init__(self, index: Index, ids: np.ndarray, x: np.ndarray, cells: np.ndarray) -> None:
+        order = np.lexsort((ids, cells))
+        self.index, self.ids, self.x = index, ids[order], x[order]
+        self.cells, starts = np.unique(cells[order], return_index=True)
+        self.ends = np.append(starts, len(ids))
+        self.repeats = len(ids) - len(np.unique(ids))
+
+    def rerank(self, query_ids: np.ndarray, q: np.ndarray, last: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query_id, vec_ids, scores) of each query's best here, ties to the smaller id, each id once."""
+        passed = self.index.sums(q, self.cells) >= last[:, None]
+        rough = np.full((len(q), len(self.ids)), -np.inf)
+        for c in np.flatnonzero(passed.any(axis=0)):  # only the cells that are probed, each for the queries that probe it
+            lo, hi = self.ends[c], self.ends[c + 1]
+            asking = np.flatnonzero(passed[:, c])
+            rough[asking, lo:hi] = q[asking] @ self.x[lo:hi].T
+        rough[query_ids[:, None] == self.ids[None]] = -np.inf
+        most = top + self.repeats
+        for query_id, vector, scores in zip(query_ids.tolist(), q, rough, strict=True):
+            if most < len(scores):
+                least = np.partition(scores, len(scores) - most)[len(scores) - most]
+                keep = np.flatnonzero((scores >= least - 1e-9 * (1 + abs(least))) & (scores > -np.inf))
+            else:
+                keep = np.flatnonzero(scores > -np.inf)
+            exact = (self.x[keep] * vector).sum(axis=1)  # row by row in one order, so equal vectors score equally anywhere
+            order = np.lexsort((self.ids[keep], -exact))
+            if self.repeats:
+                order = order[np.sort(np.unique(self.ids[keep][order], return_index=True)[1])]
+            yield query_id, self.ids[keep][order[:top]], exact[order[:top]]
+
+
+def search(queries: DataFrame, index: Index, entries: DataFrame, top: int = TOP, probed: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score. queries: from usable(), with vec_id the query's id; probed: in place of the measured share."""
+    wanted = int(np.ceil((index.probed if probed is None else probed) * index.size))
+    queries = common.materialize(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    row = "block int, query_id long, vec_id long, vector array<double>, cell int, last double"
+    names = [f.split()[0] for f in row.split(", ")]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = index.counts.tolist()
         for batch in batches:
-            out: dict[str, list] = {"block": [], "query_id": [], "query": [], "cells": []}
+            out: dict[str, list] = {k: [] for k in names}
             for query_id, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                at: dict[int, list[int]] = {}
-                for cell in walk(np.array(vector), index, wanted):
-                    for k in range(int(index.spread[cell])):
-                        at.setdefault(int(index.block[cell]) + k, []).append(cell)
-                for block, cells in at.items():
-                    for column, value in zip(out.values(), (block, query_id, vector, cells), strict=True):
+                last, blocks = walk(np.array(vector), index, counts, wanted)
+                for block in blocks:
+                    for column, value in zip(out.values(), (block, query_id, None, vector, None, last), strict=True):
                         column.append(value)
-            types = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
-
-    def rerank(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(e) and len(q):
-            e = e.sort_values("cell", kind="stable")
-            x, ids, cells = np.stack(e["vector"].to_numpy()), e["vec_id"].to_numpy(), e["cell"].to_numpy()
-            repeats = len(ids) - len(np.unique(ids))
-            for lo in range(0, len(q), 256):
-                part = q.iloc[lo : lo + 256]
-                rough = np.stack(part["query"].to_numpy()) @ x.T
-                for r, (query_id, vector, probed_cells) in zip(rough, zip(part["query_id"], part["query"], part["cells"], strict=True), strict=True):
-                    here = np.isin(cells, probed_cells)
-                    found, score = best(ids[here], x[here], query_id, np.asarray(vector), r[here], top, repeats)
-                    out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    parts = -(-queries.count() // QUERY_PART) or 1
-    of_query = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
-    asked = queries.mapInArrow(probe, "block int, query_id long, query array<double>, cells array<int>").withColumn("part", of_query)
-    held = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else entries.withColumn("part", F.lit(0))
-    found = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=names)
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("vector").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block, a block's entries before its queries."""
+        at, held, block = None, [], None
+        for batch in batches:
+            keys, asked = batch.column("block").to_numpy(), ~np.isnan(batch.column("last").to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (asked[1:] != asked[:-1])) + 1 if len(keys) else []
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True) if len(keys) else ():
+                part = batch.slice(lo, hi - lo)
+                if at != keys[lo]:
+                    at, held, block = keys[lo], [], None
+                if not asked[lo]:
+                    held.append((part.column("vec_id").to_numpy(), matrix(part), part.column("cell").to_numpy()))
+                    continue
+                if block is None:
+                    block = BlockOfEntries(index, *[np.concatenate(v) for v in zip(*held, strict=True)])
+                    held = []
+                step = max(1, (1 << 21) // len(block.ids))  # 16 MB of scores
+                for start in range(0, part.num_rows, step):
+                    some = part.slice(start, step)
+                    found = list(block.rerank(some.column("query_id").to_numpy(), matrix(some), some.column("last").to_numpy(), top))
+                    ids, scores = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    n = queries.count()
+    asked = common.materialize(queries.repartition(max(1, min(-(-n // WALKS), 10_000))).mapInArrow(probe, row), "probes")
+    none = lambda kind: F.lit(None).cast(kind)
+    held = entries.select("block", none("long").alias("query_id"), "vec_id", "vector", "cell", none("double").alias("last"))
+    by_block = held.unionByName(asked).repartitionById(max(1, index.blocks), F.col("block")).sortWithinPartitions("block", F.col("last").isNotNull())
+    found = common.materialize(by_block.mapInArrow(rerank, "query_id long, vec_id long, score double"), "nearest")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
