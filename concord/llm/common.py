@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +57,42 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+#: The tables written so far in the finished() function that is under way.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def finished(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """make, with its result written to the shared folder and the tables that it wrote on the way deleted."""
+
+    @wraps(make)
+    def run(*args, **named) -> DataFrame:
+        written: list[str] = []
+        around = _WRITTEN.set(written)
+        try:
+            out = make(*args, **named)
+            kept = materialize(out, make.__name__)
+        finally:
+            _WRITTEN.reset(around)
+        if (outer := _WRITTEN.get()) is not None:
+            outer.append(written[-1])
+        for path in written[:-1]:
+            delete(out.sparkSession, path)
+        return kept
+
+    return run
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     with bounded_batches(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -137,6 +137,7 @@ def _of_documents(found: DataFrame, sets: DataFrame) -> DataFrame:
     return per_doc.join(mixed, "set_ids").select(*KEY, "n_hit", "item_ids")
 
 
+@common.finished
 def flag(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """All columns of docs but text, with n_words, n_hit and item_ids in place of any of these names."""
     own = ("text", "text_hash", "n_words", "n_hit", "item_ids")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concord.llm import common
 
 
+@common.finished
 def components(links: DataFrame) -> DataFrame:
     """node, component: the smallest node that each linked node reaches. links: a, b (long).
 

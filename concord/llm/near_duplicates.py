@@ -404,6 +404,7 @@ def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, thres
     return common.materialize(found_links, "confirmed")
 
 
+@common.finished
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of docs."""
     signed = common.materialize(sign(docs, words), "signed")

@@ -306,6 +306,7 @@ def search(queries: DataFrame, index: Index, entries: DataFrame, top: int = TOP,
     return once.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
+@common.finished
 def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     built = build(rows)

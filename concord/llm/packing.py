@@ -235,6 +235,12 @@ def digest(places: DataFrame, pieces: DataFrame) -> DataFrame:
     )
 
 
-def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places, pieces = pack(common.documents(spark, sf_dir), end_id=2)
+@common.finished
+def packed(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, window: int = WINDOW) -> DataFrame:
+    """The digest of docs packed; the ids are not kept."""
+    places, pieces = pack(docs, end_id, tokenizer_path, window)
     return digest(common.materialize(places, "places"), pieces)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(common.documents(spark, sf_dir), end_id=2)

@@ -49,7 +49,6 @@ RULES = (
 BASE = tuple(r.kind for r in RULES[:3])
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
-LEDGER = f"blob string, kind string, rule_version int, spans array<{SPAN}>"
 
 
 def blob_of(text: Column) -> Column:
@@ -81,10 +80,6 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(may, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
-
-
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """New entries of the ledger: one for each rule and blob of versions that it lacks."""
     blobs = versions.select(common.whole_text(F.col(text)).alias("text")).withColumn("blob", blob_of(F.col("text")))
@@ -154,6 +149,7 @@ def digest(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@common.finished
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     ledger = common.materialize(scan(docs), "secret-ledger")

@@ -6,8 +6,11 @@ the shard with the fewest bytes, and stores the map as a table with a version. R
 it takes the fewest slots from shards that are too full and raises the version; records of all other
 slots stay where they are. Adding a shard is an edit that moves slots to the new shard alone.
 
-A slot whose bytes exceed 1 / HOT_PARTS of an average shard (one key, or copies, with a large part of
-all rows) is dealt in SALTS parts by the input partition that a record was read from.
+A slot whose bytes exceed 1 / HOT_PARTS of an average shard (one key with a large part of all rows) is dealt in
+SALTS parts, whose records take turns in the order in which they were read; the turn is written with the record.
+
+Equal texts are no group here: a record is placed by its doc_id and text, so copies of a text under other
+doc_ids go to any shard, and a text that a third of all records hold doesn't make a shard larger.
 
 A record's place in its shard counts from 0 without gaps: slots of a shard follow each other, records of
 a slot follow by doc_id.
@@ -57,7 +60,7 @@ def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(binary) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(binary).alias("text_crc32"),
         F.pmod(F.xxhash64(F.col("doc_id"), binary), F.lit(slots)).cast("int").alias("virtual_slot"),
-        (F.spark_partition_id() % SALTS).alias("salt"),
+        (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"),
     )
 
 
@@ -156,6 +159,17 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None =
     return place(rows, slot_map)
 
 
+def reshard(docs: DataFrame, shards: int, folder: str, version: int, tolerance: float = 0.01) -> DataFrame:
+    """Place all docs, which may have changed, by the stored version of the map edited for their sums and the number of shards; the edited map is stored as the next version."""
+    spark = docs.sparkSession
+    before = load(spark, folder, version)
+    slots = int(before.agg(F.max("slot")).first()[0]) + 1
+    rows = common.materialize(with_slots(docs, slots), "slotted")
+    held = {(r.slot, r.salt): r.shard for r in before.collect()}  # slots * SALTS rows at most
+    return place(rows, store(spark, rebalance(held, units(rows, shards, slots), shards, tolerance), folder, version + 1))
+
+
+@common.finished
 def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(common.documents(spark, sf_dir).select("doc_id", "text"), 24)
     return placed.select(
