@@ -1,7 +1,14 @@
 """From raw documents to packed training sequences, a stage at a time.
 
-Every stage but the last takes and returns the columns of documents; run() writes each stage's rows to
-the shared folder and reads them again, so a later stage never computes an earlier one twice.
+Every stage but the last takes and returns the columns of documents, whatever others there are beside doc_id and
+text, under their names and as they are; run() writes each stage's rows to the shared folder and reads them again, so
+a later stage never computes an earlier one twice.
+
+Defined cases, stage by stage: a null text counts as an empty one, which the classifier scores like any other and
+whose kept row stays null; a null or empty text is no near-duplicate, holds no passage and no secret, and packs as the
+end id alone. Repeated rows are scored alike, are one document for the near-duplicate stage, which keeps them
+all or none, and are packed each for itself. A null doc_id is linked with nothing. Texts are read whole, however long.
+An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from concord.llm import common, decontaminate, near_duplicates, packing, quality
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labels of rows that aren't held out."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.accept(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +38,13 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars brought up to date."""
     ledger = common.materialize(secrets.scan(docs), "secret-ledger")
-    return secrets.redact(docs, ledger).withColumn("n_chars", F.length("text").cast("long"))
+    masked = secrets.redact(docs, ledger)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 4096 tokens."""
-    places, pieces = packing.pack(docs, end_id=2)
-    return packing.digest(common.materialize(places, "places"), pieces)
+    return packing.packed(docs, end_id=2)
 
 
 STAGES = [
