@@ -268,7 +268,7 @@ def _again(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame,
     sizes = keyed.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
     regions = sizes.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
     mixed = regions.select("tree", "region", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("main")).where("others > 0")
-    mixed = mixed.withColumn("few", F.col("others") <= PAIRED)
+    mixed = _small(common.materialize(mixed.withColumn("few", F.col("others") <= PAIRED), "mixed-regions"))
     others = common.materialize(keyed.join(mixed, ["tree", "region"]).where(F.col("component") != F.col("main")), "region-others")
     x, y = others.where("few").alias("x"), others.where("few").alias("y")
     apart = (F.col("x.component") < F.col("y.component")) & (_bits("x", "y") <= MOST_BITS)
@@ -323,6 +323,15 @@ class Block:
         return sets[100 * both >= self.threshold * (self.sizes[i] + n - both)]
 
 
+#: Rows of regions or components that are sent to all executors at most, about 10 MB.
+FEW_REGIONS = 100_000
+
+
+def _small(written: DataFrame) -> DataFrame:
+    """A written table, sent to all executors in joins if it has few rows."""
+    return F.broadcast(written) if written.count() <= FEW_REGIONS else written
+
+
 def _parts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """keys and the number of blocks that their rows (shingles) make."""
     total = rows.groupBy(*keys).agg(F.sum(F.size("shingles").cast("long")).alias("total"), F.count("*").alias("n"))
@@ -340,7 +349,7 @@ def _within_regions(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshol
         return sets.sparkSession.createDataFrame([], "a long, b long")
     roots = F.transform("labels", lambda x: F.substring(x, 1, 2 * LEAST_DEPTH))
     rows = many.join(nodes.select("node", roots.alias("roots")), "node").join(sets, "node")
-    rows = rows.join(_parts(rows, ["tree", "region"], "parts"), ["tree", "region"]).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.join(_small(common.materialize(_parts(rows, ["tree", "region"], "parts"), "region-blocks")), ["tree", "region"]).withColumn("own_part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"p": F.least("own_part", "other_part"), "q": F.greatest("own_part", "other_part")})
 
@@ -377,7 +386,7 @@ def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, thres
     # A component of one node is in no link, so found lacks it: its only member is the node that it is named by.
     members = wanted.select("component").distinct().join(found.select("component", "node"), "component", "left").select("component", F.coalesce("node", "component").alias("node"))
     held = members.join(sets, "node").select("component", "node", "shingles")
-    dealt = common.materialize(_parts(asking, ["component"], "asking_parts").join(_parts(held, ["component"], "held_parts"), "component"), "component-blocks")
+    dealt = _small(common.materialize(_parts(asking, ["component"], "asking_parts").join(_parts(held, ["component"], "held_parts"), "component"), "component-blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     left = asking.join(dealt, "component").withColumn("p", own("asking_parts")).withColumn("q", every("held_parts")).select("component", "p", "q", "node", "shingles")

@@ -181,7 +181,8 @@ def assign(pieces: DataFrame, window: int = WINDOW, slack: float = SLACK) -> Dat
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row for each length to the window's
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    # A row for each use of a length: patterns are at most as many as lengths and combinations.
+    # A row for each use of a length: at most three for each of the combinations, whose number the window bounds
+    # (half of it in pairs, TRIPLE_LENGTHS squared in triples), and a few for each length that is left: some 50,000 rows.
     table = spark.createDataFrame(plan(histogram, window, slack), PLAN)
     ranked = narrow.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("rank_in_part"))
     placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("rank") >= table["lo"]) & (F.col("rank") < table["hi"])).drop(table["length"])
@@ -219,8 +220,14 @@ def pack(docs: DataFrame, end_id: int, tokenizer_path: str | None = None, window
     return assign(pieces, window, slack), pieces
 
 
+#: Places that are sent to all executors at most, some 150 bytes each.
+FEW_PLACES = 100_000
+
+
 def with_ids(places: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The places with their ids as little-endian unsigned 32-bit bytes."""
+    """The places with their ids as little-endian unsigned 32-bit bytes. Few places are sent to where the pieces are, so these are not shuffled."""
+    if places.limit(FEW_PLACES + 1).count() <= FEW_PLACES:
+        places = F.broadcast(places)
     joined = places.join(pieces.select("part", "length", "rank_in_part", "ids"), ["part", "length", "rank_in_part"])
     return joined.withColumn("ids", F.substring("ids", (4 * F.col("cut_start") + 1).cast("int"), (4 * F.col("cut_length")).cast("int")))
 
