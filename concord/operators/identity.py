@@ -161,17 +161,27 @@ def classify_source(s: dict[str, Column]) -> Column:
 
 
 def duplicates(tracks: DataFrame, keys: list[str], seconds: float = 2.0) -> DataFrame:
-    """track_id, duplicate_of: a strong key in common and durations within the given seconds; the survivor has the best bitrate, then clean audio, then the smaller id.
+    """track_id, duplicate_of: a strong key in common and durations within the given seconds of each other, to the millisecond.
 
-    tracks: track_id, duration_s, bitrate, is_art_track and the keys. Rows are compared with their
-    neighbours in order of duration within a key, so a frequent key costs no pairs.
+    tracks: track_id, duration_s, bitrate, is_art_track and the keys. Better is the higher bitrate, then clean audio, then
+    the smaller id. A file that is the best of all that are this near to it, by any key, stays; a file near to
+    such a one is a duplicate of the best of them. So nothing goes for a file that goes itself, or that is near
+    only by way of a third. A window holds the rows of one key that are near a span of durations, so a
+    frequent key is spread over many.
     """
-    out = None
-    for k in keys:
-        rows = tracks.where(F.col(k).isNotNull() & (F.col(k) != "") & F.col("duration_s").isNotNull())
-        w = Window.partitionBy(k).orderBy("duration_s", "track_id")
-        run = F.sum(F.when(F.col("duration_s") - F.lag("duration_s").over(w) <= seconds, 0).otherwise(1)).over(w)
-        best = Window.partitionBy(k, "run").orderBy(F.desc("bitrate"), F.desc("is_art_track"), "track_id")
-        found = rows.withColumn("run", run).withColumn("duplicate_of", F.first("track_id").over(best)).where(F.col("duplicate_of") != F.col("track_id")).select("track_id", "duplicate_of")
-        out = found if out is None else out.union(found)
-    return out.groupBy("track_id").agg(F.min("duplicate_of").alias("duplicate_of"))
+    near_ms, span = int(seconds * 1000), max(int(seconds * 32_000), 1000)
+    strong = F.array(*[F.when(F.col(k).isNotNull() & (F.col(k).cast("string") != ""), F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("value"))) for k in keys])
+    rows = tracks.where(F.col("duration_s").isNotNull()).select("track_id", F.round(F.col("duration_s") * 1000).cast("long").alias("at"), F.struct("bitrate", "is_art_track", (-F.col("track_id")).alias("older")).alias("worth"), F.explode(strong).alias("key")).where("key IS NOT NULL")
+    part = lambda c: F.floor(c / span)
+    near = Window.partitionBy("key", "part").orderBy("at").rangeBetween(-near_ms, near_ms)
+
+    def best_near(rows: DataFrame, worth: Column) -> DataFrame:
+        """track_id, worth, best: the most of worth near each row, by any key."""
+        spread = rows.withColumn("part", F.explode(F.sequence(part(F.col("at") - near_ms), part(F.col("at") + near_ms))))
+        seen = spread.withColumn("best", F.max(worth).over(near)).where(F.col("part") == part(F.col("at")))
+        return seen.groupBy("track_id").agg(F.first("worth").alias("worth"), F.max("best").alias("best"))
+
+    stays = best_near(rows, F.col("worth")).where(F.col("best") == F.col("worth")).select("track_id", F.lit(True).alias("stays"))
+    judged = best_near(rows.join(stays, "track_id", "left"), F.when(F.col("stays"), F.col("worth")))
+    gone = judged.where(F.col("best") > F.col("worth"))
+    return gone.select("track_id", (-F.col("best.older")).alias("duplicate_of"))

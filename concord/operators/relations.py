@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -17,11 +18,6 @@ def coalesce_relations(keys: Sequence[str], *tiers: DataFrame) -> DataFrame:
     return out
 
 
-def first_by(value: Column, *order: Column) -> Column:
-    """Aggregate: the value of the row that comes first. The last order column must break all ties."""
-    return F.min_by(value, F.struct(*order))
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], protect: Column | None = None) -> DataFrame:
     """old with new rows in place of those of the same keys, but for old rows that are protected."""
     kept = old.where(protect) if protect is not None else old.limit(0)
@@ -66,9 +62,12 @@ class Snapshot:
         return v
 
 
-def table_names(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables())
-
-
-def scratch(name: str) -> str:
-    return f"{name}_{uuid.uuid4().hex[:8]}"
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one in spark.checkpoint.dir, which driver and executors share; a local session may go without that setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="concord-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
+from concord.operators import fuse
 from concord.operators.relations import insert_or_ignore, upsert
 
 SCHEMA_VERSION = 4
@@ -45,6 +46,42 @@ def run_report(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def register_files(files: DataFrame, tracks: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, tracks) with the probed files that aren't there yet, and a track at the first stage for each new one.
+
+    probes: origin, video_id, local_path, staging_path, sha256, duration_s, codec, bitrate, sample_rate, itag, channel,
+    description, raw_tags. A video is registered once; ids follow the largest there is, in order of the path.
+    """
+    known = files.where(F.col("video_id").isNotNull()).select("video_id")
+    once = probes.withColumn("_n", F.row_number().over(Window.partitionBy(F.coalesce("video_id", "staging_path")).orderBy("staging_path"))).where("_n = 1").drop("_n")
+    fresh = numbered(once.join(known, "video_id", "left_anti"), "staging_path", files, "file_id")
+    made = numbered(fresh.select("file_id"), "file_id", tracks, "track_id")
+    return files.unionByName(fresh, allowMissingColumns=True), tracks.unionByName(made.select("track_id", F.col("file_id").alias("source_file_id"), F.lit(vocab.STAGES[0]).alias("stage"), F.lit("pending").alias("status")), allowMissingColumns=True)
+
+
+def numbered(rows: DataFrame, order: str, table: DataFrame, key: str) -> DataFrame:
+    """rows with a key that goes on from the largest of table, in order of a column.
+
+    A range sort numbers the rows of a partition; how many come before is a sum over counts, one for each partition.
+    """
+    ordered = rows.sort(order).withColumn("_at", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    counts = ordered.groupBy("_at").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_at", before.alias("_before")).crossJoin(table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last")))  # one row
+    out = ordered.join(F.broadcast(starts), "_at").withColumn(key, F.col("_last") + F.col("_before") + F.col("_i") + 1)
+    return out.drop("_at", "_i", "_before", "_last")
+
+
+def append_candidates(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Every value every source offered; what was stored stays. ord goes on within a track from the largest that is stored."""
+    rows = new.withColumn("ord", F.row_number().over(Window.partitionBy("track_id").orderBy("ord", "source", "field", "value")).cast("long") - 1)
+    if stored is None:
+        return rows
+    after = stored.groupBy("track_id").agg(F.max("ord").alias("_last"))
+    rows = rows.join(after, "track_id", "left").withColumn("ord", F.col("ord") + F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last")
+    return stored.unionByName(rows.select(*stored.columns))
+
+
 def unseen(refs: DataFrame, source_files: DataFrame) -> DataFrame:
     """refs not downloaded before; rejected ones count as seen."""
     return refs.join(source_files.where(F.col("video_id").isNotNull()).select("video_id"), "video_id", "left_anti")
@@ -87,6 +124,54 @@ def adopt(resolved: DataFrame, wishes: DataFrame, candidates: DataFrame) -> Data
     return upsert(resolved, rows.select("track_id", "field", "w.*", F.lit("manual").alias("decided_by")), ["track_id", "field"])
 
 
+def accept(tracks: DataFrame, resolved: DataFrame, queue: DataFrame, candidates: DataFrame, ranking: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tracks, resolved, queue) after the given ids were approved: decided where there are candidates, dequeued, published.
+
+    Decisions by hand stay. A track that was published before keeps its path unless its name has changed and the new
+    one isn't taken; a track that can't be named, as it has neither artist nor title, has failed.
+    """
+    ids = ids.select("track_id").distinct()
+    here = tracks.join(ids, "track_id", "left_semi").select("track_id", F.coalesce("genre_family", F.lit("other")).alias("family"), "published_path")
+    decisions = fuse.arbitrate(candidates.join(here.select("track_id", "family"), "track_id"), ranking)
+    after = fuse.persist(resolved, decisions)
+    of = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
+    named = here.join(after.groupBy("track_id").agg(of("artist"), of("title")), "track_id", "left")
+    known = (T.text("artist") != "") | (T.text("title") != "")
+    fresh = publish_paths(named.where(F.col("published_path").isNull() & known)).select("track_id", F.col("path").alias("_path"))
+    taken = tracks.where(F.col("published_path").isNotNull()).select(F.col("published_path").alias("_taken")).distinct()
+    again = named.where(F.col("published_path").isNotNull()).withColumn("_new", T.filename(F.col("artist"), F.col("title")))
+    again = again.join(taken, F.col("_new") == F.col("_taken"), "left").select("track_id", F.when(known & F.col("_taken").isNull(), F.col("_new")).otherwise(F.col("published_path")).alias("_path"))
+    marked = tracks.join(ids.withColumn("_ok", F.lit(True)), "track_id", "left").join(fresh.unionByName(again), "track_id", "left")
+    ok = F.coalesce("_ok", F.lit(False))
+    out = {
+        "status": F.when(ok, F.when(F.col("_path").isNull(), "failed").otherwise("published")).otherwise(F.col("status")),
+        "error": F.when(ok, F.when(F.col("_path").isNull(), "no artist and no title")).otherwise(F.col("error")),
+        "published_path": F.when(ok, F.col("_path")).otherwise(F.col("published_path")),
+    }
+    return marked.withColumns(out).select(*tracks.columns), after, dequeue(queue, ids)
+
+
+def track_detail(tracks: DataFrame, files: DataFrame, candidates: DataFrame, resolved: DataFrame, ranking: DataFrame, ids: DataFrame) -> DataFrame:
+    """The given tracks with their file's columns, candidates by field and source, decisions as shown in files, and a preview of what accepting would decide."""
+    ids = ids.select("track_id").distinct()
+    head = tracks.join(ids, "track_id", "left_semi").join(files.withColumnRenamed("file_id", "source_file_id"), "source_file_id")
+    offered = candidates.join(ids, "track_id", "left_semi")
+    shown = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
+    listed = offered.groupBy("track_id").agg(shown("field", "source", "ord", "value").alias("candidates"))
+    decided = resolved.join(ids, "track_id", "left_semi").withColumn("display", house_style(F.col("field"), F.col("value")))
+    decided = decided.groupBy("track_id").agg(shown("field", "value", "source", "decided_by", "display").alias("resolved"))
+    family = head.select("track_id", F.coalesce("genre_family", F.lit("other")).alias("family"))
+    preview = fuse.arbitrate(offered.join(family, "track_id"), ranking).groupBy("track_id").agg(shown("field", "value", "source", "decided_by").alias("preview"))
+    return head.join(listed, "track_id", "left").join(decided, "track_id", "left").join(preview, "track_id", "left")
+
+
+def migrated(tracks: DataFrame, version: int) -> DataFrame:
+    """Rows of an older schema version as SCHEMA_VERSION has them: version 4 added the cover that a published file holds, unknown before."""
+    if version > SCHEMA_VERSION:
+        raise ValueError(f"schema version {version} is newer than {SCHEMA_VERSION}")
+    return tracks if version >= 4 or "artwork_url" in tracks.columns else tracks.withColumn("artwork_url", F.lit(None).cast("string"))
+
+
 def reject(tracks: DataFrame, queue: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tracks, queue): rejected tracks are skipped and lose their paths; their source files stay, so they aren't fetched again."""
     gone = F.coalesce("_gone", F.lit(False))

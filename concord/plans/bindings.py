@@ -48,7 +48,7 @@ OBSERVATIONS = """
 SELECT event_id AS id, user_id AS track_id, CASE user_id % 6 WHEN 0 THEN 'electronic' WHEN 1 THEN 'hip-hop' WHEN 2 THEN 'pop' WHEN 3 THEN 'r&b-soul' WHEN 4 THEN 'world' ELSE 'other' END AS family,
        CASE user_id % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'artist' WHEN 2 THEN 'genre' ELSE 'label' END AS field,
        CASE event_id % 4 WHEN 0 THEN 'spotify' WHEN 1 THEN 'itunes' WHEN 2 THEN 'fileshare,itunes' ELSE '' END AS chosen, 'fileshare,itunes,spotify' AS offered
-FROM {events} WHERE user_id % 5 < 3
+FROM {events}
 """
 
 LIBRARY = """
@@ -61,7 +61,7 @@ FROM {orders}
 """
 
 FILES = """
-SELECT o_orderkey AS file_id, 'v' || CAST(o_orderkey % 1000 AS STRING) AS video_id, o_totalprice AS duration_s,
+SELECT o_orderkey AS file_id, 'v' || CAST(CAST(floor(o_orderkey / 16.0) AS BIGINT) AS STRING) AS video_id, CAST(180 + (o_orderkey * 7 % 32) * 0.75 AS DOUBLE) AS duration_s, 'a' || CAST(o_custkey AS STRING) AS acoustid,
        CASE o_custkey % 9 WHEN 0 THEN 0 WHEN 1 THEN 128 WHEN 2 THEN 255 ELSE 256 + o_custkey % 64 END AS bitrate, 'f' || CAST(o_orderkey % 5 AS STRING) AS itag, o_orderpriority LIKE '1%' AS is_art_track
 FROM {orders}
 """
@@ -74,6 +74,34 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_partkey % 5 WHEN 0
 FROM {lineitem}
 """
 
+#: A run of the resolver: what was downloaded, what the catalogues answered, what the classifier heard.
+DOWNLOADS = """
+SELECT p_partkey AS track_id, p_brand AS channel, p_name || CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 1 THEN ' (Foo Remix)' ELSE '' END AS raw_title,
+       CAST(CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 183 END AS DOUBLE) AS duration_s, CASE WHEN p_partkey % 23 = 0 THEN 'GBX' || CAST(p_partkey AS STRING) ELSE '' END AS isrc
+FROM {part}
+"""
+ANSWERS = """
+SELECT *, 'r' || CAST(track_id AS STRING) || '-' || CAST(position AS STRING) AS recording_id FROM (
+SELECT l_partkey AS track_id, CASE WHEN l_partkey % 23 = 0 AND l_suppkey % 2 = 0 THEN 0 WHEN l_partkey % 5 = 0 THEN 2 ELSE 1 END AS tier,
+       CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice) AS BIGINT) AS position,
+       p_brand AS artist, p_name || CASE l_suppkey % 5 WHEN 0 THEN ' (Live)' ELSE '' END AS title, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE 180 + l_orderkey % 9 END AS length,
+       CAST(l_quantity * 2 AS INT) AS score, l_linenumber AS n_releases, l_linenumber % 3 = 1 AS has_album, CAST(l_orderkey % 5 AS STRING) AS album
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_partkey % 7 <> 0) numbered
+"""
+ENRICHMENT = """
+SELECT p_partkey AS track_id, e.field AS field,
+       CASE e.field WHEN 'artist' THEN p_brand WHEN 'title' THEN p_name || CASE WHEN e.source = 'spotify' AND p_partkey % 3 = 2 THEN ' Other' ELSE '' END
+         WHEN 'genre' THEN CASE p_partkey % 6 WHEN 0 THEN 'Bollywood' WHEN 1 THEN 'Dance' ELSE 'Rock' END ELSE CASE p_partkey % 9 WHEN 0 THEN 'T-Series' ELSE 'Virgin' END END AS value,
+       e.source AS source, CAST(e.ord AS BIGINT) AS ord
+FROM {part} CROSS JOIN (SELECT 'itunes' AS source, 'title' AS field, 0 AS ord UNION ALL SELECT 'itunes', 'artist', 1 UNION ALL SELECT 'itunes', 'genre', 2 UNION ALL SELECT 'spotify', 'title', 100
+  UNION ALL SELECT 'spotify', 'artist', 101 UNION ALL SELECT 'discogs', 'label', 200 UNION ALL SELECT 'discogs', 'genre', 201) e
+WHERE NOT (e.source = 'spotify' AND p_partkey % 3 = 1)
+"""
+PREDICTIONS = """
+SELECT p_partkey AS track_id, CASE p_partkey % 4 WHEN 1 THEN 'Electronic' WHEN 2 THEN 'Hip Hop' ELSE 'Jazz' END AS genre, CASE p_partkey % 5 WHEN 0 THEN '' ELSE 'Style ' || CAST(p_partkey % 5 AS STRING) END AS style
+FROM {part} WHERE p_partkey % 4 <> 0
+"""
+
 RECORDINGS = """
 SELECT l_orderkey AS query_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice) AS BIGINT) AS position,
        'r' || CAST(l_partkey AS STRING) AS recording_id, 'Title ' || CAST(l_partkey % 3 AS STRING) AS title, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE 180 + l_partkey % 9 END AS length,

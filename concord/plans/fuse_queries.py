@@ -50,10 +50,15 @@ _DELUXE = " OR ".join(f"contains(lower(album), {S.q(w)})" for w in vocab.DELUXE_
 _CREDITS = ", ".join(map(S.q, vocab.COMPILATION_CREDITS))
 _NON_LABELS = ", ".join(map(S.q, vocab.NON_LABELS))
 
-#: Relations in order; the last, decisions, is the result.
-_CTES = f"""
-c AS ({B.duck(B.CANDIDATES)}),
-ranking(family, field, rank, source) AS (VALUES {_values(vocab.ranking_rows())}),
+BUILT_IN = f"SELECT * FROM (VALUES {_values(vocab.ranking_rows())}) v(family, field, rank, source)"
+
+
+def decisions_sql(candidates: str, ranking: str = BUILT_IN) -> str:
+    """Relations in order; the last, decisions, is the result. Both arguments are queries."""
+    return f"c AS ({candidates}),\nranking AS ({ranking}),{_RULES}"
+
+
+_RULES = f"""
 sizes AS (SELECT family, field, count(*) AS n FROM ranking GROUP BY ALL),
 r AS (SELECT c.*, coalesce(k.rank, s.n, 0) AS rk, k.rank IS NOT NULL AS ranked, field IN ('genre', 'artwork_url') OR (family = 'world' AND field = 'artist') AS skip
       FROM c LEFT JOIN ranking k USING (family, field, source) LEFT JOIN sizes s USING (family, field) WHERE value <> ''),
@@ -100,6 +105,7 @@ guests AS (SELECT t.track_id, list_filter({S.names("f.value")}, lambda x: NOT co
 decisions AS (SELECT track_id, field, CASE WHEN field = 'title' AND len(missing) > 0 THEN value || ' (feat. ' || CASE WHEN len(missing) = 1 THEN missing[1] ELSE array_to_string(missing[1:len(missing) - 1], ', ') || ' & ' || missing[len(missing)] END || ')' ELSE value END AS value, source, decided_by
               FROM base LEFT JOIN guests USING (track_id))
 """
+_CTES = decisions_sql(B.duck(B.CANDIDATES))
 _RESOLVED = f"resolved AS ({B.duck(B.RESOLVED)})"
 
 QUERIES = {

@@ -91,11 +91,12 @@ def best_recordings(spark, sf_dir):
     return identity.best_recording(ranked, albums, ["query_id"]).select("query_id", "recording_id", "rank")
 
 
-@query(f"""WITH r AS ({_R}), a AS (SELECT query_id, recording_id, position FROM r WHERE score >= 90), b AS (SELECT query_id, recording_id, position FROM r WHERE score BETWEEN 50 AND 89)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM a)""")
+@query(f"""WITH r AS ({_R}), a AS (SELECT query_id, recording_id, position FROM r WHERE score >= 90), b AS (SELECT query_id, recording_id, position FROM r WHERE score BETWEEN 50 AND 89),
+c AS (SELECT query_id, recording_id, position FROM r WHERE score < 50)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE query_id NOT IN (SELECT query_id FROM a) UNION ALL SELECT * FROM c WHERE query_id NOT IN (SELECT query_id FROM a UNION ALL SELECT query_id FROM b)""")
 def searched_recordings(spark, sf_dir):
     rows = B.relation(spark, sf_dir, B.RECORDINGS).select("query_id", "recording_id", "position", "score")
-    return identity.search_recordings(rows.where("score >= 90"), rows.where("score between 50 and 89"), rows.where("false"), ["query_id"]).drop("score")
+    return identity.search_recordings(rows.where("score >= 90"), rows.where("score between 50 and 89"), rows.where("score < 50"), ["query_id"]).drop("score")
 
 
 @query()
@@ -123,11 +124,13 @@ def source_verdicts(spark, sf_dir):
     return rows.select("track_id", identity.classify_source(signals)["verdict"].alias("verdict"))
 
 
-@query(f"""WITH f AS ({_F}), o AS (SELECT *, CASE WHEN duration_s - lag(duration_s) OVER (PARTITION BY video_id ORDER BY duration_s, file_id) <= 2000 THEN 0 ELSE 1 END AS brk FROM f),
-r AS (SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY duration_s, file_id) AS run FROM o), b AS (SELECT file_id, first_value(file_id) OVER (PARTITION BY video_id, run ORDER BY bitrate DESC, is_art_track DESC, file_id) AS keep FROM r)
-SELECT file_id AS track_id, keep AS duplicate_of FROM b WHERE keep <> file_id""")
+@query(f"""WITH f AS ({_F}), near AS (
+SELECT f.file_id, g.file_id AS other, g.bitrate, g.is_art_track FROM f JOIN f g ON f.video_id = g.video_id AND abs(f.duration_s - g.duration_s) <= 2
+UNION SELECT f.file_id, g.file_id, g.bitrate, g.is_art_track FROM f JOIN f g ON f.acoustid = g.acoustid AND abs(f.duration_s - g.duration_s) <= 2),
+best AS (SELECT file_id, arg_max(other, (bitrate, is_art_track, -other)) AS best FROM near GROUP BY 1), stays AS (SELECT file_id FROM best WHERE best = file_id)
+SELECT n.file_id AS track_id, arg_max(other, (bitrate, is_art_track, -other)) AS duplicate_of FROM near n JOIN stays s ON n.other = s.file_id WHERE n.file_id NOT IN (SELECT file_id FROM stays) GROUP BY 1""")
 def duplicate_files(spark, sf_dir):
-    return identity.duplicates(B.relation(spark, sf_dir, B.FILES).withColumnRenamed("file_id", "track_id"), ["video_id"], 2000.0)
+    return identity.duplicates(B.relation(spark, sf_dir, B.FILES).withColumnRenamed("file_id", "track_id"), ["video_id", "acoustid"])
 
 
 # --- calibration
@@ -203,9 +206,9 @@ def pending_tracks(spark, sf_dir):
     return store.pending(B.relation(spark, sf_dir, B.LIBRARY), "resolved").select("track_id")
 
 
-@query(f"WITH f AS ({_F}) SELECT DISTINCT 'v' || (event_id % 3000) AS video_id FROM events WHERE NOT EXISTS (SELECT 1 FROM f WHERE video_id = 'v' || (event_id % 3000))")
+@query(f"WITH f AS ({_F}) SELECT DISTINCT 'v' || event_id AS video_id FROM events WHERE NOT EXISTS (SELECT 1 FROM f WHERE video_id = 'v' || event_id)")
 def unseen_videos(spark, sf_dir):
-    refs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("v"), (F.col("event_id") % 3000).cast("string")).alias("video_id")).distinct()
+    refs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("video_id")).distinct()
     return store.unseen(refs, B.relation(spark, sf_dir, B.FILES))
 
 
@@ -259,10 +262,16 @@ def publish_paths(spark, sf_dir):
     return store.publish_paths(tracks).select("track_id", "path")
 
 
-@query(f"WITH {_PATHS} SELECT track_id, 'old/' || track_id AS old_path, stem || '.aiff' AS new_path FROM f")
+@query(f"""WITH {_PATHS}, g AS (SELECT track_id, stem || '.aiff' AS new_path, lead(stem || '.aiff') OVER (ORDER BY track_id) AS later FROM f),
+o AS (SELECT *, CASE track_id % 4 WHEN 0 THEN new_path WHEN 1 THEN coalesce(later, 'old') ELSE 'old/' || track_id END AS old_path FROM g)
+SELECT track_id, old_path, new_path FROM o WHERE old_path <> new_path AND new_path NOT IN (SELECT old_path FROM o)""")
 def rename_plan(spark, sf_dir):
-    tracks = B.relation(spark, sf_dir, B.TRACKS).select("track_id", F.col("raw_artist").alias("artist"), F.col("raw_title").alias("title"), F.concat(F.lit("old/"), F.col("track_id").cast("string")).alias("published_path"))
-    return store.rename_plan(tracks)
+    """A quarter of the files bear their name, a quarter the one that the next track would get, so that one is taken."""
+    tracks = B.relation(spark, sf_dir, B.TRACKS).select("track_id", F.col("raw_artist").alias("artist"), F.col("raw_title").alias("title"))
+    named = tracks.withColumn("own", T.filename(F.col("artist"), F.col("title")))
+    later = F.coalesce(F.lead("own").over(Window.orderBy("track_id")), F.lit("old"))  # the fixture's own order
+    path = F.when(F.col("track_id") % 4 == 0, F.col("own")).when(F.col("track_id") % 4 == 1, later).otherwise(F.concat(F.lit("old/"), F.col("track_id").cast("string")))
+    return store.rename_plan(named.withColumn("published_path", path).drop("own"))
 
 
 @query(f"""WITH r AS ({_RES}) SELECT track_id, max(value) FILTER (field = 'artist') AS artist, max(value) FILTER (field = 'title') AS title, max(value) FILTER (field = 'isrc') AS isrc, max(value) FILTER (field = 'comment') AS comment, 'catalog_number' AS skipped FROM r GROUP BY 1""")
@@ -369,7 +378,8 @@ def cache_keys(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def content_hashes(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return catalogues.content_hash(files).withColumnRenamed("path", "doc_id")
 
 
 @query("SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 1.0), (2, 2.0), (3, 4.0)) v(attempt, wait)")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from concord.operators.relations import shared_folder
 from concord.plans import sql_text as S
 from concord.sources import catalogues
 from concord.streaming import ingest
@@ -79,13 +77,16 @@ def cached_requests(spark, sf_dir):
 
 
 def streamed_ingest(spark, sf_dir):
-    """Events as arriving items: each item once, none that is in the archive, over one run of everything there is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="concord-")
-    base = f"{folder.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select((F.col("event_id") % 2000).alias("video_id"))
-    archive = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("video_id"))
-    ingest.ingest(stream, lambda: archive, f"{base}/sink", f"{base}/checkpoint").awaitTermination()
+    """Items that arrive in two micro-batches, the second with all of the first again: each item once, none that is in the archive."""
+    base = shared_folder(spark, "ingest")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("video_id"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("video_id"))
+    for part, rows in (("1", events), ("2", events.unionByName(orders))):
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/in-{part}")
+    archive = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("video_id"))
+    for part in ("1", "2"):  # the second run goes on where the first stopped
+        stream = spark.readStream.schema("video_id long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in-[1{part}]")
+        ingest.ingest(stream, lambda: archive, f"{base}/sink", f"{base}/checkpoint").awaitTermination()
     return ingest.read_sink(spark, f"{base}/sink", archive)
 
 
@@ -120,6 +121,6 @@ ORACLE = {
     "top_predictions": """WITH m AS (SELECT l_orderkey AS id, 'G' || (l_suppkey % 5) || '---S' || l_linenumber AS label, avg(l_quantity) AS a FROM lineitem GROUP BY ALL)
 SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY a DESC, label) AS rank, split_part(label, '---', 1) AS genre, split_part(label, '---', 2) AS style FROM m QUALIFY rank <= 3""",
     "cached_requests": "SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS response, o_orderstatus <> 'O' AS hit FROM orders",
-    "streamed_ingest": "SELECT DISTINCT event_id % 2000 AS video_id FROM events WHERE event_id % 2000 NOT IN (SELECT p_partkey FROM part)",
+    "streamed_ingest": "SELECT event_id AS video_id FROM events WHERE event_id NOT IN (SELECT c_custkey FROM customer) UNION SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)",
     "log_tail": "SELECT event_id AS seq, event_type AS level, left(props, 500) AS text FROM events WHERE event_id > 100 AND event_id > (SELECT max(event_id) FROM events) - 4000",
 }

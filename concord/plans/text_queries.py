@@ -41,7 +41,7 @@ TITLES = [
     ("Delilah (Tom Santa Remix)", "Delilah [Tom Santa Remix]"), ("Delilah [Tom Santa Remix]", "Delilah [Tom Santa Remix]"), ("I'm Good (Blue) - Brooks Remix", "I'm Good (Blue) [Brooks Remix]"),
     ("Say Nothing - Extended Mix", "Say Nothing [Extended Mix]"), ("Everyday We Lit (Remix) (feat. Wiz Khalifa)", "Everyday We Lit (ft. Wiz Khalifa) [Remix]"),
     ('Hamari Adhuri Kahani (Title Track) [From "Hamari Adhuri Kahani"]', "Hamari Adhuri Kahani (Title Track)"), ("Lose Yourself (From the Motion Picture 8 Mile)", "Lose Yourself"),
-    ("Title (From Another Angle)", "Title (From Another Angle)"), ("From Me To You", "From Me To You"), ("I'Ll Be There", "I'll be there".replace("be there", "Be There")),
+    ("Title (From Another Angle)", "Title (From Another Angle)"), ("From Me To You", "From Me To You"), ("I'Ll Be There", "I'll Be There"),
 ]
 VERSIONS = [
     ("Delilah [Tom Santa Remix]", "Tom Santa Remix", "Tom Santa"), ("Make It - H.K.G Mix", "H.K.G Mix", "H.K.G"), ("Say Nothing - Extended Mix", "Extended Mix", ""), ("I'm Not Alone (2019 Edit)", "2019 Edit", ""),

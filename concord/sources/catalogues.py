@@ -172,6 +172,49 @@ def musicbrainz(rows: DataFrame, keys: Sequence[str], covers: DataFrame | None =
     return long_form(wide, keys, fields, "musicbrainz")
 
 
+_RELATIONS = "struct<relations:array<struct<type:string,artist:struct<name:string>,work:struct<id:string>>>>"
+
+
+def credits(recordings: DataFrame, works: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Composer and lyricist of recordings by way of their first work. A writer counts as composer where none is named.
+
+    recordings: keys, payload with relations to works; works: work_id, payload with relations to artists.
+    """
+    linked = F.filter(F.from_json("payload", _RELATIONS)["relations"]["work"]["id"], lambda x: T.text(x) != "")
+    first = recordings.select(*keys, F.get(linked, F.lit(0)).alias("work_id")).where(F.col("work_id").isNotNull())
+    parsed = works.select("work_id", F.from_json("payload", _RELATIONS)["relations"].alias("relations")).dropDuplicates(["work_id"])
+    rows = first.join(parsed, "work_id")
+    named = lambda kind: F.array_join(F.transform(F.filter("relations", lambda r: (T.fold(r["type"]) == kind) & (T.text(r["artist"]["name"]) != "")), lambda r: r["artist"]["name"]), ", ")
+    composer = F.when(T.text(named("composer")) != "", named("composer")).otherwise(named("writer"))
+    return long_form(rows, keys, [("composer", composer), ("lyricist", named("lyricist"))], "musicbrainz")
+
+
+#: Credentials without which a source isn't asked; none for the first.
+CREDENTIALS = {
+    "itunes": (), "discogs": ("DISCOGS_TOKEN",), "spotify": ("SPOTIFY_CLIENT_ID", "SPOTIFY_CLIENT_SECRET"),
+    "beatport": ("BEATPORT_CLIENT_ID", "BEATPORT_CLIENT_SECRET"),
+}
+
+
+def enabled_sources(credentials: dict[str, str]) -> list[str]:
+    return [source for source, needed in CREDENTIALS.items() if all(credentials.get(n) for n in needed)]
+
+
+def enrich(landed: dict[str, DataFrame], keys: Sequence[str], credentials: dict[str, str]) -> DataFrame | None:
+    """Candidates of the first result that each enabled source gave; None if no enabled source has landed anything.
+
+    landed: by source, rows of keys and a search response in payload. ord numbers a row's sources in the order above.
+    """
+    parsers = {"itunes": (itunes, ITUNES), "discogs": (discogs, DISCOGS), "spotify": (spotify, SPOTIFY), "beatport": (beatport, BEATPORT)}
+    out = None
+    for k, source in enumerate(enabled_sources(credentials)):
+        if source in landed:
+            parse, schema = parsers[source]
+            rows = parse(results_of(landed[source], "payload", schema, keys).where("position = 0"), keys).withColumn("ord", F.col("ord") + k * 100)
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def acoustid(rows: DataFrame, payload: str, keys: Sequence[str]) -> DataFrame:
     """keys, position, acoustid, score, recording_ids, title, artist: matches by falling score, ids distinct in order; none unless the status is ok."""
     p = F.from_json(payload, ACOUSTID)
