@@ -88,13 +88,16 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    A codec needs memory outside the heap for every file, so tables of a few numbers a row go without.
+    """
     path = fresh_path(df.sparkSession, name)
     if (written := _WRITTEN.get()) is not None:
         written.append(path)
     with bounded_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

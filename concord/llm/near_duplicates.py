@@ -235,7 +235,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
     common_size = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common_size
-    return common.materialize(both.where(100 * common_size >= threshold * union).select("a", "b"), "confirmed")
+    return common.materialize(both.where(100 * common_size >= threshold * union).select("a", "b"), "confirmed", "uncompressed")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def _within_regions(many: DataFrame, nodes: DataFrame, sets: DataFrame, threshol
                         component[component == component[j]] = component[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return common.materialize(rows.groupBy("tree", "region", "p", "q").applyInPandas(links, "a long, b long"), "confirmed")
+    return common.materialize(rows.groupBy("tree", "region", "p", "q").applyInPandas(links, "a long, b long"), "confirmed", "uncompressed")
 
 
 def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -410,7 +410,7 @@ def _into_components(wanted: DataFrame, found: DataFrame, sets: DataFrame, thres
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     found_links = left.groupBy("component", "p", "q").cogroup(right.groupBy("c2", "p2", "q2")).applyInPandas(links, "a long, b long")
-    return common.materialize(found_links, "confirmed")
+    return common.materialize(found_links, "confirmed", "uncompressed")
 
 
 @common.finished
@@ -422,18 +422,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD)
     own = signed.join(sets, (signed["set_hash"] == sets["set_hash"]) & (signed["doc_id"] == sets["node"])).select("node", "labels", *SKETCH)
     nodes = common.materialize(own, "nodes")
     candidates = common.materialize(forest(nodes), "candidates")
-    pairs = common.materialize(candidates.where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs")
+    pairs = common.materialize(candidates.where(F.col("b").isNotNull() & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(F.min("bits").alias("bits")), "pairs", "uncompressed")
     members = candidates.where(F.col("b").isNull()).drop("b", "bits")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("a"))
     shingles = sets_of(docs, involved, words)
-    links = confirm(_best(pairs), shingles, threshold)
-    found = graph.components(links)
-    links = links.union(confirm(_across(pairs, found), shingles, threshold))
-    found = graph.components(links)
+    found = graph.components(confirm(_best(pairs), shingles, threshold))
+    found = graph.components(confirm(_across(pairs, found), shingles, threshold), found)
     others, mains, many = _again(members, found)
-    links = links.union(confirm(others, shingles, threshold)).union(_into_components(mains, found, shingles, threshold))
-    links = links.union(_within_regions(many, nodes, shingles, threshold))
-    found = graph.components(links)
+    links = confirm(others, shingles, threshold).union(_into_components(mains, found, shingles, threshold)).union(_within_regions(many, nodes, shingles, threshold))
+    found = graph.components(links, found)
     of_set = sets.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
     rows = signed.select("doc_id", "text_hash", "set_hash", "n_shingles").join(of_set, "set_hash", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -319,6 +319,9 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
     assert graph.components(links.limit(0)).count() == 0
+    found = graph.components(links.where("a <> 7"))
+    for more, expected in ((links, {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}), (links.limit(0), {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}), (spark.createDataFrame([(21, 0), (30, 31), (2, 30)], "a long, b long"), {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 0: 0, 20: 0, 21: 0, 30: 1, 31: 1})):
+        assert {r.node: r.component for r in graph.components(more, found).collect()} == expected
 
 
 @pytest.mark.parametrize("order", ["ascending", "descending", "shuffled"])
