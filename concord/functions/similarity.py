@@ -1,7 +1,8 @@
 """Sequence similarity: the one scalar function that no SQL expression gives.
 
 ratio() is the share of characters in matching blocks, found longest first (Ratcliff-Obershelp). It is not
-an edit distance. The Python step sees each distinct pair of strings once: callers join it back.
+an edit distance. All comparisons of a row go to Python in one step, without a shuffle; a worker remembers
+the pairs that it has seen, as the results for one query stand together and repeat.
 """
 
 from __future__ import annotations
@@ -16,33 +17,39 @@ from pyspark.sql.types import DoubleType
 from concord import vocab
 from concord.functions import text as T
 
+#: Pairs that a worker remembers.
+MEMO = 50_000
+_SEEN: dict[tuple[str, str], float] = {}
 
-@F.pandas_udf(DoubleType())
-def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype=float)
+
+def _ratio(a: str | None, b: str | None) -> float:
+    a, b = a or "", b or ""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    found = _SEEN.get((a, b))
+    if found is None:
+        if len(_SEEN) >= MEMO:
+            _SEEN.clear()
+        found = _SEEN[a, b] = difflib.SequenceMatcher(None, a, b).ratio()
+    return found
 
 
-def with_ratio(rows: DataFrame, left: Column, right: Column, name: str) -> DataFrame:
-    """rows with ratio(left, right). Equal and empty strings don't reach Python; distinct pairs reach it once."""
-    keyed = rows.withColumn("_l", F.coalesce(left, F.lit(""))).withColumn("_r", F.coalesce(right, F.lit("")))
-    easy = F.when(F.col("_l") == F.col("_r"), F.lit(1.0)).when((F.col("_l") == "") | (F.col("_r") == ""), F.lit(0.0))
-    hard = keyed.where((F.col("_l") != F.col("_r")) & (F.col("_l") != "") & (F.col("_r") != "")).select("_l", "_r").distinct()
-    scored = hard.withColumn("_s", ratio("_l", "_r")).withColumnsRenamed({"_l": "_pl", "_r": "_pr"})
-    joined = keyed.join(scored, (F.col("_l") == F.col("_pl")) & (F.col("_r") == F.col("_pr")), "left")
-    return joined.withColumn(name, F.coalesce(easy, F.col("_s"))).drop("_l", "_r", "_pl", "_pr", "_s")
+@F.pandas_udf(DoubleType())
+def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
 def match_score(rows: DataFrame, query_artist: str, query_title: str, artist: str, title: str, name: str = "match_score") -> DataFrame:
     """rows with the score, 0 to 1, of a result for a query; the four arguments name columns."""
     qa, qt, a, t = (F.col(c) for c in (query_artist, query_title, artist, title))
     core_q, core_t = T.strip_version(qt), T.strip_version(t)
-    rows = with_ratio(rows, T.words_key(qt), T.words_key(t), "_whole")
-    rows = with_ratio(rows, T.words_key(core_q), T.words_key(core_t), "_core")
-    rows = with_ratio(rows, T.words_key(qa), T.words_key(a), "_artist")
+    ratios = {"_whole": ratio(T.words_key(qt), T.words_key(t)), "_core": ratio(T.words_key(core_q), T.words_key(core_t)), "_artist": ratio(T.words_key(qa), T.words_key(a))}
     similar = 0.7 * (0.7 * F.col("_whole") + 0.3 * F.col("_core")) + 0.3 * F.col("_artist")
     version = F.when((core_t != T.text(t)) & (core_q == T.text(qt)), vocab.VERSION_PENALTY).otherwise(0.0)
     variant = F.when(T.variant_mismatch(qt, t), vocab.VARIANT_PENALTY).otherwise(0.0)
-    return rows.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), similar - version - variant))).drop("_whole", "_core", "_artist")
+    return rows.withColumns(ratios).withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), similar - version - variant))).drop("_whole", "_core", "_artist")
 
 
 def is_plausible(score: Column) -> Column:
@@ -53,5 +60,4 @@ def artist_is_unrelated(rows: DataFrame, query_artist: str, artist: str, name: s
     """rows with whether two credits share nothing: neither contains the other and their ratio is low."""
     left, right = T.ascii_key(F.col(query_artist)), T.ascii_key(F.col(artist))
     known = (left != "") & (right != "")
-    rows = with_ratio(rows, left, right, "_ratio")
-    return rows.withColumn(name, known & ~F.contains(left, right) & ~F.contains(right, left) & (F.col("_ratio") < vocab.UNRELATED_BELOW)).drop("_ratio")
+    return rows.withColumn("_ratio", ratio(left, right)).withColumn(name, known & ~F.contains(left, right) & ~F.contains(right, left) & (F.col("_ratio") < vocab.UNRELATED_BELOW)).drop("_ratio")

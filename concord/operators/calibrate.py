@@ -15,15 +15,14 @@ def build_options(candidates: DataFrame) -> DataFrame:
     candidates: track_id, family, field, value, source, ord. A source's last value of a field counts. An
     album is told apart by the rest of its album fields too.
     """
-    rows = candidates.where(T.text("value") != "")
-    last = rows.groupBy("track_id", "family", "source", "field").agg(F.max_by("value", "ord").alias("value"))
-    first = rows.groupBy("track_id", "source").agg(F.min("ord").alias("first"))
+    # One exchange, on track_id: what a source says of a track is one row, from which its fields are laid out again.
+    rows = candidates.where(T.text("value") != "").repartition("track_id")
     other = [f for f in vocab.ALBUM_GROUP if f != "album"]
-    rank = F.create_map(*[F.lit(x) for k, f in enumerate(other) for x in (f, k)])
-    extra = last.where(F.col("field").isin(*other)).groupBy("track_id", "source").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank[F.col("field")].alias("k"), F.concat_ws("=", "field", T.option_key(F.col("value"))).alias("v")))), lambda x: x["v"]), "|").alias("extra")
-    )
-    asked = last.where(F.col("field").isin(*vocab.ELICITABLE)).join(first, ["track_id", "source"]).join(extra, ["track_id", "source"], "left")
+    last = [F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("ord"))).alias(f"_{f}") for f in dict.fromkeys((*vocab.ELICITABLE, *other))]
+    said = rows.groupBy("track_id", "family", "source").agg(*last, F.min("ord").alias("first"))
+    extra = F.concat_ws("|", *[F.when(F.col(f"_{f}").isNotNull(), F.concat(F.lit(f"{f}="), T.option_key(F.col(f"_{f}")))) for f in other])
+    pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value")) for f in vocab.ELICITABLE]), lambda p: p["value"].isNotNull())
+    asked = said.select("track_id", "family", "source", "first", F.nullif(extra, F.lit("")).alias("extra"), F.explode(pairs).alias("p")).select("*", "p.*")
     key = F.concat_ws("|", T.option_key(F.col("value")), F.when(F.col("field") == "album", F.col("extra")))
     options = asked.withColumn("option_key", key).groupBy("track_id", "family", "field", "option_key").agg(F.min_by("value", "first").alias("value"), F.array_sort(F.collect_set("source")).alias("sources"))
     several = F.count("*").over(Window.partitionBy("track_id", "field"))

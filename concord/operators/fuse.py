@@ -100,7 +100,7 @@ def choose_album(kept: DataFrame) -> DataFrame:
         "credit": F.min(F.when(F.col("field") == "album_artist", said)).over(by_source)["value"],
         "last": F.max(F.when(is_album, said)).over(by_source), "first": F.min(F.when(is_album, said)).over(by_source), "since": F.min(F.when(in_group, F.col("ord"))).over(by_source),
     })
-    rows = rows.withColumn("fits", in_group & ~is_compilation(F.col("credit"), F.col("artist"), F.col("family"))).withColumn("own_key", T.album_key(F.col("last.value")))
+    rows = rows.withColumn("fits", in_group & ~is_compilation(F.col("credit"), F.col("artist"), F.col("family"))).withColumn("own_key", F.when(is_album, T.album_key(F.col("last.value"))))
     rows = rows.withColumn("names", F.col("fits") & is_album & (F.col("ord") == F.col("last.ord")))  # one row for each source with a title
     edition_group = Window.partitionBy("track_id", "own_key")
     of_names = lambda c: F.when(F.col("names"), c)
@@ -123,9 +123,9 @@ def decide(chosen: DataFrame) -> DataFrame:
     """
     cover, in_group = F.col("field") == "artwork_url", F.col("field").isin(*vocab.ALBUM_GROUP)
     of_source = F.coalesce(F.col("source") == F.col("album_source"), F.lit(False))
-    same = (T.text("album") != "") & (T.album_key(F.col("own_album")) == T.album_key(F.col("album")))
-    tier = F.when(same, 0).when(of_source, 1).otherwise(2)
-    rows = chosen.where(~in_group | of_source).withColumn("tier", F.when(cover, tier).otherwise(0))
+    same = cover & (T.text("album") != "") & (T.album_key(F.col("own_album")) == T.album_key(F.col("album")))  # keys of covers alone
+    tier = F.when(~cover | same, 0).when(of_source, 1).otherwise(2)
+    rows = chosen.where(~in_group | of_source).withColumn("tier", tier)
     order = F.when(in_group, _order()).when(cover, _order(a=F.col("tier"), b=F.when(F.col("tier") == 1, 0).otherwise(F.col("rank")))).otherwise(F.col("place"))
     won = rows.groupBy("track_id", "field").agg(F.min_by(F.struct("value", "source", "is_ranked"), order).alias("w")).select("track_id", "field", "w.*")
     own_rule = F.col("field").isin(*vocab.ALBUM_GROUP, *vocab.DATE_FIELDS, "artwork_url")
@@ -165,9 +165,7 @@ def rearbitrate(candidates: DataFrame, ranking: DataFrame, before: DataFrame) ->
 def persist(resolved: DataFrame, decisions: DataFrame, replace: bool = False) -> DataFrame:
     """resolved with the decisions, but for protected fields; replace drops unprotected fields that are no longer decided."""
     protected = F.col("decided_by").isin(*vocab.PROTECTED)
-    kept = resolved.where(protected)
-    fresh = decisions.select(*DECISION).join(kept.select("track_id", "field"), ["track_id", "field"], "left_anti")
-    out = kept.select(*DECISION).unionByName(fresh)
-    if replace:
-        return out
-    return out.unionByName(resolved.where(~protected).join(fresh.select("track_id", "field"), ["track_id", "field"], "left_anti").select(*DECISION))
+    old = resolved.select(*DECISION, F.when(protected, 0).otherwise(2).alias("_turn"))
+    rows = (old.where("_turn = 0") if replace else old).unionByName(decisions.select(*DECISION, F.lit(1).alias("_turn")))
+    won = F.min_by(F.struct("value", "source", "decided_by"), "_turn").alias("w")  # one pass: what is protected, else what is new, else what was
+    return rows.groupBy("track_id", "field").agg(won).select("track_id", "field", "w.*")
