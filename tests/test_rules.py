@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from concord import vocab
+from concord import api, vocab
+from concord.functions import similarity
 from concord.functions import text as T
-from concord.operators import calibrate, fuse, identity, relations, store
+from concord.operators import calibrate, fuse, identity, relations, resolve, store
 
 CANDIDATE = "track_id long, family string, field string, value string, source string, ord long"
 
@@ -123,3 +124,90 @@ def test_failures_are_kept_apart(spark):
     tracks = spark.createDataFrame([(1, "acquired", "pending", None), (2, "acquired", "pending", None), (3, "published", "published", None)], "track_id long, stage string, status string, error string")
     got = {r.track_id: r for r in store.advance(tracks, spark.createDataFrame([(1, None), (2, "boom" * 200)], "track_id long, error string")).collect()}
     assert (got[1].stage, got[2].status, len(got[2].error), got[3].stage) == ("normalised", "failed", 500, "published")
+
+
+# Which result must win, which pairs are alike, and what two catalogues may settle.
+WINNERS = [
+    ("Taylor Swift", "Love Story", [("Taylor Swift", "Love Story (Taylor's Version)"), ("Taylor Swift", "Love Story (Live)"), ("Taylor Swift", "Love Story")], 2),
+    ("Justin Bieber", "Beauty And A Beat", [("Justin Bieber", "Baby (feat. Ludacris)"), ("Justin Bieber", "Beauty and a Beat (feat. Nicki Minaj)")], 1),
+    ("Charlie Puth", "Marvin Gaye", [("Charlie Puth", "Marvin Gaye (Remix)"), ("Charlie Puth", "Marvin Gaye (feat. Meghan Trainor)")], 1),
+    ("jayseanworldwide", "Down", [("Various Artists", "Down Under"), ("Jay Sean", "Down")], 1),
+    ("A", "Same Title", [("A", "Same Title"), ("A", "Same Title")], 0),
+    ("Taylor Swift", "We Are Never Ever Getting Back Together", [("Luke Conard", "We Are Never Ever Getting Back Together"), ("Taylor Swift", "We Are Never Ever Getting Back Together")], 1),
+]
+ALIKE = [
+    ("Morgan Wallen", "Last Night", "Metro Station", "California", False), ("Beyonce", "Halo", "Deborah Cox", "Nobody's Supposed to Be Here", False),
+    ("Owl City", "Fireflies", "Vanilla Ice", "Ice Ice Baby", False), ("Avicii", "Waiting For Love", "Juice WRLD", "The Party Never Ends", False),
+    ("Morgan Wallen", "Last Night", "Morgan Wallen", "Last Night", True), ("jayseanworldwide", "Down", "Jay Sean", "Down", True), ("iyazlive", "Replay", "Iyaz", "Replay", True),
+    ("push baby", "Me And My Broken Heart", "Rixton", "Me and My Broken Heart", True), ("Train", "Hey, Soul Sister", "Train", "Hey, Soul Sister (Country Mix)", True),
+]
+CARLY, MAYBE = "Carly Rae Jepsen", "Call Me Maybe"
+VOTES = [
+    ([("itunes", CARLY, MAYBE), ("spotify", CARLY, MAYBE)], True), ([("itunes", CARLY, MAYBE)], False), ([("itunes", CARLY, MAYBE), ("spotify", "Kidz Bop Kids", MAYBE)], False),
+    ([("itunes", "Metro Station", "California"), ("spotify", "Metro Station", "California")], False), ([("itunes", "Kidz Bop", MAYBE), ("spotify", "Kidz Bop", MAYBE)], False),
+    ([("itunes", CARLY, "Call Me Maybe (Radio Edit)"), ("spotify", CARLY, MAYBE)], True), ([("itunes", "", MAYBE), ("spotify", "", MAYBE)], False),
+]
+
+
+def test_winning_results(spark):
+    rows = [(k, qa, qt, a, t, n) for k, (qa, qt, results, _) in enumerate(WINNERS) for n, (a, t) in enumerate(results)]
+    scored = api.score(spark.createDataFrame(rows, "q int, qa string, qt string, a string, t string, position int"), "qa", "qt", "a", "t")
+    got = {r.q: r.position for r in identity.best_result(scored, ["q"], "match_score", "position").collect()}
+    assert got == {k: w[-1] for k, w in enumerate(WINNERS)}
+
+
+def test_plausible_results(spark):
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(ALIKE)], "k int, qa string, qt string, a string, t string, ok boolean")
+    scored = similarity.match_score(rows, "qa", "qt", "a", "t")
+    assert all(r.is_ok == r.ok for r in scored.withColumn("is_ok", similarity.is_plausible(F.col("match_score"))).collect())
+
+
+def test_corroboration(spark):
+    rows = [(k, f, v, source, n) for k, (votes, _) in enumerate(VOTES) for n, (source, a, t) in enumerate(votes) for f, v in (("artist", a), ("title", t))]
+    queries = spark.createDataFrame([(k, CARLY, MAYBE) for k in range(len(VOTES))], "track_id long, query_artist string, query_title string")
+    got = {r.track_id: r.corroborated for r in identity.corroborated(spark.createDataFrame(rows, "track_id long, field string, value string, source string, ord long"), queries).collect()}
+    assert got == {k: ok for k, (_, ok) in enumerate(VOTES)}
+
+
+def test_fingerprints_that_link_to_another_song_fall_through_to_text(spark):
+    links = [["r1"], ["r1", "r2"], ["r2"], []]
+    queries = spark.createDataFrame([(k, "Morgan Wallen", "Last Night", 200.0, "") for k in range(4)], "track_id long, artist string, title string, duration_s double, isrc string")
+    prints = spark.createDataFrame([(k, f"a{k}", 0.98, ids, 0) for k, ids in enumerate(links)], "track_id long, acoustid string, score double, recording_ids array<string>, position int")
+    linked = spark.createDataFrame([("r1", "Metro Station", "California", 200.0, False), ("r2", "Morgan Wallen", "Last Night", 200.0, False)], "recording_id string, artist string, title string, length double, has_release boolean")
+    recordings = spark.createDataFrame([(0, 1, 0, "t", "Last Night", 200.0, 95, 1)], "track_id long, tier int, position int, recording_id string, title string, length double, score int, n_releases int")
+    by_text = resolve.evaluate(queries, recordings, recordings.select("track_id", "recording_id"))
+    values = spark.createDataFrame([(r, "title", t, "musicbrainz", 0) for r, t in (("r1", "California"), ("r2", "Last Night"), ("t", "Last Night"))], "recording_id string, field string, value string, source string, ord long")
+    nothing = spark.createDataFrame([], "track_id long, field string, value string, source string, ord long")
+    matches, candidates = resolve.resolve(queries, by_text, resolve.evaluate_fingerprints(queries, prints, linked), values, nothing)
+    got = {r.track_id: (r.evidence, r.recording_id, r.confidence) for r in matches.collect()}
+    assert got == {0: ("text", "t", 0.85), 1: ("acoustid", "r2", 0.95), 2: ("acoustid", "r2", 0.95), 3: ("none", None, 0.0)}
+    assert {r.track_id: r.value for r in candidates.collect()} == {0: "Last Night", 1: "Last Night", 2: "Last Night"}
+
+
+def test_duplicates_do_not_chain(spark):
+    ddl = "track_id long, isrc string, acoustid string, duration_s double, bitrate int, is_art_track boolean"
+    rows = [(1, "A", None, 100.0, 320, False), (2, "A", None, 101.5, 256, True), (3, "A", None, 103.0, 192, False), (4, "B", "x", 100.0, 256, False), (5, None, "x", 101.0, 256, True), (6, "B", None, 109.0, 320, False), (7, "", None, 100.0, 1, False), (8, "", None, 100.0, 2, False), (9, "A", None, None, 999, True)]
+    got = {r.track_id: r.duplicate_of for r in identity.duplicates(spark.createDataFrame(rows, ddl), ["isrc", "acoustid"]).collect()}
+    assert got == {2: 1, 4: 5}  # 3 is near to 2 alone, which goes itself
+
+
+def test_rearbitration_drops_what_is_no_longer_decided(spark):
+    ddl = "track_id long, field string, value string, source string, decided_by string"
+    old = spark.createDataFrame([(1, "title", "mine", "manual", "manual"), (1, "genre", "Pop", "x", "precedence"), (1, "label", "Old", "x", "precedence")], ddl)
+    after, changed = api.rearbitrate(spark.createDataFrame([(1, "pop", "genre", "Rock", "itunes", 0), (1, "pop", "title", "theirs", "itunes", 1)], CANDIDATE), old)
+    assert {r.field: r.value for r in after.collect()} == {"title": "mine", "genre": "Rock"}
+    assert changed.first().changed == 3
+
+
+def test_sources_need_their_credentials():
+    from concord.sources import catalogues
+
+    assert catalogues.enabled_sources({}) == ["itunes"]
+    assert catalogues.enabled_sources({"DISCOGS_TOKEN": "x", "SPOTIFY_CLIENT_ID": "x"}) == ["itunes", "discogs"]
+
+
+def test_older_schemas_are_read(spark):
+    rows = spark.createDataFrame([(1, "published")], "track_id long, stage string")
+    assert store.migrated(rows, 3).columns == ["track_id", "stage", "artwork_url"] and store.migrated(rows, 4).columns == rows.columns
+    with pytest.raises(ValueError, match="newer"):
+        store.migrated(rows, 5)
