@@ -46,8 +46,8 @@ SMALL, NEAR, BEST = 8, 2, 4
 MOST_BITS = 40
 #: Nodes of one region that are compared as rows of pairs; of more, they are compared in blocks.
 PAIRED = 16
-#: Shingles and sets of a block: 4 MB.
-BLOCK, BLOCK_SETS = 1 << 19, 512
+#: Shingles and sets of a block: 2 MB.
+BLOCK, BLOCK_SETS = 1 << 18, 256
 #: Ids that are sent to all executors at most, 16 MB.
 FEW_IDS = 1_000_000
 
