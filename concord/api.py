@@ -11,14 +11,25 @@ from concord.functions import text as T
 from concord.operators import calibrate as calibration
 from concord.operators import fuse, report, store
 from concord.operators import resolve as resolver
+from concord.operators.relations import prepare
 
-resolve = resolver.resolve
-resolve_and_arbitrate = resolver.resolve_and_arbitrate
+
+
+def resolve(queries: DataFrame, *landed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Matches and candidates of queries; see operators.resolve.resolve."""
+    prepare(queries.sparkSession)
+    return resolver.resolve(queries, *landed)
+
+
+def resolve_and_arbitrate(downloads: DataFrame, *landed: DataFrame | None) -> resolver.Outcome:
+    """The whole run over a table of downloads; see operators.resolve.resolve_and_arbitrate."""
+    prepare(downloads.sparkSession)
+    return resolver.resolve_and_arbitrate(downloads, *landed)
 
 
 def ranking(spark: SparkSession, precedence: DataFrame | None = None) -> DataFrame:
     """The ranking in force: calibrated cells in place of built-in ones."""
-    return fuse.resolved_ranking(vocab.default_ranking(spark), precedence)
+    return fuse.resolved_ranking(vocab.default_ranking(prepare(spark)), precedence)
 
 
 def normalise(rows: DataFrame, artist: str = "artist", title: str = "title") -> DataFrame:

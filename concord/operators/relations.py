@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session with the one setting that the library's plans need.
+
+    Spark 4.1 lets a join or an aggregation rely on the partitioning of a union; where adaptive execution then merges the
+    partitions of one of its inputs and not of another, the stage fails ("can't zip RDDs"). Without it such a plan has
+    an exchange of its own.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def coalesce_relations(keys: Sequence[str], *tiers: DataFrame) -> DataFrame:
     """For each key the rows of the first relation that has any."""
     out = tiers[0]
