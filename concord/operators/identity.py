@@ -55,13 +55,23 @@ def rank_recordings(recordings: DataFrame, query: list[str]) -> DataFrame:
     return recordings.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(off, F.desc("score"), F.desc("n_releases"), "position")))
 
 
-def rival_gap(ranked: DataFrame, query: list[str]) -> DataFrame:
-    """Score of the first recording less that of the first different one after it; 99 without one. ranked: title, length, score, rank."""
-    w = Window.partitionBy(*query).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def beside_top(ranked: DataFrame, query: list[str]) -> DataFrame:
+    """ranked with _top, the title, length and score of the first of its query, and _rival: whether this is another recording."""
+    w = Window.partitionBy(*query).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     top = ranked.withColumn("_top", F.first(F.struct("title", "length", "score")).over(w))
     same = (T.fold(F.col("title")) == T.fold(F.col("_top.title"))) & F.coalesce(F.abs(F.col("length") - F.col("_top.length")) <= vocab.DURATION_TOLERANCE, F.lit(False))
-    gap = F.min_by(F.when((F.col("rank") > 1) & ~same, F.col("_top.score") - F.col("score")), F.when((F.col("rank") > 1) & ~same, F.col("rank")))
-    return top.groupBy(*query).agg(F.coalesce(gap, F.lit(99)).alias("rival_gap"))
+    return top.withColumn("_rival", (F.col("rank") > 1) & ~same)
+
+
+def gap_to_rival() -> Column:
+    """Aggregate over beside_top(): score of the first less that of the first rival after it; 99 without one."""
+    gap = F.min_by(F.when(F.col("_rival"), F.col("_top.score") - F.col("score")), F.when(F.col("_rival"), F.col("rank")))
+    return F.coalesce(gap, F.lit(99)).alias("rival_gap")
+
+
+def rival_gap(ranked: DataFrame, query: list[str]) -> DataFrame:
+    """Score of the first recording less that of the first different one after it; 99 without one. ranked: title, length, score, rank."""
+    return beside_top(ranked, query).groupBy(*query).agg(gap_to_rival())
 
 
 def is_album(primary_type: Column, secondary_types: Column) -> Column:

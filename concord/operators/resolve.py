@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord import vocab
 from concord.functions import similarity
 from concord.functions import text as T
 from concord.operators import fuse, identity, store
@@ -46,9 +47,12 @@ def evaluate(queries: DataFrame, recordings: DataFrame, albums: DataFrame) -> Da
     given = recordings.join(asked.select("track_id", "isrc"), "track_id").where((F.col("tier") > 0) | (F.col("isrc") != "")).drop("isrc")
     found = identity.search_recordings(*[given.where(F.col("tier") == t) for t in range(3)], KEY)
     ranked = identity.rank_recordings(found.join(asked.select("track_id", F.when(F.col("target") != 0, F.col("target")).alias("target")), "track_id"), KEY)
-    top = ranked.where(F.col("rank") == 1).select("track_id", F.col("title").alias("top_title"), F.col("length").alias("top_length"), F.col("score").alias("top_score"))
-    rows = asked.join(top, "track_id", "left").join(identity.rival_gap(ranked, KEY), "track_id", "left")
-    rows = rows.join(identity.best_recording(ranked, albums.select(*KEY, "recording_id").distinct(), KEY).select("track_id", "recording_id"), "track_id", "left")
+    with_album = albums.select(*KEY, "recording_id").distinct().withColumn("_has", F.lit(0))
+    beside = identity.beside_top(ranked, KEY).join(with_album, [*KEY, "recording_id"], "left")
+    probed = F.when(F.col("rank") <= vocab.RECORDING_PROBE, F.struct(F.coalesce("_has", F.lit(1)), "rank"))
+    first = lambda c: F.min_by(c, "rank").alias(f"top_{c}")
+    best = beside.groupBy(*KEY).agg(first("title"), first("length"), first("score"), identity.gap_to_rival(), F.min_by("recording_id", probed).alias("recording_id"))
+    rows = asked.join(best, "track_id", "left")
     hit = F.col("top_title").isNotNull()
     return rows.select("track_id", *_match(
         evidence=F.when(~hit, "none").when(F.col("isrc") != "", "isrc").otherwise("text"), search_score=F.col("top_score"), duration_delta_s=_delta(F.col("top_length"), F.col("target")),
