@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from concord import vocab
 from concord.operators import calibrate, fuse
 from concord.plans import bindings as B

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from concord import api, vocab
 from concord.functions import text as T
-from concord.operators import calibrate, fuse, identity, resolve, store
+from concord.operators import calibrate, resolve, store
 from concord.operators.relations import shared_folder
 from concord.plans import bindings as B
 from concord.plans import record_queries as R

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concord import vocab
 
+# The words and patterns of concord.functions.text, which files are named by, in DuckDB's syntax.
 W = "remix|edit|mix|bootleg|flip|vip|version|rework"
 MIX = rf"[\(\[]\s*([^)\]]*\b(?:{W})\b[^)\]]*)\s*[\)\]]"
 DASH = rf"\s+[-–]\s+([^-–]*\b(?:{W})\b[^-–]*)$"

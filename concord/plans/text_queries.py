@@ -175,6 +175,7 @@ def padded_dates(spark, sf_dir):
 
 _TRACKS = f"tracks AS ({B.duck(B.TRACKS)})"
 _C = f"c AS ({B.duck(B.CANDIDATES)})"
+# The patterns of concord.functions.text, by which names are cleaned, in DuckDB's syntax.
 _CREDIT_SPLIT = r"(?i)\s*(?:;|,|&| x | vs\.? | and )\s*"
 _SUFFIXES = S.sub(S.sub(S.sub(S.tidy("raw_artist"), r"(?i)\s*-\s*Topic$"), r"(?i)\s*VEVO$"), r"(?i)\s*-\s*Official$")
 _NOISE = r"(?i)[\(\[]\s*(?:official\s*(?:music\s*)?(?:video|audio|visuali[sz]er)?|music\s*video|lyrics?(?:\s*video)?|visuali[sz]er|m/?v|audio|hd|hq|4k|full\s*(?:album|song)|out\s*now|free\s*(?:dl|download)|premiere|explicit|clean|remaster(?:ed)?(?:\s*\d{4})?|bonus\s*track?)\s*[\)\]]"
