@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import binary_output, decontaminate, licenses, near_duplicates, neighbours, packing, quality, secrets, sharding, token_counts
+from concord.llm import best_fit, binary_output, decontaminate, licenses, near_duplicates, neighbours, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_packing": packing.op9_packing,
         "op10_quality": quality.op10_quality,
+        "op11_best_fit_packing": best_fit.op11_best_fit_packing,
     }
 
 
