@@ -312,7 +312,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), x -> x <> '') AS words
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words
   FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
 ), phrases AS (
   SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase
@@ -322,14 +322,14 @@ WITH pieces AS (
 ), sizes AS (
   SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
 ), cuts AS (
-  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS at FROM counts WHERE k > 1
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS cut FROM counts WHERE k > 1
 ), cut_scores AS (
-  SELECT c.lang, c.k, c.phrase, c.a, c.at, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
   FROM cuts AS c
-  JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1 : c.at], ' ')
-  JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.at + 1 : c.k], ' ')
+  JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1 : c.cut], ' ')
+  JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1 : c.k], ' ')
 ), scores AS (
-  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1
+  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), longer AS (
   SELECT lang, inner_phrase, max(a) AS a
   FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS inner_phrase FROM scores WHERE k = 3)
