@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import best_fit, binary_output, decontaminate, licenses, near_duplicates, neighbours, packing, phrases, quality, secrets, sharding, token_counts
+from concord.llm import best_fit, binary_output, decontaminate, licenses, near_duplicates, neighbours, packing, phrases, point_in_time, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_quality": quality.op10_quality,
         "op11_best_fit_packing": best_fit.op11_best_fit_packing,
+        "op12_point_in_time": point_in_time.op12_point_in_time,
         "op13_phrase_collocations": phrases.op13_phrase_collocations,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_decontamination": decontaminate.SQL,
         "op8_secret_scan": secrets.SQL,
+        "op12_point_in_time": point_in_time.SQL,
         "op13_phrase_collocations": phrases.SQL,
     }
