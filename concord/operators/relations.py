@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -81,3 +82,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="concord-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read back: later steps share it, whatever plans they have."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
+    """rows with their number from 1 among those of the same by (without nulls), in the given order; no key's rows meet in one task.
+
+    A range sort is written with the partition and place of each row, as these hold for one run of the sort alone. How many rows of a
+    key stand in earlier partitions is a sum over counts, one for each partition and key.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = rows.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
+    placed = written(in_order.withColumns({"_at": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranked")
+    counts = placed.groupBy("_at", *by).agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_at", *by, (before - F.col("_first") + 1).alias("_start"))
+    return placed.join(starts, ["_at", *by]).withColumn(column, F.col("_start") + F.col("_i")).select(*rows.columns, column)

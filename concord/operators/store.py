@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from concord import vocab
 from concord.functions import text as T
 from concord.operators import fuse
-from concord.operators.relations import insert_or_ignore, upsert
+from concord.operators.relations import insert_or_ignore, ranked, upsert, written
 
 SCHEMA_VERSION = 4
 
@@ -55,21 +55,16 @@ def register_files(files: DataFrame, tracks: DataFrame, probes: DataFrame) -> tu
     known = files.where(F.col("video_id").isNotNull()).select("video_id")
     once = probes.withColumn("_n", F.row_number().over(Window.partitionBy(F.coalesce("video_id", "staging_path")).orderBy("staging_path"))).where("_n = 1").drop("_n")
     fresh = numbered(once.join(known, "video_id", "left_anti"), "staging_path", files, "file_id")
-    made = numbered(fresh.select("file_id"), "file_id", tracks, "track_id")
-    return files.unionByName(fresh, allowMissingColumns=True), tracks.unionByName(made.select("track_id", F.col("file_id").alias("source_file_id"), F.lit(vocab.STAGES[0]).alias("stage"), F.lit("pending").alias("status")), allowMissingColumns=True)
+    last = lambda table, key: table.agg(F.coalesce(F.max(key), F.lit(0)).alias(f"_last_{key}"))
+    made = fresh.select("file_id").crossJoin(last(files, "file_id")).crossJoin(last(tracks, "track_id"))  # one row each
+    made = made.select((F.col("_last_track_id") + F.col("file_id") - F.col("_last_file_id")).alias("track_id"), F.col("file_id").alias("source_file_id"), F.lit(vocab.STAGES[0]).alias("stage"), F.lit("pending").alias("status"))
+    return files.unionByName(fresh, allowMissingColumns=True), tracks.unionByName(made, allowMissingColumns=True)
 
 
 def numbered(rows: DataFrame, order: str, table: DataFrame, key: str) -> DataFrame:
-    """rows with a key that goes on from the largest of table, in order of a column.
-
-    A range sort numbers the rows of a partition; how many come before is a sum over counts, one for each partition.
-    """
-    ordered = rows.sort(order).withColumn("_at", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    counts = ordered.groupBy("_at").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_at", before.alias("_before")).crossJoin(table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last")))  # one row
-    out = ordered.join(F.broadcast(starts), "_at").withColumn(key, F.col("_last") + F.col("_before") + F.col("_i") + 1)
-    return out.drop("_at", "_i", "_before", "_last")
+    """rows with a key that goes on from the largest of table without gaps, in order of a column."""
+    last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))  # one row
+    return ranked(rows, [], [order], "_nth").crossJoin(last).withColumn(key, F.col("_last") + F.col("_nth")).drop("_last", "_nth")
 
 
 def append_candidates(stored: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -127,8 +122,8 @@ def adopt(resolved: DataFrame, wishes: DataFrame, candidates: DataFrame) -> Data
 def accept(tracks: DataFrame, resolved: DataFrame, queue: DataFrame, candidates: DataFrame, ranking: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tracks, resolved, queue) after the given ids were approved: decided where there are candidates, dequeued, published.
 
-    Decisions by hand stay. A track that was published before keeps its path unless its name has changed and the new
-    one isn't taken; a track that can't be named, as it has neither artist nor title, has failed.
+    Decisions by hand stay. A track that was published before moves as rename_plan() says, before new ones get their
+    paths; a track that can't be named, as it has neither artist nor title, has failed.
     """
     ids = ids.select("track_id").distinct()
     here = tracks.join(ids, "track_id", "left_semi").select("track_id", F.coalesce("genre_family", F.lit("other")).alias("family"), "published_path")
@@ -137,10 +132,10 @@ def accept(tracks: DataFrame, resolved: DataFrame, queue: DataFrame, candidates:
     of = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
     named = here.join(after.groupBy("track_id").agg(of("artist"), of("title")), "track_id", "left")
     known = (T.text("artist") != "") | (T.text("title") != "")
-    fresh = publish_paths(named.where(F.col("published_path").isNull() & known)).select("track_id", F.col("path").alias("_path"))
-    taken = tracks.where(F.col("published_path").isNotNull()).select(F.col("published_path").alias("_taken")).distinct()
-    again = named.where(F.col("published_path").isNotNull()).withColumn("_new", T.filename(F.col("artist"), F.col("title")))
-    again = again.join(taken, F.col("_new") == F.col("_taken"), "left").select("track_id", F.when(known & F.col("_taken").isNull(), F.col("_new")).otherwise(F.col("published_path")).alias("_path"))
+    moves = rename_plan(tracks.select("track_id", "published_path").join(named.select("track_id", "artist", "title"), "track_id", "left"))
+    taken = tracks.select(F.col("published_path").alias("path")).union(moves.select("new_path"))
+    fresh = publish_paths(named.where(F.col("published_path").isNull() & known), taken).select("track_id", F.col("path").alias("_path"))
+    again = named.where(F.col("published_path").isNotNull()).join(moves, "track_id", "left").select("track_id", F.coalesce("new_path", "published_path").alias("_path"))
     marked = tracks.join(ids.withColumn("_ok", F.lit(True)), "track_id", "left").join(fresh.unionByName(again), "track_id", "left")
     ok = F.coalesce("_ok", F.lit(False))
     out = {
@@ -180,19 +175,49 @@ def reject(tracks: DataFrame, queue: DataFrame, ids: DataFrame) -> tuple[DataFra
     return out.select(*tracks.columns), dequeue(queue, ids)
 
 
-def publish_paths(tracks: DataFrame) -> DataFrame:
-    """tracks (track_id, artist, title) with path; of tracks that share a path the second and later get a suffix."""
-    path = T.filename(F.col("artist"), F.col("title"))
-    nth = F.row_number().over(Window.partitionBy("_path").orderBy("track_id"))
+#: A path with the number that tells it from others of one name.
+_NUMBERED = r"^(.*) \((\d+)\)\.aiff$"
+
+
+def publish_paths(tracks: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """tracks (track_id, artist, title) with path, by their order: the first of a name has it bare, later ones with the next number from 2 that is free.
+
+    taken: path of all files that are there. A number counts as taken, too, where it makes the name of another track.
+    """
+    named = ranked(tracks.withColumn("_path", T.filename(F.col("artist"), F.col("title"))), ["_path"], ["track_id"], "_k")
+    there = taken.select("path").where(F.col("path").isNotNull()).distinct() if taken is not None else tracks.sparkSession.createDataFrame([], "path string")
+    names = named.select("_path").distinct()
+    split = there.union(names).distinct().select(F.concat(F.regexp_extract("path", _NUMBERED, 1), F.lit(".aiff")).alias("_path"), F.try_to_number(F.regexp_extract("path", _NUMBERED, 2), F.lit("9" * 18)).cast("long").alias("_used"), "path")
+    exact = F.col("path") == F.concat(F.regexp_replace("_path", r"\.aiff$", ""), F.lit(" ("), F.col("_used").cast("string"), F.lit(").aiff"))
+    used = split.where((F.col("_used") >= 2) & exact).select("_path", "_used").union(there.select(F.col("path").alias("_path"), F.lit(1).cast("long").alias("_used")))
+    used = ranked(used.join(names, "_path", "left_semi"), ["_path"], ["_used"], "_j")
+    runs = used.groupBy("_path", (F.col("_used") - F.col("_j")).alias("_free")).agg(F.count("*").alias("_size"))  # numbers taken in a row, after so many free ones
+    skipped = named.select("track_id", "_path", "_k").join(runs, "_path").where(F.col("_free") < F.col("_k")).groupBy("track_id").agg(F.sum("_size").alias("_skipped"))
+    nth = F.col("_k") + F.coalesce("_skipped", F.lit(0))
     suffixed = F.concat(F.regexp_replace("_path", r"\.aiff$", ""), F.lit(" ("), nth.cast("string"), F.lit(").aiff"))
-    return tracks.withColumn("_path", path).withColumn("path", F.when(nth == 1, F.col("_path")).otherwise(suffixed)).drop("_path")
+    return named.join(skipped, "track_id", "left").withColumn("path", F.when(nth == 1, F.col("_path")).otherwise(suffixed)).drop("_path", "_k", "_skipped")
 
 
 def rename_plan(tracks: DataFrame) -> DataFrame:
-    """track_id, old_path, new_path of published tracks whose name has changed and isn't taken. tracks: track_id, published_path, artist, title."""
-    named = tracks.where(F.col("published_path").isNotNull()).withColumn("new_path", T.filename(F.col("artist"), F.col("title")))
-    taken = tracks.where(F.col("published_path").isNotNull()).select(F.col("published_path").alias("new_path")).distinct()
-    return named.where(F.col("new_path") != F.col("published_path")).join(taken, "new_path", "left_anti").select("track_id", F.col("published_path").alias("old_path"), "new_path")
+    """track_id, old_path, new_path of the published files that move. tracks: track_id, published_path, artist, title; track_id once.
+
+    As if files were looked at one by one in order of track_id: a file moves to the path of its artist and title, if it has
+    both and no file is there at that moment; its old path is free from then on. So of a path's claimants only one can
+    have it: the first, or where a file holds it, the first after that file, and then only if that file moves. These
+    form chains without branches, which are followed in steps of doubled length. A path that several tracks hold stays taken.
+    """
+    published = tracks.where(F.col("published_path").isNotNull())
+    holders = published.groupBy("published_path").agg(F.min("track_id").alias("_holder"), F.count("*").alias("_held")).withColumnRenamed("published_path", "new_path")
+    named = published.where((T.text("artist") != "") & (T.text("title") != "")).withColumn("new_path", T.filename(F.col("artist"), F.col("title")))
+    claims = named.where(F.col("new_path") != F.col("published_path")).join(holders, "new_path", "left")
+    able = F.col("_holder").isNull() | ((F.col("_held") == 1) & (F.col("track_id") > F.col("_holder")))
+    first = claims.where(able).groupBy("new_path").agg(F.min(F.struct("track_id", "published_path", "_holder")).alias("c"))
+    plan = written(first.select("c.track_id", F.col("c.published_path").alias("old_path"), "new_path", F.col("c._holder").alias("_after")), "claims")
+    while plan.where(F.col("_after").isNotNull()).limit(1).count():
+        ahead = plan.select(F.col("track_id").alias("_after"), F.col("_after").alias("_next"))
+        waiting = plan.where(F.col("_after").isNotNull()).join(ahead, "_after").select("track_id", "old_path", "new_path", F.col("_next").alias("_after"))
+        plan = written(plan.where(F.col("_after").isNull()).unionByName(waiting), "claims")
+    return plan.drop("_after")
 
 
 def artwork_refresh(wanted: Column, embedded: Column) -> Column:

@@ -262,16 +262,42 @@ def publish_paths(spark, sf_dir):
     return store.publish_paths(tracks).select("track_id", "path")
 
 
-@query(f"""WITH {_PATHS}, g AS (SELECT track_id, stem || '.aiff' AS new_path, lead(stem || '.aiff') OVER (ORDER BY track_id) AS later FROM f),
-o AS (SELECT *, CASE track_id % 4 WHEN 0 THEN new_path WHEN 1 THEN coalesce(later, 'old') ELSE 'old/' || track_id END AS old_path FROM g)
-SELECT track_id, old_path, new_path FROM o WHERE old_path <> new_path AND new_path NOT IN (SELECT old_path FROM o)""")
-def rename_plan(spark, sf_dir):
-    """A quarter of the files bear their name, a quarter the one that the next track would get, so that one is taken."""
+_STEMS = f"{_PATHS}, g AS (SELECT track_id, stem, stem || '.aiff' AS own FROM f)"
+
+
+@query(f"""WITH {_STEMS}, there AS (SELECT CASE track_id % 4 WHEN 0 THEN own WHEN 1 THEN stem || ' (3).aiff' ELSE stem || ' (02).aiff' END AS path FROM g WHERE track_id % 4 < 3),
+n AS (SELECT track_id, stem, row_number() OVER (PARTITION BY stem ORDER BY track_id) AS k FROM (SELECT track_id, stem FROM g UNION ALL SELECT track_id + 1000000000, stem FROM g)),
+free AS (SELECT stem, i, row_number() OVER (PARTITION BY stem ORDER BY i) AS k FROM (SELECT DISTINCT stem, i FROM g, range(1, 100) r(i)) s
+  WHERE stem || CASE WHEN i = 1 THEN '' ELSE ' (' || i || ')' END || '.aiff' NOT IN (SELECT path FROM there))
+SELECT track_id, stem || CASE WHEN i = 1 THEN '' ELSE ' (' || i || ')' END || '.aiff' AS path FROM n JOIN free USING (stem, k)""")
+def published_beside(spark, sf_dir):
+    """Every name twice, beside files that have the bare name, the third number, or a number in another form."""
     tracks = B.relation(spark, sf_dir, B.TRACKS).select("track_id", F.col("raw_artist").alias("artist"), F.col("raw_title").alias("title"))
-    named = tracks.withColumn("own", T.filename(F.col("artist"), F.col("title")))
-    later = F.coalesce(F.lead("own").over(Window.orderBy("track_id")), F.lit("old"))  # the fixture's own order
-    path = F.when(F.col("track_id") % 4 == 0, F.col("own")).when(F.col("track_id") % 4 == 1, later).otherwise(F.concat(F.lit("old/"), F.col("track_id").cast("string")))
-    return store.rename_plan(named.withColumn("published_path", path).drop("own"))
+    own = T.filename(F.col("artist"), F.col("title"))
+    with_number = lambda n: F.concat(F.regexp_replace(own, r"\.aiff$", ""), F.lit(f" ({n}).aiff"))
+    there = tracks.where("track_id % 4 < 3").select(F.when(F.col("track_id") % 4 == 0, own).when(F.col("track_id") % 4 == 1, with_number(3)).otherwise(with_number("02")).alias("path"))
+    again = tracks.withColumn("track_id", F.col("track_id") + 1_000_000_000)
+    return store.publish_paths(tracks.unionByName(again), there).select("track_id", "path")
+
+
+#: By the rest of track_id and 7: its own name; two that hold each other's; three that free each other's in turn; a name that the one before it wants, too; no artist.
+_HELD = "CASE track_id % 7 WHEN 0 THEN own WHEN 1 THEN coalesce(later, 'old') WHEN 2 THEN coalesce(earlier, 'old') WHEN 3 THEN coalesce(later, 'old') WHEN 4 THEN coalesce(later, 'old') ELSE 'old/' || track_id END"
+
+
+@query(f"""WITH RECURSIVE {_STEMS}, h AS (SELECT g.track_id, g.own, x.own AS later, y.own AS earlier FROM g LEFT JOIN g x ON x.track_id = g.track_id + 1 LEFT JOIN g y ON y.track_id = g.track_id - 1),
+o AS (SELECT track_id, {_HELD} AS held, CASE WHEN track_id % 14 = 6 THEN NULL WHEN track_id % 7 = 6 THEN coalesce(earlier, own) ELSE own END AS wanted FROM h),
+holders AS (SELECT held AS path, min(track_id) AS holder, count(*) AS n FROM o GROUP BY 1),
+claims AS (SELECT track_id, held, wanted, holder FROM o LEFT JOIN holders ON path = wanted WHERE wanted <> held AND (holder IS NULL OR n = 1 AND track_id > holder) QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY track_id) = 1),
+moved AS (SELECT track_id, held, wanted FROM claims WHERE holder IS NULL UNION ALL SELECT c.track_id, c.held, c.wanted FROM claims c JOIN moved m ON m.track_id = c.holder)
+SELECT track_id, held AS old_path, wanted AS new_path FROM moved""")
+def rename_plan(spark, sf_dir):
+    tracks = B.relation(spark, sf_dir, B.TRACKS).select("track_id", F.col("raw_artist").alias("artist"), F.col("raw_title").alias("title")).withColumn("own", T.filename(F.col("artist"), F.col("title")))
+    near = lambda step, *named: tracks.select((F.col("track_id") + step).alias("track_id"), *named)
+    named = tracks.join(near(-1, F.col("own").alias("later")), "track_id", "left").join(near(1, F.col("own").alias("earlier"), F.col("artist").alias("_artist"), F.col("title").alias("_title")), "track_id", "left")
+    named = named.withColumn("published_path", F.expr(_HELD))
+    same = (F.col("track_id") % 7 == 6) & F.col("earlier").isNotNull()
+    named = named.withColumns({"artist": F.when(F.col("track_id") % 14 != 6, F.when(same, F.col("_artist")).otherwise(F.col("artist"))), "title": F.when(same, F.col("_title")).otherwise(F.col("title"))})
+    return store.rename_plan(named.select("track_id", "published_path", "artist", "title"))
 
 
 @query(f"""WITH r AS ({_RES}) SELECT track_id, max(value) FILTER (field = 'artist') AS artist, max(value) FILTER (field = 'title') AS title, max(value) FILTER (field = 'isrc') AS isrc, max(value) FILTER (field = 'comment') AS comment, 'catalog_number' AS skipped FROM r GROUP BY 1""")

@@ -157,8 +157,9 @@ after AS (SELECT * FROM kept UNION ALL SELECT * FROM fresh UNION ALL SELECT * FR
 
 
 @query(f"""WITH {_AFTER}, n AS (SELECT l.track_id, l.published_path, max(value) FILTER (field = 'artist') AS artist, max(value) FILTER (field = 'title') AS title FROM l LEFT JOIN after USING (track_id) WHERE {_ACCEPTED} GROUP BY ALL),
-s AS (SELECT *, {S.safe("artist")} || ' - ' || {S.safe("title")} AS stem FROM n), m AS (SELECT *, row_number() OVER (PARTITION BY stem, published_path IS NULL ORDER BY track_id) AS k FROM s),
-w AS (SELECT track_id, CASE WHEN artist IS NULL AND title IS NULL THEN published_path WHEN published_path IS NOT NULL THEN stem || '.aiff' ELSE stem || CASE k WHEN 1 THEN '' ELSE ' (' || k || ')' END || '.aiff' END AS path FROM m)
+s AS (SELECT *, {S.safe("artist")} || ' - ' || {S.safe("title")} AS stem, published_path IS NULL AS new, published_path IS NOT NULL AND artist <> '' AND title <> '' AS moves FROM n),
+m AS (SELECT *, row_number() OVER (PARTITION BY stem, new, moves ORDER BY track_id) + CASE WHEN new AND bool_or(moves) OVER (PARTITION BY stem) THEN 1 ELSE 0 END AS k FROM s),
+w AS (SELECT track_id, CASE WHEN NOT new THEN CASE WHEN moves AND k = 1 THEN stem || '.aiff' ELSE published_path END WHEN artist IS NULL AND title IS NULL THEN NULL ELSE stem || CASE k WHEN 1 THEN '' ELSE ' (' || k || ')' END || '.aiff' END AS path FROM m)
 SELECT l.track_id, CASE WHEN {_ACCEPTED} THEN CASE WHEN w.path IS NULL THEN 'failed' ELSE 'published' END ELSE status END AS status, CASE WHEN {_ACCEPTED} AND w.path IS NULL THEN 'no artist and no title' END AS error,
 CASE WHEN {_ACCEPTED} THEN w.path ELSE l.published_path END AS published_path FROM l LEFT JOIN w USING (track_id)""")
 def accepted_tracks(spark, sf_dir):
