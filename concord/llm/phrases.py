@@ -4,14 +4,15 @@ A pass over the texts for each length of phrase:
 1. Pass 1 counts all words exactly and, in the same reading, the two-word phrases by bucket of their hash.
 2. Pass k counts exactly those phrases of k words whose two parts of k - 1 words are frequent and whose own bucket is;
    in the same reading it counts phrases of k + 1 words by bucket, those whose two parts of k words are counted.
-What is frequent goes to the workers as a bitmap of fixed size: a bit for each bucket that holds the least count, and a
-bit for the hash of each phrase known to be frequent. A bit never misses a frequent phrase, so the filters only save
-counting; a phrase that passes by chance is counted and then dropped for its count. Bitmaps are 2**BITS bits (2 MB)
-and 2**BUCKET_BITS bits (512 KB), however large the corpus; larger ones can be asked for.
+What is frequent goes to the workers as a bitmap: a bit for each bucket that holds the least count, and a bit for the
+hash of each phrase known to be frequent. A bit never misses a frequent phrase, so the filters only save counting; a phrase that
+passes by chance is counted and then dropped for its count. A bitmap has about a bit for eight bytes of text, so that rare phrases
+leave most buckets below the least count at any size, and 2**MOST_BITS bits (128 MB) at most.
 
 A worker counts a slice of words with numpy, over numbers that it gives to words; its vocabulary and its counts are
-written and emptied when they grow beyond MOST_WORDS and MOST_PHRASES. Spark adds up the parts by (lang, phrase). Buckets
-are added up in two steps, so no group holds more than FOLD blocks of the first step or one block of each of these.
+written and emptied when they grow beyond MOST_WORDS and MOST_PHRASES. Spark adds up the parts by (lang, phrase). A part's
+buckets are three bytes each for those that hold anything, in blocks; blocks are added up in two steps, so no group
+holds more than FOLD parts in the first step or one block of each of these.
 
 Defined cases: a null or empty text has no words; a null lang is "und", together with rows that say so; a word is
 whatever stands between the separators, control characters included; repeated rows count again; an empty table gives no
@@ -35,13 +36,16 @@ LEAST = 10
 #: In percent of a phrase's count: a longer candidate with as many stands for it.
 ABSORBED = 50
 TOP = 2000
-BITS, BUCKET_BITS = 24, 22
-#: Buckets of a block; Spark's bitmap functions have as many bits in a bitmap.
+LEAST_BITS, MOST_BITS = 20, 30
+BYTES_PER_BIT = 8
+#: Bits of one bitmap of Spark's functions, and buckets of a part of a block, whose places take two bytes.
 BLOCK = 32768
+#: Such parts in a block of buckets.
+PARTS = 32
 FOLD = 256
 SLICE = 400_000
-CHUNK_BYTES = 4 << 20
-MOST_WORDS, MOST_PHRASES = 300_000, 1_000_000
+CHUNK_BYTES = 2 << 20
+MOST_WORDS, MOST_PHRASES = 300_000, 600_000
 #: Bits for a word's number in a phrase's key; a vocabulary has MOST_WORDS and a slice at most.
 NUMBER_BITS = 21
 BREAK = b"."
@@ -136,14 +140,36 @@ class Counts:
         self.keys, self.times, self.size = [keys], [times], len(keys)
         return keys, times
 
+    def clear(self) -> None:
+        self.keys, self.times, self.size = [], [], 0
 
-def count(docs: DataFrame, k: int, bucket_next: bool, least: int, frequent: np.ndarray | None = None, buckets: np.ndarray | None = None, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+
+def packed(buckets: np.ndarray, times: np.ndarray, most: int) -> tuple[list[int], list[bytes]]:
+    """Blocks of ascending buckets with their counts, which stop at most: how many each part of the block has, then their places, then their counts."""
+    parts, blocks = buckets // BLOCK, buckets // (BLOCK * PARTS)
+    starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+    out = []
+    for lo, hi in zip(starts, [*starts[1:], len(buckets)], strict=True):
+        sizes = np.bincount(parts[lo:hi] % PARTS, minlength=PARTS).astype("<u4")
+        out.append(sizes.tobytes() + (buckets[lo:hi] % BLOCK).astype("<u2").tobytes() + np.minimum(times[lo:hi], most).astype("u1").tobytes())
+    return blocks[starts].tolist(), out
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the block, counts)."""
+    sizes = np.frombuffer(block, "<u4", PARTS)
+    n = int(sizes.sum())
+    places = np.frombuffer(block, "<u2", n, 4 * PARTS).astype(np.int64)
+    return places + np.repeat(np.arange(PARTS) * BLOCK, sizes), np.frombuffer(block, "u1", n, 4 * PARTS + 2 * n)
+
+
+def count(docs: DataFrame, k: int, bucket_next: bool, least: int, bits: int, frequent: np.ndarray | None = None, buckets: np.ndarray | None = None) -> DataFrame:
     """Parts of pass k, written to the shared folder: rows with phrase and n, and rows with block and counts of the next length's buckets.
 
     docs has lang and text without nulls. Counts of a bucket stop at the least count, as more makes no difference.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, buckets))  # bitmaps of fixed size
-    mask = np.uint64((1 << bucket_bits) - 1)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, buckets))  # bitmaps of bounded size
+    mask = np.uint64((1 << bits) - 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -152,7 +178,15 @@ def count(docs: DataFrame, k: int, bucket_next: bool, least: int, frequent: np.n
         frequent, buckets = sent.value
         vocabularies: dict[str, Vocabulary] = {}
         counts: dict[str, Counts] = defaultdict(Counts)
-        in_bucket = np.zeros(1 << bucket_bits, np.uint32) if bucket_next else None
+        in_buckets = Counts()
+
+        def bucketed() -> Iterator[pa.RecordBatch]:
+            if in_buckets.size:
+                blocks, held = packed(*in_buckets.merge(), least)
+                n = len(blocks)
+                none = [pa.nulls(n, f.type) for f in _COUNTED][:3]
+                yield from pa.table([*none, pa.array([part] * n, pa.int32()), pa.array(blocks, pa.int32()), pa.array(held, pa.binary())], schema=_COUNTED).to_batches(max_chunksize=16)
+                in_buckets.clear()
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, of_lang in counts.items():
@@ -188,18 +222,18 @@ def count(docs: DataFrame, k: int, bucket_next: bool, least: int, frequent: np.n
             if bucket_next:
                 both = starts[:-1][np.diff(starts) == 1]
                 both = both[both < own]
-                np.add.at(in_bucket, (_next_hash(hashed[both], hashes[both + k]) & mask).astype(np.int64), 1)
+                in_buckets.add((_next_hash(hashed[both], hashes[both + k]) & mask).astype(np.int64))
+                if in_buckets.size > 4 * MOST_PHRASES:
+                    in_buckets.merge()
+                if in_buckets.size > 4 * MOST_PHRASES:
+                    yield from bucketed()
             if counts[lang].size > MOST_PHRASES:
                 counts[lang].merge()
             if sum(map(len, vocabularies.values())) > MOST_WORDS or sum(c.size for c in counts.values()) > MOST_PHRASES:
                 yield from counted()
                 vocabularies.clear()
         yield from counted()
-        if bucket_next and in_bucket.any():
-            few = np.minimum(in_bucket, least).astype(np.uint8)
-            for block in range(0, len(few), BLOCK):
-                one = [[None], [None], [None], [part], [block // BLOCK], [few[block : block + BLOCK].tobytes()]]
-                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(one, _COUNTED, strict=True)], schema=_COUNTED)
+        yield from bucketed()
 
     return common.materialize(docs.select("lang", "text").mapInArrow(scan, COUNTED), f"phrases-{k}")
 
@@ -208,52 +242,68 @@ def _added(least: int, bits: bool):
     """Blocks of a group added up, one at a time; as bits of what reaches the least count."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BLOCK, np.uint16)
+        total = np.zeros(BLOCK * PARTS, np.uint8)
         block = None
         for batch in batches:
             block = batch.column("block")[0].as_py()
             for one in batch.column("counts"):
-                total = np.minimum(total + np.frombuffer(one.as_buffer(), np.uint8), least)
-        out = np.packbits(total >= least, bitorder="little") if bits else total.astype(np.uint8)
-        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "counts"])
+                places, times = unpacked(one.as_buffer())
+                total[places] = np.minimum(total[places].astype(np.uint16) + times, least)
+        if bits:
+            out = np.packbits(total >= least, bitorder="little").tobytes()
+        else:
+            held = np.flatnonzero(total)
+            out = packed(held, total[held], least)[1][0]
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "held" if bits else "counts"])
 
     return fold
 
 
-def bucket_bitmap(counted: DataFrame, least: int, bucket_bits: int = BUCKET_BITS) -> np.ndarray:
-    """Bits of the buckets that hold the least count: 2**bucket_bits of them, whatever the input."""
+def bits_for(size: int) -> int:
+    """Bits of the bitmaps for so many bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(size, 1) // BYTES_PER_BIT).bit_length()))
+
+
+def _bitmap(rows: DataFrame, bits: int, each: int) -> np.ndarray:
+    """Rows of block and held, each bits, as one bitmap of 2**bits bits on the driver."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows.toLocalIterator():
+        held = np.frombuffer(r.held, np.uint8)
+        out[r.block * each // 8 :][: len(held)] = held[: len(out)]
+    return out
+
+
+def bucket_bitmap(counted: DataFrame, least: int, bits: int) -> np.ndarray:
+    """Bits of the buckets that hold the least count: 2**bits of them, whatever the input."""
     blocks = counted.where(F.col("block").isNotNull()).select("block", "counts", F.floor(F.col("part") / FOLD).alias("fold"))
     once = blocks.groupBy("block", "fold").applyInArrow(_added(least, False), "block int, counts binary")
-    out = np.zeros(1 << (bucket_bits - 3), np.uint8)
-    for r in once.groupBy("block").applyInArrow(_added(least, True), "block int, counts binary").collect():
-        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.counts, np.uint8)
-    return out
+    return _bitmap(once.groupBy("block").applyInArrow(_added(least, True), "block int, held binary"), bits, BLOCK * PARTS)
 
 
-def frequent_bitmap(phrases: DataFrame, k: int, bits: int = BITS) -> np.ndarray:
+def frequent_bitmap(phrases: DataFrame, k: int, bits: int) -> np.ndarray:
     """Bits of the hashes of phrases (lang, phrase) of k words: 2**bits of them, whatever the input."""
     at = hash_of(F.col("lang"), F.split("phrase", " "), k).bitwiseAND(F.lit((1 << bits) - 1))
     rows = phrases.select(at.alias("at")).groupBy(F.floor(F.col("at") / BLOCK).alias("block")).agg(F.bitmap_construct_agg((F.col("at") % BLOCK).cast("long")).alias("held"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows.collect():
-        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.held, np.uint8)
-    return out
+    return _bitmap(rows, bits, BLOCK)
 
 
-def frequent(docs: DataFrame, least: int = LEAST, longest: int = 3, bits: int = BITS, bucket_bits: int = BUCKET_BITS) -> tuple[list[DataFrame], DataFrame]:
+def frequent(docs: DataFrame, least: int = LEAST, longest: int = 3, bits: int | None = None) -> tuple[list[DataFrame], DataFrame]:
     """([(lang, phrase, f) of one word, of two, ...], (lang, n)): phrases with f >= least, and all words of each language."""
     if not 2 <= longest <= 3:
         raise ValueError("phrases have two or three words")
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), common.whole_text(F.col("text")).alias("text"))
+    if bits is None:
+        bits = bits_for(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     out, sizes, before, buckets = [], None, None, None
+    in_bucket = min(least, 255)  # counts of buckets are bytes
     for k in range(1, longest + 1):
-        parts = count(rows, k, k < longest, least, before, buckets, bucket_bits)
+        parts = count(rows, k, k < longest, in_bucket, bits, before, buckets)
         phrases = parts.where(F.col("phrase").isNotNull())
         if k == 1:
             sizes = phrases.groupBy("lang").agg(F.sum("n").alias("n"))
         out.append(common.materialize(phrases.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), f"frequent-{k}"))
         if k < longest:
-            before, buckets = frequent_bitmap(out[-1], k, bits), bucket_bitmap(parts, least, bucket_bits)
+            before, buckets = frequent_bitmap(out[-1], k, bits), bucket_bitmap(parts, in_bucket, bits)
     return out, sizes
 
 
@@ -297,9 +347,9 @@ def unabsorbed(candidates: DataFrame, absorbed: int = ABSORBED) -> DataFrame:
 
 
 @common.finished
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = 3, top: int = TOP, absorbed: int = ABSORBED, bits: int = BITS, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = 3, top: int = TOP, absorbed: int = ABSORBED, bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first phrases of each language by score, count and bytes."""
-    found, sizes = frequent(docs, least, longest, bits, bucket_bits)
+    found, sizes = frequent(docs, least, longest, bits)
     kept = unabsorbed(scored(found), absorbed)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
