@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.llm import common
@@ -55,44 +55,47 @@ def blob_of(text: Column) -> Column:
     return F.sha2(common.whole_text(text).cast("binary"), 256)
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """The rule's spans in a text. Split gives what lies between the matches, so places are running sums of lengths."""
+def matches_of(text: Column, rule: Rule) -> Column:
+    """The rule's matches in a text, in order: the length of what stands before each since the last one, its own, and whether it is kept."""
     pattern = F.lit(rule.pattern)
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     held = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else matches
-    struct = lambda at, n: F.struct(F.lit(rule.kind).alias("kind"), at.cast("long").alias("start"), (at + n).cast("long").alias("end"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["between"]
-        keep = x["held"] >= rule.least
-        return F.struct((at + x["match"]).alias("at"), F.when(keep, F.concat(acc["spans"], F.array(struct(at, x["match"])))).otherwise(acc["spans"]).alias("spans"))
-
     parts = F.arrays_zip(between.alias("between"), matches.alias("match"), held.alias("held"))  # the last one is what follows all matches
-    found = F.aggregate(F.filter(parts, lambda x: x["match"].isNotNull()), start, step)["spans"]
+    found = F.transform(F.filter(parts, lambda x: x["match"].isNotNull()), lambda x: F.struct(x["between"].alias("between"), x["match"].alias("match"), (x["held"] >= rule.least).alias("keep")))
     may = F.rlike(text, pattern)
     for k, hint in enumerate(rule.hints):
         here = F.contains(text, F.lit(hint))
         any_hint = here if not k else any_hint | here
     if rule.hints:
         may = any_hint & may
-    return F.when(may, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(may, found).otherwise(F.array().cast("array<struct<between:int,match:int,keep:boolean>>"))
+
+
+def placed(entries: DataFrame) -> DataFrame:
+    """Entries of matches as entries of spans. Places are running sums over the matches of a blob, so their time grows as their number."""
+    matches = entries.where(F.size("matches") > 0).select("blob", "kind", "rule_version", F.posexplode("matches").alias("nth", "m"))
+    end = F.sum((F.col("m.between") + F.col("m.match")).cast("long")).over(Window.partitionBy("blob", "kind").orderBy("nth"))
+    spans = matches.withColumn("end", end).withColumn("span", F.when(F.col("m.keep"), F.struct("kind", (F.col("end") - F.col("m.match")).alias("start"), "end")))
+    found = spans.groupBy("blob", "kind", "rule_version").agg(F.array_sort(F.collect_list("span")).cast(f"array<{SPAN}>").alias("spans"))
+    none = entries.where(F.size("matches") == 0).select("blob", "kind", "rule_version", F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return none.unionByName(found)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """New entries of the ledger: one for each rule and blob of versions that it lacks."""
     blobs = versions.select(common.whole_text(F.col(text)).alias("text")).withColumn("blob", blob_of(F.col("text")))
-    entry = lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).cast("int").alias("rule_version"), spans_of(F.col("text"), r).alias("spans"))
+    entry = lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).cast("int").alias("rule_version"), matches_of(F.col("text"), r).alias("matches"))
     if ledger is None:
         unseen = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-        return unseen.select("blob", F.inline(F.array(*map(entry, rules))))
+        return placed(common.materialize(unseen.select("blob", F.inline(F.array(*map(entry, rules)))), "matches"))
     asked = versions.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, rule_version int")
     done = ledger.join(F.broadcast(asked), ["kind", "rule_version"], "left_semi").groupBy("blob").agg(F.collect_set("kind").alias("done"))
     unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(done, "blob", "left")
     missing = lambda r: ~F.coalesce(F.array_contains("done", r.kind), F.lit(False))
     entries = F.filter(F.array(*[F.when(missing(r), entry(r)) for r in rules]), lambda x: x.isNotNull())
-    return unseen.where(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(rules)).select("blob", F.inline(entries))
+    unseen = unseen.where(F.size(F.coalesce("done", F.array().cast("array<string>"))) < len(rules))
+    return placed(common.materialize(unseen.select("blob", F.inline(entries)), "matches"))
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -117,7 +120,7 @@ def redact(docs: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the ledger masked."""
     kinds = F.create_map(*[F.lit(x) for r in RULES for x in (r.kind, r.version)])
     found = ledger.where((F.size("spans") > 0) & (kinds[F.col("kind")] == F.col("rule_version"))).dropDuplicates(["blob", "kind"])
-    found = found.groupBy("blob").agg(F.array_sort(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
+    found = merged(found.select("blob", F.inline("spans")))
     found = common.materialize(found.withColumnsRenamed({"blob": "__blob", "spans": "__spans"}), "blobs-with-secrets")
     if (found.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= FEW_SPANS:
         found = F.broadcast(found)
@@ -130,16 +133,39 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def merged(spans: DataFrame) -> DataFrame:
+    """(blob, spans): the spans (blob, start, end) of a blob by start, overlapping ones as one."""
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("apart", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+    rows = rows.withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = rows.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return one.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def mask(text: Column, spans: Column) -> Column:
-    """The text with every span, sorted by start, as [SECRET]; overlapping spans become one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with every one of the spans, sorted and apart, as [SECRET].
+
+    To cut a text at a place takes time as the text is long, so it is cut into the cube root of the spans' number of chunks, these again, and the last ones at their spans.
+    """
+    end = lambda i: F.when(i < 0, F.lit(0)).otherwise(F.get(spans, i)["end"]).cast("int")
+    cut = lambda x, lo, hi: F.substring(x, lo + 1, hi - lo)
+
+    def masked(x: Column, base: Column, first: Column, last: Column, depth: int) -> Column:
+        """What stands from the end of the span before first to the end of last; x begins at base."""
+        if not depth:
+            return F.array_join(F.transform(F.sequence(first, last), lambda i: F.concat(cut(x, end(i - 1) - base, F.get(spans, i)["start"].cast("int") - base), F.lit("[SECRET]"))), "")
+        n = last - first + 1
+        step = F.ceil(F.pow(n, F.lit(depth / (depth + 1)))).cast("int")
+
+        def chunk(c: Column) -> Column:
+            lo, hi = first + c * step, F.least(first + (c + 1) * step - 1, last)
+            return common.let(cut(x, end(lo - 1) - base, end(hi) - base), lambda y: masked(y, end(lo - 1), lo, hi, depth - 1))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("[SECRET]"))).otherwise(F.lit(""))).alias("out"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1), chunk), "")
 
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    last = F.size(spans) - 1
+    return F.concat(masked(text, F.lit(0), F.lit(0), last, 2), cut(text, end(last), F.length(text)))
 
 
 def digest(rows: DataFrame) -> DataFrame:
