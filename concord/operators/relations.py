@@ -23,10 +23,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def coalesce_relations(keys: Sequence[str], *tiers: DataFrame) -> DataFrame:
     """For each key the rows of the first relation that has any."""
-    out = tiers[0]
-    for tier in tiers[1:]:
-        out = out.unionByName(tier.join(out.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)
-    return out
+    out = tiers[0].withColumn("_tier", F.lit(0))
+    for n, tier in enumerate(tiers[1:], 1):
+        out = out.unionByName(tier.withColumn("_tier", F.lit(n)), allowMissingColumns=True)
+    return first_tier(out, keys, "_tier").drop("_tier")
+
+
+def first_tier(rows: DataFrame, keys: Sequence[str], tier: str) -> DataFrame:
+    """For each key the rows of its lowest tier."""
+    return rows.withColumn("_lowest", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("_lowest")).drop("_lowest")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], protect: Column | None = None) -> DataFrame:

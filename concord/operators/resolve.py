@@ -15,7 +15,7 @@ from concord import vocab
 from concord.functions import similarity
 from concord.functions import text as T
 from concord.operators import fuse, identity, store
-from concord.operators.relations import coalesce_relations
+from concord.operators.relations import coalesce_relations, first_tier, written
 
 KEY = ["track_id"]
 #: What is known of a match; identity.confidence() reads all but the ids.
@@ -45,7 +45,7 @@ def evaluate(queries: DataFrame, recordings: DataFrame, albums: DataFrame) -> Da
     """
     asked = queries.select("track_id", F.col("title").alias("query_title"), F.col("duration_s").cast("double").alias("target"), F.coalesce("isrc", F.lit("")).alias("isrc"))
     given = recordings.join(asked.select("track_id", "isrc"), "track_id").where((F.col("tier") > 0) | (F.col("isrc") != "")).drop("isrc")
-    found = identity.search_recordings(*[given.where(F.col("tier") == t) for t in range(3)], KEY)
+    found = first_tier(given, KEY, "tier")
     ranked = identity.rank_recordings(found.join(asked.select("track_id", F.when(F.col("target") != 0, F.col("target")).alias("target")), "track_id"), KEY)
     with_album = albums.select(*KEY, "recording_id").distinct().withColumn("_has", F.lit(0))
     beside = identity.beside_top(ranked, KEY).join(with_album, [*KEY, "recording_id"], "left")
@@ -85,16 +85,17 @@ def resolve(queries: DataFrame, by_text: DataFrame, by_fingerprint: DataFrame |
 
     by_text, by_fingerprint: from the two evaluations; a fingerprint's recording goes before a text's.
     recording_values: recording_id, field, value, source, ord; enrichment: CANDIDATE rows of the other catalogues, which
-    count only for tracks with some evidence. Where they agree on the query, a doubtful match is corroborated.
+    count only for tracks with some evidence. Where they agree on the query, a doubtful match is corroborated. What was
+    found and the candidates are written to the shared folder, so that all that is asked of them later shares one computation.
     """
-    found = by_text if by_fingerprint is None else coalesce_relations(KEY, by_fingerprint, by_text)
+    found = written(by_text if by_fingerprint is None else coalesce_relations(KEY, by_fingerprint, by_text), "found")
     known = found.where(F.col("evidence") != "none")
     extra = enrichment.join(known.select("track_id"), "track_id", "left_semi").select(*CANDIDATE)
-    votes = identity.corroborated(extra, queries.select("track_id", F.col("artist").alias("query_artist"), F.col("title").alias("query_title"))).withColumnRenamed("corroborated", "_agreed")
+    values = known.select("track_id", "recording_id").join(recording_values, "recording_id").select(*CANDIDATE)
+    candidates = written(values.unionByName(extra.withColumn("ord", F.col("ord") + _STEP)), "found-candidates")
+    votes = identity.corroborated(candidates.where(F.col("ord") >= _STEP), queries.select("track_id", F.col("artist").alias("query_artist"), F.col("title").alias("query_title"))).withColumnRenamed("corroborated", "_agreed")
     doubtful = ~identity.auto_accepts(F.col("confidence"))
     judged = with_confidence(found).join(votes, "track_id", "left").withColumn("corroborated", doubtful & (F.col("evidence") != "none") & F.coalesce("_agreed", F.lit(False)))
-    values = known.select("track_id", "recording_id").join(recording_values, "recording_id").select(*CANDIDATE)
-    candidates = values.unionByName(extra.withColumn("ord", F.col("ord") + _STEP))
     return with_confidence(judged.drop("_agreed", "confidence")), candidates
 
 
@@ -141,16 +142,17 @@ def resolve_and_arbitrate(
 ) -> Outcome:
     """Resolve every download, store all candidates, decide the fields of those that are sure enough and queue the others.
 
+    Each step is written to the shared folder, and the next ones and all four outputs read it there: none is computed twice.
     downloads: track_id, channel, raw_title, duration_s. The tracks returned have names as cleaned, family, confidence, ids
     and status: pending where the run goes on, review where it waits.
     """
-    queries = cleaned(downloads)
+    queries = written(cleaned(downloads), "queries")
     matches, found = resolve(queries, by_text, by_fingerprint, recording_values, enrichment)
     candidates = found.unionByName(own_candidates(downloads, predictions))
-    tracks = queries.join(matches, "track_id").join(families(queries, candidates, predictions), "track_id")
+    tracks = written(queries.join(matches, "track_id").join(families(queries, candidates, predictions), "track_id"), "tracks")
     sure = identity.auto_accepts(F.col("confidence"))
     accepted = tracks.where(sure).select("track_id", "family")
-    decisions = fuse.arbitrate(candidates.join(accepted, "track_id"), ranking)
+    decisions = written(fuse.arbitrate(candidates.join(accepted, "track_id"), ranking), "decisions")
     waiting = tracks.where(~sure).select("track_id", identity.review_reason(F.col("confidence"), F.col("evidence")).alias("reason"))
     done = tracks.select(
         "track_id", F.col("artist").alias("norm_artist"), F.col("title").alias("norm_title"), F.col("family").alias("genre_family"), F.col("confidence").alias("identity_confidence"),

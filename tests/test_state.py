@@ -90,3 +90,25 @@ def test_paths_skip_taken_numbers_and_other_names(spark):
     assert [got[i] for i in range(9)] == [f"{stem} ({n}).aiff" for n in (2, 5, 6, 7, 8, 10, 11, 12, 13)]
     assert (got[20], got[21], got[22], got[23]) == (bare[20], bare[20].replace(".aiff", " (3).aiff"), bare[22], bare[23])
     assert len(set(got.values())) == len(got) and not set(got.values()) & set(there)
+
+
+def test_whole_run_reads_and_shuffles_each_step_once(spark, sf, monkeypatch):
+    """Scans and exchanges of all steps and all four outputs of a run together."""
+    from concord.operators import relations, resolve
+    from concord.plans import run_queries
+
+    plans = []
+    keep = relations.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    for module in (relations, resolve, store):
+        monkeypatch.setattr(module, "written", seen)
+    out = run_queries._run(spark, sf)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (out.tracks, out.candidates, out.resolved, out.queue)]
+    text = "\n".join(plans)
+    scans, exchanges = text.count("FileScan parquet"), sum(line.lstrip(" :+-").startswith("Exchange ") for line in text.splitlines())
+    print(scans, exchanges, [(p.count("FileScan parquet"), p.count("Exchange hash")) for p in plans])
+    assert scans <= 40 and exchanges <= 40
