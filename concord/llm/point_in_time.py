@@ -7,13 +7,14 @@ counts until a window's length after its time, so for a window it is an interval
 2. Each interval finds the blocks that it touches by binary search in its client's list of blocks. The blocks it covers
    are a range; the first and the last one it touches may be covered in part.
 3. Covering intervals of one range of blocks are added up before the range is laid out; then each block has one total.
-   Rows that overlap a block in part join only that block's probes.
+   Rows that overlap a block in part join only that block, with its probes as one sorted list, and find in it between which of
+   them they count; what begins and ends there is added up, so a probe's own share is a running sum within its block.
 4. Items: a block's set is the union of the items of covering lines. Lines that overlap it in part are left out if their item is in
    the set, and the rest of an item's intervals are united, so each adds one to the probes inside it.
 5. A probe's features are its block's totals and its own.
 
-What a client has in one row is its list of blocks, the square root of its probes; every other group is a block's, or is added up
-on the way. Joins that meet a hot client or sale have no other step behind them in the same stage, so adaptive execution may split them.
+What a client has in one row is its list of blocks, the square root of its probes, and a block its probes; every other group is a
+block's, or is added up on the way. Joins that meet a hot client or sale have no other step behind them in the same stage, so adaptive execution may split them.
 
 Defined cases: sales without client or time are no probes and count nowhere; without an arrival they count as a probe and
 for labels alone. A null sale_id has the moment of its sale, and no lines. Lines without sale, or without shipped_at, count nowhere; lines of a sale_id that
@@ -37,7 +38,7 @@ DELAY = 240 * 60 * SECOND
 HORIZON = 7 * DAY
 SPREAD = 259_200
 #: Probes of a block: so many times the square root of the client's, and so many at least.
-FACTOR, LEAST = 0.5, 16
+FACTOR, LEAST = 1, 16
 CLICK, SALE, LINE, LABEL, ITEM = range(5)
 #: The latest click is the largest number of time and id in this base; an id of null comes before all others.
 BASE, ID_AT = "100000000000000000000BD", "9223372036854775809BD"
@@ -65,23 +66,28 @@ def moments(sales: DataFrame) -> DataFrame:
 
 
 def blocks(probes: DataFrame, factor: float = FACTOR, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """((client_id, block, probe, sale_id, t), (client_id, firsts, lasts, steps)) of a written table of moments(); both are written.
+    """((client_id, block, nth, sale_id, t), (client_id, firsts, lasts, steps)) of a written table of moments(); both are written.
 
-    firsts and lasts are the first and last moments of a client's blocks in order; steps are the powers of two up to their number, downwards.
+    nth counts a block's probes from 0. firsts and lasts are the first and last moments of a client's blocks in order; steps are the powers
+    of two up to their number, downwards.
     """
     rows = probes.select("client_id", "sale_id", "t").withColumn("row", F.monotonically_increasing_id())
     sizes = rows.groupBy("client_id").agg(F.greatest(F.lit(least), F.ceil(F.sqrt(F.count("*")) * factor)).alias("width"))
-    ranges = rows.join(sizes, "client_id").repartitionByRange(common.partitions_for(probes), "client_id", "t", "sale_id", "row")
-    ranges = common.materialize(ranges.select("client_id", "t", "sale_id", "width", F.monotonically_increasing_id().alias("probe"), F.spark_partition_id().alias("range")), "ranges")
-    nth = F.row_number().over(Window.partitionBy("range", "client_id").orderBy("t", "probe"))
-    dealt = common.materialize(ranges.withColumn("nth", F.floor((nth - 1) / F.col("width")).cast("int")).drop("width"), "dealt")
-    spans = dealt.groupBy("client_id", "range", "nth").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    lists = spans.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "range", "nth"))).alias("spans"))
+    ranges = rows.join(common.materialize(sizes, "widths"), "client_id").repartitionByRange(common.partitions_for(probes), "client_id", "t", "sale_id", "row")
+    ranges = common.materialize(ranges.select("client_id", "t", "sale_id", "width", "row", F.spark_partition_id().alias("range")), "ranges")
+    at = F.row_number().over(Window.partitionBy("range", "client_id").orderBy("t", "row")) - 1
+    dealt = ranges.withColumn("at", at).withColumns({"run": F.floor(F.col("at") / F.col("width")).cast("int"), "nth": (F.col("at") % F.col("width")).cast("int")})
+    dealt = common.materialize(dealt.drop("at", "width", "row"), "dealt")
+    spans = dealt.groupBy("client_id", "range", "run").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    lists = spans.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "range", "run"))).alias("spans"))
     lists = common.materialize(lists, "block-lists")
-    numbers = lists.select("client_id", F.posexplode("spans").alias("block", "span")).select("client_id", "block", "span.range", "span.nth")
-    numbered = common.materialize(dealt.join(numbers, ["client_id", "range", "nth"]).select("client_id", "block", "probe", "sale_id", "t"), "probes")
-    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(29, -1, -1))), lambda p: p <= F.size("spans"))
-    return numbered, lists.select("client_id", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts"), steps.alias("steps"))
+    numbers = lists.select("client_id", F.posexplode("spans").alias("block", "span")).select("client_id", "block", "span.range", "span.run")
+    numbered = common.materialize(dealt.join(numbers, ["client_id", "range", "run"]).select("client_id", "block", "nth", "sale_id", "t"), "probes")
+    return numbered, lists.select("client_id", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts"), _steps("spans").alias("steps"))
+
+
+def _steps(of: str) -> Column:
+    return F.filter(F.array(*(F.lit(1 << k) for k in range(29, -1, -1))), lambda p: p <= F.size(of))
 
 
 def facts(rows: DataFrame, clicks: DataFrame, lines: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -134,10 +140,10 @@ def located(rows: DataFrame, lists: DataFrame) -> DataFrame:
 MEASURES = ("n_clicks", "n_purchases", "click_cents", "n_sales", "sale_cents", "n_lines", "line_cents", "n_labels", "n_items")
 
 
-def _sums(rows: DataFrame) -> list[Column]:
-    """All measures of rows with kind, n, purchases, cents and latest."""
-    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(F.lit(0)))
-    values = (of(CLICK, "n"), F.sum("purchases"), of(CLICK, "cents"), of(SALE, "n"), of(SALE, "cents"), of(LINE, "n"), of(LINE, "cents"), of(LABEL, "n"), of(ITEM, "n"))
+def _sums() -> list[Column]:
+    """All measures of rows with kind, n, purchases, cents and latest, each times its sign."""
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col("sign") * F.col(c)).otherwise(F.lit(0)))
+    values = (of(CLICK, "n"), F.sum(F.col("sign") * F.col("purchases")), of(CLICK, "cents"), of(SALE, "n"), of(SALE, "cents"), of(LINE, "n"), of(LINE, "cents"), of(LABEL, "n"), of(ITEM, "n"))
     return [*(v.alias(k) for k, v in zip(MEASURES, values, strict=True)), F.max("latest").alias("latest")]
 
 
@@ -171,6 +177,20 @@ def part_items(pieces: DataFrame, held: DataFrame) -> DataFrame:
     return rows.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("client_id", "d", "block", "lo", "hi")
 
 
+def inside(pieces: DataFrame, probes: DataFrame) -> DataFrame:
+    """(client_id, block, d, nth, measures): what rows that overlap a block in part add or take away from its nth probe on.
+
+    Of the latest click nothing is taken away: an older one ends earlier, so where the latest has ended all have.
+    """
+    lists = probes.groupBy("client_id", "block").agg(F.sort_array(F.collect_list("t")).alias("times"))
+    rows = pieces.join(common.materialize(lists.select("*", _steps("times").alias("steps")), "times"), ["client_id", "block"])
+    rows = rows.withColumns({"since": F.expr(_before("times", "lo")), "until": F.expr(_before("times", "hi"))}).where("since < until")
+    begin = F.struct(F.col("since").alias("nth"), F.lit(1).alias("sign"), F.col("latest").alias("latest"))
+    end = F.when(F.col("until") < F.size("times"), F.struct(F.col("until").alias("nth"), F.lit(-1).alias("sign"), F.lit(None).cast("decimal(38,0)").alias("latest")))
+    ends = rows.select("client_id", "block", "d", "kind", "n", "purchases", "cents", F.inline(F.filter(F.array(begin, end), lambda x: x.isNotNull())))
+    return common.materialize(ends.groupBy("client_id", "block", "d", "nth").agg(*_sums()), "inside")
+
+
 @common.finished
 def features(sales: DataFrame, clicks: DataFrame, lines: DataFrame, windows: tuple[int, ...] = WINDOWS, factor: float = FACTOR, least: int = LEAST) -> DataFrame:
     """(sale_id, d, t_us, label, n_clicks, n_purchases, click_cents, last_click_id, n_sales, sale_cents, n_lines, n_items, line_cents) of every probe and window."""
@@ -180,23 +200,23 @@ def features(sales: DataFrame, clicks: DataFrame, lines: DataFrame, windows: tup
     held = block_items(pieces)
 
     covered = _laid_out(_added(pieces.where(~F.col("part")), "client_id", "d", "first_block", "last_block"))
-    covered = covered.unionByName(_as_items(held.drop("item_id")))
-    of_blocks = covered.groupBy("client_id", "d", "block").agg(*_sums(covered))
-
-    partly = _added(pieces.where("part").withColumnRenamed("first_block", "block"), "client_id", "d", "block", "lo", "hi")
-    partly = partly.unionByName(_as_items(part_items(pieces, held)).groupBy("client_id", "d", "block", "lo", "hi", "kind", "purchases", "cents", "latest").agg(F.sum("n").alias("n")))
-    partly = common.materialize(partly, "partly")
-    inside = partly.join(probes.select("client_id", "block", "probe", "t"), ["client_id", "block"]).where((F.col("lo") <= F.col("t")) & (F.col("t") < F.col("hi")))
-    of_probes = common.materialize(inside.groupBy("probe", "d").agg(*_sums(inside)), "of-probes")
-
-    mine = lambda df, side: df.select(*[c for c in df.columns if c not in (*MEASURES, "latest")], *(F.col(c).alias(f"{side}_{c}") for c in (*MEASURES, "latest")))
-    out = probes.withColumn("d", F.explode(F.array(*map(F.lit, windows)))).join(mine(of_blocks, "block"), ["client_id", "d", "block"], "left").join(mine(of_probes, "own"), ["probe", "d"], "left")
-    total = {c: F.coalesce(F.col(f"block_{c}"), F.lit(0)) + F.coalesce(F.col(f"own_{c}"), F.lit(0)) for c in MEASURES}
-    out = out.withColumn("latest", F.greatest("block_latest", "own_latest"))
+    covered = covered.unionByName(_as_items(held.drop("item_id"))).withColumn("sign", F.lit(1))
+    of_blocks = covered.groupBy("client_id", "d", "block").agg(*_sums()).withColumnsRenamed({c: f"block_{c}" for c in (*MEASURES, "latest")})
+
+    partly = pieces.where("part").withColumnRenamed("first_block", "block").drop("last_block", "part", "item_id")
+    own = inside(partly.unionByName(_as_items(part_items(pieces, held))), probes)
+
+    out = probes.withColumn("d", F.explode(F.array(*map(F.lit, windows)))).join(own, ["client_id", "block", "d", "nth"], "left")
+    so_far = Window.partitionBy("client_id", "d", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.select("client_id", "d", "block", "sale_id", "t", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in MEASURES), F.max("latest").over(so_far).alias("latest"))
+    out = out.join(of_blocks, ["client_id", "d", "block"], "left")
+    total = {c: F.col(c) + F.coalesce(F.col(f"block_{c}"), F.lit(0)) for c in MEASURES}
+    out = out.withColumn("latest", F.greatest("latest", "block_latest"))
+    at = F.expr(f"cast((latest - pmod(latest, {BASE})) / {BASE} AS long)")
     click = F.expr(f"cast(CASE WHEN pmod(latest, {BASE}) > 0 THEN pmod(latest, {BASE}) - {ID_AT} END AS long)")
     return out.select(
-        "sale_id", "d", F.col("t").alias("t_us"), (total["n_labels"] > 0).alias("label"), *(total[c].alias(c) for c in ("n_clicks", "n_purchases", "click_cents")), click.alias("last_click_id"),
-        *(total[c].alias(c) for c in ("n_sales", "sale_cents", "n_lines", "n_items", "line_cents")),
+        "sale_id", "d", F.col("t").alias("t_us"), (total["n_labels"] > 0).alias("label"), *(total[c].alias(c) for c in ("n_clicks", "n_purchases", "click_cents")),
+        F.when(at + F.col("d") * DAY > F.col("t"), click).alias("last_click_id"), *(total[c].alias(c) for c in ("n_sales", "sale_cents", "n_lines", "n_items", "line_cents")),
     )
 
 
