@@ -44,9 +44,8 @@ def evaluate(queries: DataFrame, recordings: DataFrame, albums: DataFrame) -> Da
     have an album by the artist. Values come from the first of the few that has one.
     """
     asked = queries.select("track_id", F.col("title").alias("query_title"), F.col("duration_s").cast("double").alias("target"), F.coalesce("isrc", F.lit("")).alias("isrc"))
-    given = recordings.join(asked.select("track_id", "isrc"), "track_id").where((F.col("tier") > 0) | (F.col("isrc") != "")).drop("isrc")
-    found = first_tier(given, KEY, "tier")
-    ranked = identity.rank_recordings(found.join(asked.select("track_id", F.when(F.col("target") != 0, F.col("target")).alias("target")), "track_id"), KEY)
+    given = recordings.join(asked.select("track_id", "isrc", F.when(F.col("target") != 0, F.col("target")).alias("target")), "track_id").where((F.col("tier") > 0) | (F.col("isrc") != "")).drop("isrc")
+    ranked = identity.rank_recordings(first_tier(given, KEY, "tier"), KEY)
     with_album = albums.select(*KEY, "recording_id").distinct().withColumn("_has", F.lit(0))
     beside = identity.beside_top(ranked, KEY).join(with_album, [*KEY, "recording_id"], "left")
     probed = F.when(F.col("rank") <= vocab.RECORDING_PROBE, F.struct(F.coalesce("_has", F.lit(1)), "rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concord import api, vocab
 from concord.functions import text as T
 from concord.operators import calibrate, resolve, store
-from concord.operators.relations import shared_folder
+from concord.operators.relations import shared_folder, written
 from concord.plans import bindings as B
 from concord.plans import record_queries as R
 from concord.plans import sql_text as S
@@ -64,7 +64,10 @@ def _queries(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    answers = B.relation(spark, sf_dir, B.ANSWERS)
+    return _of_answers(B.relation(spark, sf_dir, B.ANSWERS))
+
+
+def _of_answers(answers):
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.expr(v).alias("value")) for f, v in _VALUES])
     values = answers.select("recording_id", F.posexplode(pairs).alias("ord", "p")).select("recording_id", "p.field", "p.value", F.lit("musicbrainz").alias("source"), F.col("ord").cast("long").alias("ord"))
     return answers, answers.where("has_album").select("track_id", "recording_id"), values.distinct()
@@ -83,10 +86,13 @@ def evaluated_queries(spark, sf_dir):
 
 
 def _run(spark, sf_dir):
-    downloads, _ = _queries(spark, sf_dir)
+    """The whole path over landed tables, which are stored as the sources' answers would be."""
+    landed = {k: written(B.relation(spark, sf_dir, v), k) for k, v in (("downloads", B.DOWNLOADS), ("answers", B.ANSWERS))}
+    queries = written(resolve.cleaned(landed["downloads"]).join(landed["downloads"].select("track_id", "isrc"), "track_id"), "asked")
+    answers, albums, values = _of_answers(landed["answers"])
     empty = spark.createDataFrame([], "track_id bigint, reason string")
     return resolve.resolve_and_arbitrate(
-        downloads, _by_text(spark, sf_dir), None, _answers(spark, sf_dir)[2], B.relation(spark, sf_dir, B.ENRICHMENT), B.relation(spark, sf_dir, B.PREDICTIONS),
+        landed["downloads"], resolve.evaluate(queries, answers, albums), None, values, B.relation(spark, sf_dir, B.ENRICHMENT), B.relation(spark, sf_dir, B.PREDICTIONS),
         vocab.default_ranking(spark), B.relation(spark, sf_dir, B.RESOLVED), empty,
     )
 
