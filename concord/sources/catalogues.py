@@ -6,15 +6,16 @@ non-empty value. Network access is not part of the engine: responses are tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
 from concord.operators import identity
-from concord.operators.relations import coalesce_relations
+from concord.operators.relations import coalesce_relations, written
+from concord.operators.state import Table
 
 ITUNES = (
     "struct<trackName:string,artistName:string,collectionName:string,collectionArtistName:string,primaryGenreName:string,"
@@ -261,6 +262,24 @@ def from_cache(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     return requests.join(cache.select("key", "response"), "key"), requests.join(cache.select("key"), "key", "left_anti")
 
 
+def cache(spark: SparkSession, path: str, buckets: int = 64) -> Table:
+    """A stored cache of responses by key, in buckets of the key's hash."""
+    return Table(spark, path, "key string, source string, response string", "key", buckets)
+
+
+def through_cache(requests: DataFrame, stored: Table, fetch: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """((key, source, response) of all requests, (key, hit)): what is stored, and for the rest what fetch gives, which is put.
+
+    A lookup reads the buckets of its keys alone. fetch takes the missing keys and gives key, source and response; it is run once.
+    """
+    keys = requests.select("key").distinct()
+    known = written(stored.lookup(keys), "cache-hits")
+    fresh = written(fetch(keys.join(known.select("key"), "key", "left_anti")).select("key", "source", "response"), "cache-misses")
+    stored.put_if_absent(fresh)
+    hits = known.select("key", F.lit(True).alias("hit")).unionByName(fresh.select("key", F.lit(False).alias("hit")))
+    return known.unionByName(fresh), hits
+
+
 def backoff(base: float, attempts: int = 4) -> Column:
     """Array of waiting times, doubling; jitter is the caller's."""
     return F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda k: F.lit(base) * F.pow(F.lit(2.0), k))

@@ -111,3 +111,111 @@ def test_whole_run_reads_and_shuffles_each_step_once(spark, sf, monkeypatch):
     text = "\n".join(plans)
     scans, exchanges = text.count("FileScan parquet"), sum(line.lstrip(" :+-").startswith("Exchange ") for line in text.splitlines())
     assert scans <= 33 and exchanges <= 24
+
+
+def table(spark, tmp_path, rows, buckets=8):
+    from concord.operators.state import Table
+
+    t = Table(spark, f"file://{tmp_path}/t", "k long, v string, kept boolean", "k", buckets)
+    if rows:
+        t.upsert(spark.createDataFrame(rows, "k long, v string, kept boolean"))
+    return t
+
+
+def stored(t, version=None):
+    return sorted(map(tuple, t.read(version).collect()))
+
+
+def test_changes_touch_their_buckets_alone(spark, tmp_path):
+    rows = [(i, f"v{i}", i % 3 == 0) for i in range(100)]
+    t = table(spark, tmp_path, rows)
+    before = t.folders()
+    new = spark.createDataFrame([(3, "new", False), (4, "new", False), (500, "new", False)], "k long, v string, kept boolean")
+    touched = t.touched(new)
+    assert t.upsert(new, protect=F.col("kept")) == 2
+    want = {k: (k, v, p) for k, v, p in rows} | {4: (4, "new", False), 500: (500, "new", False)}
+    assert stored(t) == sorted(want.values()) and stored(t, 1) == sorted(rows)
+    after = t.folders()
+    assert len(touched) < 8 and all((after[b] == before.get(b)) == (b not in touched) for b in after)
+    assert t.put_if_absent(spark.createDataFrame([(4, "other", True), (501, "x", True)], "k long, v string, kept boolean")) == 3
+    t.update(F.col("k") == 7, {"v": F.concat("v", F.lit("!"))})
+    t.delete(spark.createDataFrame([(8,), (9,), (900,)], "k long"))
+    want |= {501: (501, "x", True), 7: (7, "v7!", False)}
+    assert stored(t) == sorted(v for k, v in want.items() if k not in (8, 9))
+    assert t.update(F.lit(None).cast("boolean"), {"v": F.lit("no")}) == 6 and stored(t) == stored(t, 5)
+    t.delete(spark.range(1000).withColumnRenamed("id", "k"))
+    assert stored(t) == [] and t.folders() == {}
+
+
+def test_second_writer_from_one_version_fails(spark, tmp_path):
+    from concord.operators.state import Conflict, Table
+
+    first = table(spark, tmp_path, [(1, "a", False), (2, "b", False)])
+    second = Table(spark, first.path, "k long, v string, kept boolean", "k", 99)
+    assert second.buckets == 8
+    base = first.version()
+    row = lambda v: spark.createDataFrame([(1, v, False)], "k long, v string, kept boolean")
+    first.upsert(row("first"), base=base)
+    with pytest.raises(Conflict):
+        second.upsert(row("second"), base=base)
+    assert stored(second) == [(1, "first", False), (2, "b", False)]
+    second.upsert(row("third"))
+    assert stored(first)[0] == (1, "third", False)
+
+
+def test_lookup_reads_its_buckets_alone(spark, tmp_path):
+    t = table(spark, tmp_path, [(i, "v", False) for i in range(200)])
+    keys = spark.createDataFrame([(5,), (6,), (999,)], "k long")
+    found = t.lookup(keys)
+    read = {f.split("_bucket=")[1].split("/")[0] for f in found.inputFiles()}
+    assert sorted(r.k for r in found.collect()) == [5, 6] and read <= {str(b) for b in t.touched(keys)} and len(read) < 8
+
+
+STAGED = "track_id long, stage string, status string, error string"
+
+
+def handlers(calls, fail=3):
+    def of(stage):
+        def run(waiting):
+            calls.append(stage)
+            return waiting.select("track_id", F.when((F.col("track_id") + len(stage)) % fail == 0, F.repeat(F.lit("e"), 600)).alias("error"))
+
+        return run
+
+    return {s: of(s) for s in ("acquired", "normalised", "classified", "resolved")}
+
+
+def test_run_goes_on_where_it_was_stopped(spark, tmp_path):
+    from concord.operators.runner import run_all
+    from concord.operators.state import Table
+
+    def made(name):
+        t = Table(spark, f"file://{tmp_path}/{name}", STAGED, "track_id", 4)
+        t.upsert(spark.createDataFrame([(i, "acquired" if i % 2 else "classified", "pending", None) for i in range(40)], STAGED))
+        return t
+
+    whole, calls = made("whole"), []
+    reports = run_all(whole, handlers(calls), "r")
+    assert calls == ["acquired", "normalised", "classified", "resolved"] == list(reports)
+    assert sum(r["failed"] for r in reports.values()) == whole.read().where("status = 'failed'").count() > 0
+    assert whole.read().where("length(error) > 500").count() == 0
+    for last in calls[:-1]:
+        parts, again = made(f"stopped-{last}"), []
+        run_all(parts, handlers(again), "r", stop_after=last)
+        assert run_all(parts, handlers(again), "r") == reports
+        assert again == calls and sorted(map(tuple, parts.read().collect()), key=str) == sorted(map(tuple, whole.read().collect()), key=str)
+    assert run_all(whole, handlers(calls), "r") == reports and len(calls) == 4
+
+
+def test_stage_that_breaks_off_is_run_again(spark, tmp_path):
+    from concord.operators.runner import run_all
+    from concord.operators.state import Table
+
+    t = Table(spark, f"file://{tmp_path}/t", STAGED, "track_id", 4)
+    t.upsert(spark.createDataFrame([(i, "acquired", "pending", None) for i in range(9)], STAGED))
+    calls = []
+    broken = handlers(calls) | {"normalised": lambda waiting: 1 / 0}
+    with pytest.raises(ZeroDivisionError):
+        run_all(t, broken, "r")
+    run_all(t, handlers(calls), "r")
+    assert calls == ["acquired", "normalised", "classified", "resolved"]
