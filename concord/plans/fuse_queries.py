@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from concord import vocab
 from concord.operators import calibrate, fuse
 from concord.plans import bindings as B
@@ -16,8 +18,10 @@ def fuse_decisions(spark, sf_dir):
     return fuse.arbitrate(_candidates(spark, sf_dir), vocab.default_ranking(spark))
 
 
-def fuse_ranking(spark, sf_dir):
-    return vocab.default_ranking(spark)
+def ranked_sources(spark, sf_dir):
+    """Every candidate with the rank of its source for its family and field."""
+    ranked = fuse.rank_candidates(B.relation(spark, sf_dir, B.CANDIDATES), vocab.default_ranking(spark))
+    return ranked.select("track_id", "ord", F.col("rank").cast("int").alias("rank"), "is_ranked")
 
 
 def fuse_calibrated(spark, sf_dir):
@@ -108,7 +112,7 @@ _RESOLVED = f"resolved AS ({B.duck(B.RESOLVED)})"
 
 QUERIES = {
     "fuse_decisions": fuse_decisions,
-    "fuse_ranking": fuse_ranking,
+    "ranked_sources": ranked_sources,
     "fuse_calibrated": fuse_calibrated,
     "fuse_rearbitrate": fuse_rearbitrate,
     "fuse_persist": fuse_persist,
@@ -116,7 +120,8 @@ QUERIES = {
 }
 ORACLE = {
     "fuse_decisions": f"WITH {_CTES} SELECT track_id, field, value, source, decided_by FROM decisions",
-    "fuse_ranking": f"SELECT * FROM (VALUES {_values(vocab.ranking_rows())}) v(family, field, rank, source)",
+    "ranked_sources": f"""WITH c AS ({B.duck(B.CANDIDATES)}), b AS ({BUILT_IN}), n AS (SELECT family, field, count(*) AS n FROM b GROUP BY ALL)
+SELECT track_id, ord, coalesce(b.rank, n.n, 0)::INTEGER AS rank, b.rank IS NOT NULL AS is_ranked FROM c LEFT JOIN b USING (family, field, source) LEFT JOIN n USING (family, field)""",
     "fuse_rearbitrate": f"""WITH {_CTES}, {_RESOLVED},
 o AS (SELECT * FROM resolved WHERE decided_by NOT IN ('manual', 'url_override'))
 SELECT coalesce(o.track_id, d.track_id) AS track_id, count(*) AS changed FROM o FULL JOIN decisions d ON o.track_id = d.track_id AND o.field = d.field

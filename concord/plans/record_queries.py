@@ -408,6 +408,8 @@ def content_hashes(spark, sf_dir):
     return catalogues.content_hash(files).withColumnRenamed("path", "doc_id")
 
 
-@query("SELECT * FROM (VALUES (0, 0.5::DOUBLE), (1, 1.0), (2, 2.0), (3, 4.0)) v(attempt, wait)")
-def backoff_schedule(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(catalogues.backoff(0.5)).alias("attempt", "wait"))
+@query("SELECT event_id, 0.5 * power(2, event_id % 4) AS wait FROM events")
+def backoff_waits(spark, sf_dir):
+    """How long each event waits if it is its request's attempt of that number."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", F.get(catalogues.backoff(0.5), (F.col("event_id") % 4).cast("int")).alias("wait"))

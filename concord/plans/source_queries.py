@@ -1,65 +1,13 @@
-"""Catalogue payloads and streams."""
+"""Link lists, predictions, caches and streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from concord.operators.relations import shared_folder
-from concord.plans import sql_text as S
 from concord.sources import catalogues
 from concord.streaming import ingest
 
-# --- payloads: fixed values
-
-ITUNES = '{"results":[{"trackName":"Cybernetic","artistName":"The Act","collectionName":"Record - Single","primaryGenreName":"Dance","trackNumber":3,"discNumber":0,"releaseDate":"2000-11-30T08:00:00Z","artworkUrl100":"http://a/100x100bb.jpg"}]}'
-SPOTIFY = '{"results":[{"name":"Song","artists":[{"name":"First"},{"name":"Second"}],"album":{"name":"LP","artists":[{"name":"First"}],"release_date":"2011-05","images":[{"url":"http://i/1"},{"url":"http://i/2"}]},"track_number":4,"disc_number":1,"external_ids":{"isrc":"USX"}}]}'
-DISCOGS = '{"results":[{"style":["Techno"],"genre":["Electronic"],"label":["Cybernetic"],"catno":"C1","year":"2010"},{"style":["Bollywood"],"genre":["Stage & Screen"],"label":["Virgin"],"catno":"V1","year":"2000"}]}'
-BEATPORT = '{"results":[{"name":"Track","mix_name":"Extended Mix","artists":[{"name":"A"}],"remixers":[{"name":"R"}],"genre":{"name":"Dance"},"sub_genre":{"name":"Melodic"},"release":{"name":"EP","label":{"name":"L"},"catalog_number":"L1"},"publish_date":"2020-01-02","isrc":"GBX","bpm":"124","key":{"name":"A min","camelot_number":8,"camelot_letter":"A"}}]}'
-ACOUSTID = '{"status":"ok","results":[{"id":"u","score":0.5},{"id":"x","score":0.9,"recordings":[{"id":"r1","title":"T","artists":[{"name":"A"}]},{"id":"r2"},{"id":"r1"}]},{"id":"y","score":0.997,"recordings":[]}]}'
-RECORDING = (
-    '{"id":"m1","title":"Neverender","length":200,"score":100,"artist-credit":[{"name":"Justice","joinphrase":" feat. "},{"name":"Tame Impala","joinphrase":""}],"releases":['
-    '{"id":"a","title":"Compilation","date":"2010","artist-credit":[{"name":"Various Artists"}],"release-group":{"id":"ga","primary-type":"Album","secondary-types":["Compilation"]},"media":[{"track-count":40,"position":1,"tracks":[{"number":"7"}]}]},'
-    '{"id":"b","title":"Hyperdrama","date":"2024-04-26","artist-credit":[{"name":"Justice"}],"release-group":{"id":"gb","primary-type":"Album","secondary-types":[]},"media":[{"track-count":13,"position":1,"tracks":[{"number":"A1"}]}]}]}'
-)
-PROBE = '{"streams":[{"codec_type":"video","codec_name":"h264"},{"codec_type":"audio","codec_name":"opus","bit_rate":"160000","sample_rate":"48000","channels":2}],"format":{"duration":"12.5","tags":{"TITLE":"T","encoder":"x"}}}'
-PLAYLIST = '{"id":"p","title":"P","entries":[{"id":"v1","title":"One","channel":"C"},null,{"id":"","title":"none"},{"id":"v2","title":"Two"}]}'
-
-
-def _rows(spark, *payloads):
-    return spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "id int, payload string")
-
-
-def _values(rows, names) -> str:
-    show = lambda x: "NULL" if x is None else S.q(x) if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({names})"
-
-
-def catalogue_candidates(spark, sf_dir):
-    out = None
-    for parse, schema, payload in ((catalogues.itunes, catalogues.ITUNES, ITUNES), (catalogues.spotify, catalogues.SPOTIFY, SPOTIFY), (catalogues.discogs, catalogues.DISCOGS, DISCOGS), (catalogues.beatport, catalogues.BEATPORT, BEATPORT)):
-        rows = parse(catalogues.results_of(_rows(spark, payload), "payload", schema, ["id"]), ["id", "position"])
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("source", "position", "field", "value")
-
-
-def recording_candidates(spark, sf_dir):
-    rows = _rows(spark, RECORDING).select("id", F.from_json("payload", catalogues.MUSICBRAINZ).alias("recording"))
-    covers = spark.createDataFrame([("gb", "http://cover/gb")], "cover_id string, url string")
-    return catalogues.musicbrainz(rows, ["id"], covers).select("field", "value")
-
-
-def fingerprint_matches(spark, sf_dir):
-    return catalogues.acoustid(_rows(spark, ACOUSTID, '{"status":"error"}'), "payload", ["id"]).select("id", "position", "acoustid", "score", F.array_join("recording_ids", ",").alias("recordings"), "title", "artist")
-
-
-def media_probes(spark, sf_dir):
-    return catalogues.probe(_rows(spark, PROBE, '{"streams":[]}'), "payload", ["id"]).select("id", "duration_s", "codec", "bitrate", "sample_rate", "channels", F.col("tags")["title"].alias("title"), F.size("tags").alias("n_tags"))
-
-
-def playlist_entries(spark, sf_dir):
-    return catalogues.playlist(_rows(spark, PLAYLIST, '{"id":"solo","title":"S","channel":"C"}'), "payload", ["id"]).select("id", "video_id", "title", "channel")
-
-
 def url_lists(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.lit(" ,\n"), "url", F.lit(" http://x/"), F.col("page_id") % 3).alias("urls"))
     return catalogues.split_urls(rows, "urls", ["page_id"])
@@ -95,28 +43,8 @@ def log_tail(spark, sf_dir):
     return ingest.log_since(rows, 100)
 
 
-_CANDIDATES = [
-    ("itunes", 0, "title", "Cybernetic"), ("itunes", 0, "artist", "The Act"), ("itunes", 0, "album", "Record - Single"), ("itunes", 0, "genre", "Dance"), ("itunes", 0, "track_number", "3"),
-    ("itunes", 0, "release_date", "2000-11-30"), ("itunes", 0, "year", "2000"), ("itunes", 0, "artwork_url", "http://a/1200x1200bb.jpg"),
-    ("spotify", 0, "title", "Song"), ("spotify", 0, "artist", "First"), ("spotify", 0, "album", "LP"), ("spotify", 0, "album_artist", "First"), ("spotify", 0, "release_date", "2011-05"), ("spotify", 0, "year", "2011"),
-    ("spotify", 0, "track_number", "4"), ("spotify", 0, "disc_number", "1"), ("spotify", 0, "isrc", "USX"), ("spotify", 0, "artwork_url", "http://i/1"),
-    ("discogs", 0, "genre", "Electronic"), ("discogs", 0, "genre_style", "Techno"), ("discogs", 0, "label", "Cybernetic"), ("discogs", 0, "catalog_number", "C1"), ("discogs", 0, "year", "2010"),
-    ("discogs", 1, "genre", "Bollywood"), ("discogs", 1, "genre_style", "Bollywood"), ("discogs", 1, "label", "Virgin"), ("discogs", 1, "catalog_number", "V1"), ("discogs", 1, "year", "2000"),
-    ("beatport", 0, "title", "Track"), ("beatport", 0, "mix_name", "Extended Mix"), ("beatport", 0, "artist", "A"), ("beatport", 0, "remixer", "R"), ("beatport", 0, "genre", "Melodic"), ("beatport", 0, "album", "EP"),
-    ("beatport", 0, "label", "L"), ("beatport", 0, "catalog_number", "L1"), ("beatport", 0, "release_date", "2020-01-02"), ("beatport", 0, "year", "2020"), ("beatport", 0, "isrc", "GBX"), ("beatport", 0, "bpm", "124"), ("beatport", 0, "key", "8A"),
-]
-_RECORDING = [
-    ("title", "Neverender (feat. Tame Impala)"), ("artist", "Justice"), ("featured_artists", "Tame Impala"), ("mb_recording_id", "m1"), ("album", "Hyperdrama"), ("album_artist", "Justice"), ("disc_number", "1"),
-    ("artwork_url", "http://cover/gb"), ("release_date", "2010"), ("year", "2010"),
-]
-
-QUERIES = {f.__name__: f for f in (catalogue_candidates, recording_candidates, fingerprint_matches, media_probes, playlist_entries, url_lists, top_predictions, cached_requests, streamed_ingest, log_tail)}
+QUERIES = {f.__name__: f for f in (url_lists, top_predictions, cached_requests, streamed_ingest, log_tail)}
 ORACLE = {
-    "catalogue_candidates": _values(_CANDIDATES, "source, position, field, value"),
-    "recording_candidates": _values(_RECORDING, "field, value"),
-    "fingerprint_matches": "SELECT * FROM (VALUES (0, 0, 'y', 0.997::DOUBLE, '', '', ''), (0, 1, 'x', 0.9, 'r1,r2', 'T', 'A'), (0, 2, 'u', 0.5, '', '', '')) v(id, position, acoustid, score, recordings, title, artist)",
-    "media_probes": "SELECT 0 AS id, 12.5::DOUBLE AS duration_s, 'opus' AS codec, 160000 AS bitrate, 48000 AS sample_rate, 2 AS channels, 'T' AS title, 1 AS n_tags",
-    "playlist_entries": _values([(0, "v1", "One", "C"), (0, "v2", "Two", ""), (1, "solo", "S", "C")], "id, video_id, title, channel"),
     "url_lists": "SELECT page_id, url, 0 AS position FROM pages UNION ALL SELECT page_id, 'http://x/' || (page_id % 3), 2 FROM pages",
     "top_predictions": """WITH m AS (SELECT l_orderkey AS id, 'G' || (l_suppkey % 5) || '---S' || l_linenumber AS label, avg(l_quantity) AS a FROM lineitem GROUP BY ALL)
 SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY a DESC, label) AS rank, split_part(label, '---', 1) AS genre, split_part(label, '---', 2) AS style FROM m QUALIFY rank <= 3""",

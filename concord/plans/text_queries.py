@@ -1,124 +1,14 @@
-"""Text rules over decorated names, and over golden rows."""
+"""Text rules over decorated names."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from concord import vocab
-from concord.functions import similarity
 from concord.functions import text as T
 from concord.plans import bindings as B
 from concord.plans import sql_text as S
 
-# --- golden rows: fixed values
-
-
-NORMALISE = [
-    ("LMFAOVEVO", "LMFAO - Party Rock Anthem ft. Lauren Bennett, GoonRock", "LMFAO", "Party Rock Anthem"),
-    ("Calvin Harris", "Calvin Harris - I Need Your Love (Official Video) ft. Ellie Goulding", "Calvin Harris", "I Need Your Love"),
-    ("DJ Khaled", "DJ Khaled - I'm The One ft. Justin Bieber, Quavo, Chance the Rapper", "DJ Khaled", "I'm The One"),
-    ("Burnie, Phoenix Ho", "Make It", "Burnie", "Make It"),
-    ("Rihanna", "Rihanna - Umbrella (Orange Version)", "Rihanna", "Umbrella (Orange Version)"),
-    ("21 Savage; Metro Boomin", "Mr. Right Now (feat. Drake)", "21 Savage", "Mr. Right Now"),
-    ("24kGoldn", "Mood (feat. iann dior)", "24kGoldn", "Mood"),
-    ("Burnie - Topic", "Make It - H.K.G Mix", "Burnie", "Make It - H.K.G Mix"),
-    ("Maroon_5", "Maroon_5_-_Sugar_Official_Music_Video", "Maroon 5", "Sugar"),
-    ("Ultra Records", "OMI - Cheerleader (Felix Jaehn Remix) [Official Video]", "Ultra Records", "OMI - Cheerleader (Felix Jaehn Remix)"),
-    ("Kesha", "Ke$ha - Blow (Official Video)", "Kesha", "Ke$ha - Blow"),
-    ("Drake", "Hotline Bling [Official Music Video]", "Drake", "Hotline Bling"),
-    ("Artist", "Song (Remastered 2011)", "Artist", "Song"),
-    ("Fred again..", "Delilah (Tom Santa Remix)", "Fred again..", "Delilah (Tom Santa Remix)"),
-    ("Khalid; LEFTI", "in plain sight (LEFTI REMIX)", "Khalid", "in plain sight (LEFTI REMIX)"),
-    ("David Guetta", "I'm Good (Blue) - Brooks Remix", "David Guetta", "I'm Good (Blue) - Brooks Remix"),
-    ("Selena Gomez", "Selena Gomez, Marshmello - Wolves", "Selena Gomez", "Wolves"),
-    ("Lil Uzi Vert", "That Way - Bonus Track", "Lil Uzi Vert", "That Way"),
-    ("Artist", "Song (Bonus Track)", "Artist", "Song"),
-    ("Pitbull", "Time of Our Lives", "Pitbull", "Time of Our Lives"),
-    ("", "LMFAO - Party Rock Anthem", "LMFAO", "Party Rock Anthem"),
-]
-TITLES = [
-    ("Mood (feat. iann dior)", "Mood (ft. iann dior)"), ("Mood (ft. iann dior)", "Mood (ft. iann dior)"), ("Mood (Feat. iann dior)", "Mood (ft. iann dior)"), ("Mood featuring iann dior", "Mood (ft. iann dior)"),
-    ("Delilah (Tom Santa Remix)", "Delilah [Tom Santa Remix]"), ("Delilah [Tom Santa Remix]", "Delilah [Tom Santa Remix]"), ("I'm Good (Blue) - Brooks Remix", "I'm Good (Blue) [Brooks Remix]"),
-    ("Say Nothing - Extended Mix", "Say Nothing [Extended Mix]"), ("Everyday We Lit (Remix) (feat. Wiz Khalifa)", "Everyday We Lit (ft. Wiz Khalifa) [Remix]"),
-    ('Hamari Adhuri Kahani (Title Track) [From "Hamari Adhuri Kahani"]', "Hamari Adhuri Kahani (Title Track)"), ("Lose Yourself (From the Motion Picture 8 Mile)", "Lose Yourself"),
-    ("Title (From Another Angle)", "Title (From Another Angle)"), ("From Me To You", "From Me To You"), ("I'Ll Be There", "I'll Be There"),
-]
-VERSIONS = [
-    ("Delilah [Tom Santa Remix]", "Tom Santa Remix", "Tom Santa"), ("Make It - H.K.G Mix", "H.K.G Mix", "H.K.G"), ("Say Nothing - Extended Mix", "Extended Mix", ""), ("I'm Not Alone (2019 Edit)", "2019 Edit", ""),
-    ("Love Story (Taylor's Version)", "Taylor's Version", ""), ("Despacito (Major Lazer & MOSKA remix)", "Major Lazer & MOSKA remix", "Major Lazer & MOSKA"), ("Mood (ft. iann dior)", "", ""),
-]
-ARTISTS = [("Pitbull", "Pitbull"), ("A;;B", "A & B"), ("David Guetta;Bebe Rexha;Brooks", "David Guetta, Bebe Rexha & Brooks"), ("", "")]
-COMPONENTS = [("AC/DC", "AC-DC"), ("Drake: The Album", "Drake- The Album"), ("...", "unknown"), ("Fred again..", "Fred again.."), ("x" * 500, "x" * 120)]
-GENRES = [
-    ("Electronic", "electronic"), ("Hip Hop", "hip-hop"), ("Pop", "pop"), ("Rock", "pop"), ("Funk / Soul", "r&b-soul"), ("Latin", "world"), ("Reggae", "world"),
-    ("Folk, World, & Country", "world"), ("Stage & Screen", "world"), ("Jazz", "other"), ("Classical", "other"), ("", "other"), ("unknown", "other"),
-]
-_ID22, _ID36 = "4uLU6hMCjMI75M1A2tKUQC", "b1a9c0e9-d987-4042-ae91-78d6a3267d69"
-LINKS = [
-    (f"https://open.spotify.com/track/{_ID22}?si=x", "spotify", "track", _ID22), (f"https://open.spotify.com/intl-de/track/{_ID22}", "spotify", "track", _ID22), (f"https://open.spotify.com/album/{_ID22}", "spotify", "album", _ID22),
-    (f"spotify:track:{_ID22}", "spotify", "track", _ID22), (f"see https://musicbrainz.org/recording/{_ID36} there", "musicbrainz", "recording", _ID36), (f"https://musicbrainz.org/release/{_ID36}", "musicbrainz", "release", _ID36),
-    ("https://www.discogs.com/release/12345-Name", "discogs", "release", "12345"), ("https://www.discogs.com/master/99", "discogs", "master", "99"), ("https://www.beatport.com/track/name/77", "beatport", "track", "77"),
-    ("https://example.com/track/1", None, None, None), ("", None, None, None), ("https://open.spotify.com/track/short", None, None, None),
-]
-PLAUSIBLE = [
-    ("Morgan Wallen", "Last Night", "Metro Station", "California", False), ("Beyonce", "Halo", "Deborah Cox", "Nobody's Supposed to Be Here", False), ("Owl City", "Fireflies", "Vanilla Ice", "Ice Ice Baby", False),
-    ("Avicii", "Waiting For Love", "Juice WRLD", "The Party Never Ends", False), ("jayseanworldwide", "Down", "Jay Sean", "Down", True), ("iyazlive", "Replay", "Iyaz", "Replay", True),
-    ("push baby", "Me And My Broken Heart", "Rixton", "Me and My Broken Heart", True), ("Train", "Hey, Soul Sister", "Train", "Hey, Soul Sister (Country Mix)", True),
-]
-UNRELATED = [
-    ("Avicii", "Die NotenDealer", True), ("Taylor Swift", "Luke Conard", True), ("Morgan Wallen", "Metro Station", True), ("Beyonce", "Deborah Cox", True), ("push baby", "Rixton", True),
-    ("jayseanworldwide", "Jay Sean", False), ("Queen Official", "Queen", False), ("JAŸ-Z", "Jay‐Z", False), ("kesha", "Ke$ha", False), ("will i am", "will.i.am", False), ("MKTO Band", "MKTO", False),
-]
-
-
-def _rows(spark, rows, ddl):
-    return spark.createDataFrame(rows, ddl)
-
-
-def _values(rows, names) -> str:
-    show = lambda x: "NULL" if x is None else S.q(x) if isinstance(x, str) else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({names})"
-
-
-def normalise_golden(spark, sf_dir):
-    rows = _rows(spark, [r[:2] for r in NORMALISE], "raw_artist string, raw_title string")
-    return rows.withColumn("n", T.normalise(F.col("raw_artist"), F.col("raw_title"), compose=True)).select("raw_artist", "raw_title", "n.artist", "n.title")
-
-
-def title_golden(spark, sf_dir):
-    return _rows(spark, [r[:1] for r in TITLES], "raw string").select("raw", T.canonical_title(F.col("raw")).alias("title"))
-
-
-def version_golden(spark, sf_dir):
-    return _rows(spark, [r[:1] for r in VERSIONS], "raw string").withColumn("v", T.extract_version(F.col("raw"))).select("raw", "v.mix_name", "v.remixer")
-
-
-def artists_golden(spark, sf_dir):
-    return _rows(spark, [r[:1] for r in ARTISTS], "raw string").select("raw", T.format_artists(F.split("raw", ";")).alias("credit"))
-
-
-def component_golden(spark, sf_dir):
-    return _rows(spark, [r[:1] for r in COMPONENTS], "raw string").select("raw", T.safe_component(F.col("raw"), compose=True).alias("component"))
-
-
-def genre_golden(spark, sf_dir):
-    return _rows(spark, [r[:1] for r in GENRES], "genre string").select("genre", T.family_for(F.col("genre")).alias("family"))
-
-
-def link_golden(spark, sf_dir):
-    return _rows(spark, [r[:1] for r in LINKS], "url string").withColumn("r", T.parse_link(F.col("url"))).select("url", "r.provider", "r.kind", "r.identifier")
-
-
-def plausible_golden(spark, sf_dir):
-    rows = _rows(spark, [r[:4] for r in PLAUSIBLE], "query_artist string, query_title string, artist string, title string")
-    scored = similarity.match_score(rows, "query_artist", "query_title", "artist", "title")
-    return scored.select("query_artist", "query_title", "artist", "title", similarity.is_plausible(F.col("match_score")).alias("plausible"))
-
-
-def unrelated_golden(spark, sf_dir):
-    return similarity.artist_is_unrelated(_rows(spark, [r[:2] for r in UNRELATED], "query_artist string, artist string"), "query_artist", "artist").select("query_artist", "artist", "artist_unrelated")
-
-
 # --- rules over the given tables
 
 
@@ -188,20 +78,10 @@ _FAMILY_CASE = "CASE lower(trim(g)) " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}"
 QUERIES = {
     f.__name__: f
     for f in (
-        normalise_golden, title_golden, version_golden, artists_golden, component_golden, genre_golden, link_golden, plausible_golden, unrelated_golden,
-        clean_names, house_titles, file_names, stripped_versions, comparison_keys, artist_credits, variant_flags, genre_routing, artwork_sizes, padded_dates,
+        padded_dates, artwork_sizes, clean_names, house_titles, file_names, stripped_versions, comparison_keys, artist_credits, variant_flags, genre_routing,
     )
 }
 ORACLE = {
-    "normalise_golden": _values(NORMALISE, "raw_artist, raw_title, artist, title"),
-    "title_golden": _values(TITLES, "raw, title"),
-    "version_golden": _values(VERSIONS, "raw, mix_name, remixer"),
-    "artists_golden": _values(ARTISTS, "raw, credit"),
-    "component_golden": _values(COMPONENTS, "raw, component"),
-    "genre_golden": _values(GENRES, "genre, family"),
-    "link_golden": _values(LINKS, "url, provider, kind, identifier"),
-    "plausible_golden": _values(PLAUSIBLE, "query_artist, query_title, artist, title, plausible"),
-    "unrelated_golden": _values(UNRELATED, "query_artist, artist, artist_unrelated"),
     "clean_names": f"""WITH {_TRACKS},
 a AS (SELECT track_id, raw_title, {S.tidy(_SUFFIXES)} AS artist_full, {S.tidy(f"(regexp_split_to_array({_SUFFIXES}, {S.q(_CREDIT_SPLIT)}))[1]")} AS artist FROM tracks),
 n AS (SELECT *, {S.sub(S.sub(S.tidy('raw_title'), _NOISE, ' '), _BARE)} AS t FROM a),

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    names = sorted(m.name for m in pkgutil.iter_modules(plans.__path__) if m.name.endswith("_queries"))
+    names = sorted((m.name for m in pkgutil.iter_modules(plans.__path__) if m.name.endswith("_queries")), reverse=True)
     return [importlib.import_module(f"{plans.__name__}.{n}") for n in names]
 
 
