@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
+from concord.operators.relations import seeded
 
 
 def build_options(candidates: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def build_options(candidates: DataFrame) -> DataFrame:
 
 def shuffled(options: DataFrame, seed: int) -> DataFrame:
     """options with position: an order by a seeded hash, so it tells nothing about the source and repeats for a seed."""
-    order = F.xxhash64(F.lit(seed), "track_id", "field", "option_key")
+    order = seeded(seed, "track_id", "field", "option_key")
     return options.withColumn("position", F.row_number().over(Window.partitionBy("track_id", "field").orderBy(order, "option_key")) - 1)
 
 
@@ -98,7 +99,7 @@ def next_question(candidates: DataFrame, obs: DataFrame, seed: int, target: int
     """The one pair to ask next: of the cell with the fewest answers, by family and field, then by a seeded hash."""
     open_pairs = disputed(candidates, obs).join(build_options(candidates).select("track_id", "field").distinct(), ["track_id", "field"], "left_semi")
     rows = open_pairs.join(cell_counts(obs), ["family", "field"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < target)
-    return rows.orderBy("n", "family", "field", F.xxhash64(F.lit(seed), "track_id"), "track_id").limit(1)
+    return rows.orderBy("n", "family", "field", seeded(seed, "track_id"), "track_id").limit(1)
 
 
 def progress(candidates: DataFrame, obs: DataFrame, target: int = vocab.TARGET_PER_CELL) -> DataFrame:

@@ -151,8 +151,8 @@ def corroborated(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     keyed = votes.withColumn("_a", T.ascii_key(F.col("artist"))).withColumn("_t", T.ascii_key(T.strip_version(F.col("title"))))
     groups = keyed.groupBy("track_id", "_a", "_t").agg(F.count_distinct("source").alias("n"), F.min_by(F.struct("artist", "title"), "ord").alias("v")).where("n >= 2")
     rows = groups.select("track_id", "v.*").join(queries, "track_id")
-    rows = similarity.artist_is_unrelated(similarity.match_score(rows, "query_artist", "query_title", "artist", "title"), "query_artist", "artist")
-    fits = similarity.is_plausible(F.col("match_score")) & ~F.col("artist_unrelated")
+    rows = similarity.artist_is_unrelated(similarity.plausible(rows, "query_artist", "query_title", "artist", "title"), "query_artist", "artist")
+    fits = F.col("plausible") & ~F.col("artist_unrelated")
     return queries.select("track_id").join(rows.groupBy("track_id").agg(F.max(fits).alias("corroborated")), "track_id", "left").withColumn("corroborated", F.coalesce("corroborated", F.lit(False)))
 
 

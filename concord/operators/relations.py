@@ -29,6 +29,11 @@ def coalesce_relations(keys: Sequence[str], *tiers: DataFrame) -> DataFrame:
     return first_tier(out, keys, "_tier").drop("_tier")
 
 
+def seeded(seed: int, *names: str) -> Column:
+    """A hash of columns that another engine can work out, for orders that tell nothing and repeat for a seed."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(n).cast("string") for n in names)))
+
+
 def first_tier(rows: DataFrame, keys: Sequence[str], tier: str) -> DataFrame:
     """For each key the rows of its lowest tier."""
     return rows.withColumn("_lowest", F.min(tier).over(Window.partitionBy(*keys))).where(F.col(tier) == F.col("_lowest")).drop("_lowest")

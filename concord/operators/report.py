@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
+from concord.operators.relations import seeded
 
 
 def status(tracks: DataFrame) -> DataFrame:
@@ -68,5 +69,5 @@ def run_counters(outcomes: DataFrame) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, strata: list[str], per: int, seed: int, key: str) -> DataFrame:
     """Exactly per rows of each stratum (all, if fewer), by a seeded hash of the key."""
-    order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), key), key)
+    order = Window.partitionBy(*strata).orderBy(seeded(seed, key), key)
     return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per).drop("_k")

@@ -115,8 +115,8 @@ def judged_names(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("r"), F.lit("The Act").alias("query_artist"), F.col("p_name").alias("query_title"))
     more = F.concat("query_title", F.lit(" "), F.repeat(F.lit("7"), (1 + F.col("id") % 60).cast("int")))
     rows = rows.withColumn("title", F.when(F.col("r") == 0, F.col("query_title")).when(F.col("r") == 1, F.repeat(F.lit("7"), 9)).otherwise(more)).withColumn("artist", F.when(F.col("r") % 2 == 1, "7777").otherwise("The Act"))
-    rows = similarity.match_score(rows, "query_artist", "query_title", "artist", "title")
-    return similarity.artist_is_unrelated(rows, "query_artist", "artist").select("id", similarity.is_plausible(F.col("match_score")).alias("plausible"), "artist_unrelated")
+    rows = similarity.plausible(rows, "query_artist", "query_title", "artist", "title")
+    return similarity.artist_is_unrelated(rows, "query_artist", "artist").select("id", "plausible", "artist_unrelated")
 
 
 @query("""SELECT event_type AS log, event_id AS seq, 'info' AS level, left(rtrim(props), 500) AS text FROM events WHERE trim(props) <> ''

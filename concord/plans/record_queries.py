@@ -177,14 +177,24 @@ def calibration_progress(spark, sf_dir):
     return calibrate.progress(B.relation(spark, sf_dir, B.CANDIDATES), _obs(spark, sf_dir))
 
 
-@query(f"""WITH c AS ({_C}), l AS (SELECT track_id, source, field, arg_max(value, ord) AS value FROM c WHERE field IN ('title', 'artist', 'genre', 'label', 'artwork_url') GROUP BY ALL),
-f AS (SELECT track_id, source, min(ord) AS first FROM c GROUP BY ALL), g AS (SELECT track_id, field, {S.squeeze('lower(value)')} AS k, arg_min(value, first) AS value, list_sort(list(DISTINCT source)) AS s FROM l JOIN f USING (track_id, source) GROUP BY ALL)
+_OPTIONS = f"""c AS ({_C}), l AS (SELECT track_id, source, field, arg_max(value, ord) AS value FROM c WHERE field IN ('title', 'artist', 'genre', 'label', 'artwork_url') GROUP BY ALL),
+f AS (SELECT track_id, source, min(ord) AS first FROM c GROUP BY ALL), g AS (SELECT track_id, field, {S.squeeze('lower(value)')} AS k, arg_min(value, first) AS value, list_sort(list(DISTINCT source)) AS s FROM l JOIN f USING (track_id, source) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_OPTIONS}
 SELECT track_id, field, value, array_to_string(s, ',') AS sources FROM g QUALIFY count(*) OVER (PARTITION BY track_id, field) >= 2""")
 def question_options(spark, sf_dir):
     rows = B.relation(spark, sf_dir, B.CANDIDATES)
     return calibrate.build_options(rows).where("field <> 'album'").select("track_id", "field", "value", F.array_join("sources", ",").alias("sources"))
 
 
+@query(f"""WITH {_OPTIONS}, n AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY track_id, field) >= 2)
+SELECT track_id, field, value, row_number() OVER (PARTITION BY track_id, field ORDER BY md5('7|' || track_id || '|' || field || '|' || k), k) - 1 AS position FROM n""")
+def shuffled_options(spark, sf_dir):
+    options = calibrate.build_options(B.relation(spark, sf_dir, B.CANDIDATES)).where("field <> 'album'")
+    return calibrate.shuffled(options, seed=7).select("track_id", "field", "value", F.col("position").cast("long").alias("position"))
+
+
 @query()
 def next_question(spark, sf_dir):
     return calibrate.next_question(B.relation(spark, sf_dir, B.CANDIDATES), _obs(spark, sf_dir), seed=7)
@@ -387,7 +397,7 @@ def run_counters(spark, sf_dir):
     return report.run_counters(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("outcome")))
 
 
-@query()
+@query(f"""WITH t AS ({_T}) SELECT track_id, genre_family FROM t QUALIFY row_number() OVER (PARTITION BY genre_family ORDER BY md5('42|' || track_id), track_id) <= 16""")
 def stratified_sample(spark, sf_dir):
     return report.stratified_sample(B.relation(spark, sf_dir, B.TRACKS).select("track_id", "genre_family"), ["genre_family"], 16, 42, "track_id")
 

@@ -211,3 +211,27 @@ def test_older_schemas_are_read(spark):
     assert store.migrated(rows, 3).columns == ["track_id", "stage", "artwork_url"] and store.migrated(rows, 4).columns == rows.columns
     with pytest.raises(ValueError, match="newer"):
         store.migrated(rows, 5)
+
+
+def test_bounds_decide_as_the_score_does(spark, sf):
+    """Every candidate title against every eighth track's name by two artists, and strings at the edges of the bounds."""
+    from concord.plans import bindings as B
+
+    tracks = B.relation(spark, sf, B.TRACKS).where("track_id % 8 = 0").selectExpr("raw_artist AS query_artist", "raw_title AS query_title")
+    titles = B.relation(spark, sf, B.CANDIDATES).where("field = 'title'").select(F.col("value").alias("title"), F.when(F.col("ord") % 2 == 0, "Brand#11").otherwise("Nobody").alias("artist")).distinct()
+    odd = ["", None, "a", "ab" * 150, "ab" * 150 + "c", "x" * 199, "x" * 200, "É", "live", "song (live)", "song"]
+    rows = tracks.crossJoin(titles).unionByName(spark.createDataFrame([(a, b, b, a) for a in odd for b in odd] + [(a, b, a, b) for a in odd for b in odd], "query_artist string, query_title string, title string, artist string"))
+    scored = similarity.match_score(similarity.plausible(rows, "query_artist", "query_title", "artist", "title"), "query_artist", "query_title", "artist", "title")
+    assert scored.where(~F.col("plausible").eqNullSafe(similarity.is_plausible(F.col("match_score")))).count() == 0
+    counts = scored.agg(F.count("*").alias("n"), F.sum(F.col("plausible").cast("int")).alias("yes")).first()
+    assert 0 < counts.yes < counts.n
+
+
+def test_bounds_hold(spark):
+    import difflib
+
+    words = ["", "a", "abc", "cab", "abcabc", "halo", "hello world", "xhalox", "ab" * 120, "b" + "ab" * 120]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in rows.select("a", "b", similarity.least_alike(F.col("a"), F.col("b")).alias("least"), similarity.most_alike(F.col("a"), F.col("b")).alias("most")).collect():
+        exact = difflib.SequenceMatcher(None, r.a, r.b).ratio() if r.a and r.b else float(r.a == r.b)
+        assert r.least <= exact + 1e-12 and exact <= r.most + 1e-12, r
