@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
+from concord.operators.relations import written
 
 DECISION = ["track_id", "field", "value", "source", "decided_by"]
 
 
 def resolved_ranking(default: DataFrame, calibrated: DataFrame | None = None) -> DataFrame:
-    """The ranking in force: a calibrated cell (family, field) replaces the built-in one as a whole."""
+    """The ranking in force: a calibrated cell (family, field) replaces the built-in one as a whole.
+
+    A calibrated one comes from all answers, so it is written: fusion reads it several times, and it has a few hundred rows.
+    """
     if calibrated is None:
         return default
+    calibrated = written(calibrated.select(*default.columns), "ranking")
     cells = calibrated.select("family", "field").distinct()
-    return calibrated.select(*default.columns).unionByName(default.join(F.broadcast(cells), ["family", "field"], "left_anti"))
+    return calibrated.unionByName(default.join(F.broadcast(cells), ["family", "field"], "left_anti"))
 
 
 def skips_consensus(family: Column, field: Column) -> Column:

@@ -186,10 +186,11 @@ def duplicates(tracks: DataFrame, keys: list[str], seconds: float = 2.0) -> Data
     near = Window.partitionBy("key", "part").orderBy("at").rangeBetween(-near_ms, near_ms)
 
     def best_near(rows: DataFrame, worth: Column) -> DataFrame:
-        """track_id, worth, best: the most of worth near each row, by any key."""
-        spread = rows.withColumn("part", F.explode(F.sequence(part(F.col("at") - near_ms), part(F.col("at") + near_ms))))
-        seen = spread.withColumn("best", F.max(worth).over(near)).where(F.col("part") == part(F.col("at")))
-        return seen.groupBy("track_id").agg(F.first("worth").alias("worth"), F.max("best").alias("best"))
+        """track_id, worth, best: the most of worth near each row, by any key. Rows of one key and duration are one in the window, so it holds a row for each millisecond at most."""
+        spots = rows.groupBy("key", "at").agg(F.max(worth).alias("most"))
+        spread = spots.withColumn("part", F.explode(F.sequence(part(F.col("at") - near_ms), part(F.col("at") + near_ms))))
+        seen = spread.withColumn("best", F.max("most").over(near)).where(F.col("part") == part(F.col("at"))).select("key", "at", "best")
+        return rows.join(seen, ["key", "at"]).groupBy("track_id").agg(F.first("worth").alias("worth"), F.max("best").alias("best"))
 
     stays = best_near(rows, F.col("worth")).where(F.col("best") == F.col("worth")).select("track_id", F.lit(True).alias("stays"))
     judged = best_near(rows.join(stays, "track_id", "left"), F.when(F.col("stays"), F.col("worth")))
