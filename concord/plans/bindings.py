@@ -88,7 +88,7 @@ SELECT l_partkey AS track_id, CASE WHEN l_partkey % 23 = 0 AND l_suppkey % 2 = 0
        CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice) AS BIGINT) AS position,
        p_brand AS artist, p_name || CASE l_suppkey % 5 WHEN 0 THEN ' (Live)' ELSE '' END AS title, CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE 180 + l_orderkey % 9 END AS length,
        CAST(l_quantity * 2 AS INT) AS score, l_linenumber AS n_releases, l_linenumber % 3 = 1 AS has_album, CAST(l_orderkey % 5 AS STRING) AS album
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_partkey % 7 <> 0) numbered
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE NOT EXISTS (SELECT 1 FROM {supplier} WHERE s_suppkey = l_partkey)) numbered
 """
 ENRICHMENT = """
 SELECT p_partkey AS track_id, e.field AS field,
@@ -101,7 +101,7 @@ WHERE NOT (e.source = 'spotify' AND p_partkey % 3 = 1)
 """
 PREDICTIONS = """
 SELECT p_partkey AS track_id, CASE p_partkey % 4 WHEN 1 THEN 'Electronic' WHEN 2 THEN 'Hip Hop' ELSE 'Jazz' END AS genre, CASE p_partkey % 5 WHEN 0 THEN '' ELSE 'Style ' || CAST(p_partkey % 5 AS STRING) END AS style
-FROM {part} WHERE p_partkey % 4 <> 0
+FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = p_partkey AND c_acctbal < 0)
 """
 
 RECORDINGS = """

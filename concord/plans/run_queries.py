@@ -126,7 +126,7 @@ def fingerprint_resolutions(spark, sf_dir):
     """The ladder with fingerprints first; no SQL gives the ratio that judges the linked recordings."""
     _, queries = _queries(spark, sf_dir)
     answers, _, values = _answers(spark, sf_dir)
-    prints = answers.where("position <= 3").select("track_id", F.concat(F.lit("a"), "position").alias("acoustid"), (F.lit(1.0) - F.col("position") / 100).alias("score"), "position", F.array("recording_id").alias("recording_ids"))
+    prints = answers.select("track_id", F.concat(F.lit("a"), "position").alias("acoustid"), (F.lit(1.0) - F.col("position") / 100).alias("score"), "position", F.array("recording_id").alias("recording_ids"))
     linked = answers.select("recording_id", F.when(F.col("n_releases") == 1, "Somebody Else").otherwise(F.col("artist")).alias("artist"), F.when(F.col("n_releases") == 1, "Nothing Alike").otherwise(F.col("title")).alias("title"), "length", F.lit(False).alias("has_release")).dropDuplicates(["recording_id"])
     by_print = resolve.evaluate_fingerprints(queries, prints, linked)
     matches, _ = resolve.resolve(queries, _by_text(spark, sf_dir), by_print, values, B.relation(spark, sf_dir, B.ENRICHMENT))
