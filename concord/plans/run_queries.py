@@ -87,12 +87,12 @@ def evaluated_queries(spark, sf_dir):
 
 def _run(spark, sf_dir):
     """The whole path over landed tables, which are stored as the sources' answers would be."""
-    landed = {k: written(B.relation(spark, sf_dir, v), k) for k, v in (("downloads", B.DOWNLOADS), ("answers", B.ANSWERS))}
+    landed = {k: written(B.relation(spark, sf_dir, v), k) for k, v in (("downloads", B.DOWNLOADS), ("answers", B.ANSWERS), ("predictions", B.PREDICTIONS))}
     queries = written(resolve.cleaned(landed["downloads"]).join(landed["downloads"].select("track_id", "isrc"), "track_id"), "asked")
     answers, albums, values = _of_answers(landed["answers"])
     empty = spark.createDataFrame([], "track_id bigint, reason string")
     return resolve.resolve_and_arbitrate(
-        landed["downloads"], resolve.evaluate(queries, answers, albums), None, values, B.relation(spark, sf_dir, B.ENRICHMENT), B.relation(spark, sf_dir, B.PREDICTIONS),
+        landed["downloads"], resolve.evaluate(queries, answers, albums), None, values, B.relation(spark, sf_dir, B.ENRICHMENT), landed["predictions"],
         vocab.default_ranking(spark), B.relation(spark, sf_dir, B.RESOLVED), empty,
     )
 

@@ -110,7 +110,7 @@ def test_whole_run_reads_and_shuffles_each_step_once(spark, sf, monkeypatch):
     plans += [df._jdf.queryExecution().executedPlan().toString() for df in (out.tracks, out.candidates, out.resolved, out.queue)]
     text = "\n".join(plans)
     scans, exchanges = text.count("FileScan parquet"), sum(line.lstrip(" :+-").startswith("Exchange ") for line in text.splitlines())
-    assert scans <= 33 and exchanges <= 24
+    assert scans <= 37 and exchanges <= 16, (scans, exchanges)
 
 
 def table(spark, tmp_path, rows, buckets=8):
