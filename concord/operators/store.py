@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from concord import vocab
 from concord.functions import text as T
 from concord.operators import fuse
-from concord.operators.relations import insert_or_ignore, ranked, upsert, written
+from concord.operators.relations import insert_or_ignore, ranked, spread, upsert, written
 
 SCHEMA_VERSION = 4
 
@@ -184,7 +184,8 @@ def publish_paths(tracks: DataFrame, taken: DataFrame | None = None) -> DataFram
 
     taken: path of all files that are there. A number counts as taken, too, where it makes the name of another track.
     """
-    named = ranked(tracks.withColumn("_path", T.filename(F.col("artist"), F.col("title"))), ["_path"], ["track_id"], "_k")
+    placed = written(spread(tracks, "track_id").withColumn("_path", T.filename(F.col("artist"), F.col("title"))), "names")  # a range sort reads its rows twice
+    named = ranked(placed, ["_path"], ["track_id"], "_k")
     there = taken.select("path").where(F.col("path").isNotNull()).distinct() if taken is not None else tracks.sparkSession.createDataFrame([], "path string")
     names = named.select("_path").distinct()
     split = there.union(names).distinct().select(F.concat(F.regexp_extract("path", _NUMBERED, 1), F.lit(".aiff")).alias("_path"), F.try_to_number(F.regexp_extract("path", _NUMBERED, 2), F.lit("9" * 18)).cast("long").alias("_used"), "path")
