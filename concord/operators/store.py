@@ -207,10 +207,11 @@ def rename_plan(tracks: DataFrame) -> DataFrame:
     have it: the first, or where a file holds it, the first after that file, and then only if that file moves. These
     form chains without branches, which are followed in steps of doubled length. A path that several tracks hold stays taken.
     """
-    published = tracks.where(F.col("published_path").isNotNull())
+    known = (T.text("artist") != "") & (T.text("title") != "")
+    named = F.when(known, T.filename(F.col("artist"), F.col("title")))
+    published = written(spread(tracks.where(F.col("published_path").isNotNull()), "track_id").select("track_id", "published_path", named.alias("new_path")), "named")  # read twice
     holders = published.groupBy("published_path").agg(F.min("track_id").alias("_holder"), F.count("*").alias("_held")).withColumnRenamed("published_path", "new_path")
-    named = published.where((T.text("artist") != "") & (T.text("title") != "")).withColumn("new_path", T.filename(F.col("artist"), F.col("title")))
-    claims = named.where(F.col("new_path") != F.col("published_path")).join(holders, "new_path", "left")
+    claims = published.where(F.col("new_path") != F.col("published_path")).join(holders, "new_path", "left")
     able = F.col("_holder").isNull() | ((F.col("_held") == 1) & (F.col("track_id") > F.col("_holder")))
     first = claims.where(able).groupBy("new_path").agg(F.min(F.struct("track_id", "published_path", "_holder")).alias("c"))
     plan = written(first.select("c.track_id", F.col("c.published_path").alias("old_path"), "new_path", F.col("c._holder").alias("_after")), "claims")
