@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concord import vocab
 from concord.functions import similarity
 from concord.functions import text as T
-from concord.operators.relations import shared_folder
+from concord.operators.relations import partitions_for, shared_folder
 from concord.plans import sql_text as S
 from concord.sources import catalogues
 from concord.streaming import ingest
@@ -50,7 +50,8 @@ first_day AS (SELECT k, day FROM days QUALIFY row_number() OVER (PARTITION BY k
 {" UNION ALL ".join(f"SELECT k AS id, '{f}' AS field, {v} AS value FROM best JOIN first_day USING (k) WHERE {v} IS NOT NULL" for f, v in _FIELDS.items())}""")
 def landed_recordings(spark, sf_dir):
     """A full recording for every order, with a release for each of its lines, and covers of some releases and groups."""
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("landed_lineitem")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.repartition(partitions_for(lines), "l_orderkey").createOrReplaceTempView("landed_lineitem")  # dealt once, for lines and orders
     x = spark.sql(_RELEASES.format(lineitem="landed_lineitem"))
     c = F.col
     release = F.struct(

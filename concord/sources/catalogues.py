@@ -131,16 +131,41 @@ def releases_of(rows: DataFrame, keys: Sequence[str], recording: str = "recordin
     r = F.col(recording)
     lead = F.get(_credit(r["artist-credit"]), F.lit(0))["name"]
     out = rows.select(*keys, lead.alias("artist"), F.posexplode(r["releases"]).alias("position", "x"))
-    medium = F.get(F.col("x.media"), F.lit(0))
-    track = F.get(medium["tracks"], F.lit(0))
-    group = F.col("x.release-group")
-    return out.select(
-        *keys, "artist", "position", F.col("x.id").alias("release_id"), group["id"].alias("release_group_id"), F.col("x.title").alias("title"),
-        F.coalesce(medium["track-count"], F.lit(0)).alias("track_count"), track["number"].try_cast("int").alias("track_number"),
-        F.coalesce(medium["position"], F.lit(1)).alias("disc_number"), T.text(F.get(_credit(F.col("x.artist-credit")), F.lit(0))["name"]).alias("album_artist"),
-        F.coalesce(F.when(T.text("x.date") != "", F.col("x.date")), group["first-release-date"], F.lit("")).alias("date"),
-        T.text(group["primary-type"]).alias("primary_type"), F.coalesce(group["secondary-types"], F.array().cast("array<string>")).alias("secondary_types"),
-    )
+    return out.select(*keys, "artist", "position", *[c.alias(n) for n, c in _release(F.col("x")).items()])
+
+
+def _release(x: Column) -> dict[str, Column]:
+    """Fields of a release; first medium only."""
+    medium, group = F.get(x["media"], F.lit(0)), x["release-group"]
+    return {
+        "release_id": x["id"], "release_group_id": group["id"], "title": x["title"], "track_count": F.coalesce(medium["track-count"], F.lit(0)),
+        "track_number": F.get(medium["tracks"], F.lit(0))["number"].try_cast("int"), "disc_number": F.coalesce(medium["position"], F.lit(1)),
+        "album_artist": T.text(F.get(_credit(x["artist-credit"]), F.lit(0))["name"]), "date": _date(x),
+        "primary_type": T.text(group["primary-type"]), "secondary_types": F.coalesce(group["secondary-types"], F.array().cast("array<string>")),
+    }
+
+
+def _date(x: Column) -> Column:
+    return F.coalesce(F.when(T.text(x["date"]) != "", x["date"]), x["release-group"]["first-release-date"], F.lit(""))
+
+
+def _selected(releases: Column, artist: Column) -> Column:
+    """The release of a recording that select_release() takes."""
+
+    def order(x: Column, i: Column, act: Column) -> Column:
+        group = x["release-group"]
+        names = F.struct(T.fold(x["title"]).alias("title"), T.fold(F.get(_credit(x["artist-credit"]), F.lit(0))["name"]).alias("album_artist"))
+        others = {"primary_type": group["primary-type"], "secondary_types": group["secondary-types"], "track_count": F.get(x["media"], F.lit(0))["track-count"], "position": i, "artist": act}
+        return T.let(names, lambda n: identity.release_order({"title": n["title"], "album_artist": n["album_artist"]} | others))
+
+    first = T.let(T.fold(artist), lambda act: F.array_min(F.transform(releases, lambda x, i: order(x, i, act))))
+    return F.get(releases, first["position"])
+
+
+def _earliest(releases: Column, today: str) -> Column:
+    """The date of a recording that earliest_date() takes."""
+    days = F.transform(F.transform(releases, _date), lambda d, i: F.struct(T.padded_date(d).alias("day"), (-F.length(d)).alias("less"), i.alias("position"), d.alias("date")))
+    return F.array_min(F.filter(days, lambda d: F.coalesce(identity.is_usable(d["day"], today), F.lit(False))))["date"]
 
 
 def musicbrainz(rows: DataFrame, keys: Sequence[str], covers: DataFrame | None = None, today: str = "2100-01-01", recording: str = "recording") -> DataFrame:
@@ -148,27 +173,31 @@ def musicbrainz(rows: DataFrame, keys: Sequence[str], covers: DataFrame | None =
 
     covers: cover_id, url of releases and release groups that have a cover.
     """
-    releases = releases_of(rows, keys, recording)
-    release = identity.select_release(releases, list(keys)).select(*keys, *[F.col(c).alias(f"r_{c}") for c in ("title", "album_artist", "track_number", "disc_number", "release_id", "release_group_id")])
-    date = identity.earliest_date(releases, list(keys), today)
-    wide = rows.join(release, list(keys), "left").join(date, list(keys), "left")
+    r = F.col(recording)
+    credit = _credit(r["artist-credit"])
+    lead = F.get(credit, F.lit(0))["name"]
+    best, date = _selected(r["releases"], lead), _earliest(r["releases"], today)  # within a row: nothing is dealt by key for them
+    read = rows.select(*keys, r["id"].alias("id_"), r["title"].alias("title_"), T.text(lead).alias("lead_"), T.split_credit(credit).alias("split_"), best.alias("best_"), date.alias("date_"))
+    read = read.withColumns({"act_": T.format_artists(F.col("split_.names")), "featured_": F.array_distinct(F.concat("split_.featured", T.extract_featured(F.col("title_"))))})
+    read = read.withColumn("guests_", T.format_artists(F.col("featured_")))
+    folded = T.fold(F.col("title_"))
+    shown = F.contains(folded, F.lit("feat")) | F.contains(folded, F.lit("ft."))
+    title = F.when((F.size("featured_") > 0) & ~shown, F.concat("title_", F.lit(" (feat. "), F.col("guests_"), F.lit(")"))).otherwise(F.col("title_"))
+    chosen = _release(F.col("best_"))
+    wide = read.select(
+        *keys, "id_", title.alias("title_"), F.when(F.col("act_") != "", F.col("act_")).otherwise(F.col("lead_")).alias("act_"), "guests_", "date_",
+        *[chosen[c].alias(f"r_{c}") for c in ("title", "album_artist", "track_number", "disc_number", "release_id", "release_group_id")],
+    )
     if covers is None:
         wide = wide.withColumn("cover", F.lit(None).cast("string"))
     else:
         a = covers.select(F.col("cover_id").alias("r_release_id"), F.col("url").alias("_a"))
         b = covers.select(F.col("cover_id").alias("r_release_group_id"), F.col("url").alias("_b"))
         wide = wide.join(a, "r_release_id", "left").join(b, "r_release_group_id", "left").withColumn("cover", F.coalesce("_a", "_b"))
-    r = F.col(recording)
-    split = T.split_credit(_credit(r["artist-credit"]))
-    act, lead = T.format_artists(split["names"]), T.text(F.get(_credit(r["artist-credit"]), F.lit(0))["name"])
-    featured = F.array_distinct(F.concat(split["featured"], T.extract_featured(r["title"])))
-    folded = T.fold(r["title"])
-    shown = F.contains(folded, F.lit("feat")) | F.contains(folded, F.lit("ft."))
-    title = F.when((F.size(featured) > 0) & ~shown, F.concat(r["title"], F.lit(" (feat. "), T.format_artists(featured), F.lit(")"))).otherwise(r["title"])
     fields = [
-        ("title", title), ("artist", F.when(act != "", act).otherwise(lead)), ("featured_artists", T.format_artists(featured)), ("mb_recording_id", r["id"]),
+        ("title", F.col("title_")), ("artist", F.col("act_")), ("featured_artists", F.col("guests_")), ("mb_recording_id", F.col("id_")),
         ("album", F.col("r_title")), ("album_artist", F.col("r_album_artist")), ("track_number", _truthy(F.col("r_track_number"))), ("disc_number", _truthy(F.col("r_disc_number"))),
-        ("artwork_url", F.col("cover")), ("release_date", F.col("date")), ("year", F.substring("date", 1, 4)),
+        ("artwork_url", F.col("cover")), ("release_date", F.col("date_")), ("year", F.substring("date_", 1, 4)),
     ]
     return long_form(wide, keys, fields, "musicbrainz")
 
