@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
-from concord.operators.relations import written
+from concord.operators.relations import spread, written
 
 DECISION = ["track_id", "field", "value", "source", "decided_by"]
 
@@ -150,7 +150,7 @@ def carry_features(decisions: DataFrame) -> DataFrame:
 def with_albums(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
     """Non-empty candidates, ranked and narrowed by agreement, with the track's album choice."""
     rows = candidates.withColumn("value", T.text("value")).where((F.col("value") != "") & ((F.col("field") != "label") | ~T.is_non_label(F.col("value"))))
-    ranked = rank_candidates(rows.repartition("track_id"), ranking)
+    ranked = rank_candidates(spread(rows, "track_id"), ranking)
     return choose_album(keep_agreed(rank_candidates(ranked, ranking, "album", "album_rank", "album_ranked")))
 
 
