@@ -15,7 +15,7 @@ from concord import vocab
 from concord.functions import similarity
 from concord.functions import text as T
 from concord.operators import fuse, identity, store
-from concord.operators.relations import coalesce_relations, first_tier, written
+from concord.operators.relations import coalesce_relations, first_tier, spread, written
 
 KEY = ["track_id"]
 #: What is known of a match; identity.confidence() reads all but the ids.
@@ -47,10 +47,12 @@ def evaluate(queries: DataFrame, recordings: DataFrame, albums: DataFrame) -> Da
     given = recordings.join(asked.select("track_id", "isrc", F.when(F.col("target") != 0, F.col("target")).alias("target")), "track_id").where((F.col("tier") > 0) | (F.col("isrc") != "")).drop("isrc")
     ranked = identity.rank_recordings(first_tier(given, KEY, "tier"), KEY)
     with_album = albums.select(*KEY, "recording_id").distinct().withColumn("_has", F.lit(0))
-    beside = identity.beside_top(ranked, KEY).join(with_album, [*KEY, "recording_id"], "left")
-    probed = F.when(F.col("rank") <= vocab.RECORDING_PROBE, F.struct(F.coalesce("_has", F.lit(1)), "rank"))
     first = lambda c: F.min_by(c, "rank").alias(f"top_{c}")
-    best = beside.groupBy(*KEY).agg(first("title"), first("length"), first("score"), identity.gap_to_rival(), F.min_by("recording_id", probed).alias("recording_id"))
+    few = F.collect_list(F.when(F.col("rank") <= vocab.RECORDING_PROBE, F.struct("rank", "recording_id"))).alias("few")
+    top = identity.beside_top(ranked, KEY).groupBy(*KEY).agg(first("title"), first("length"), first("score"), identity.gap_to_rival(), few)
+    probed = top.select(*[c for c in top.columns if c != "few"], F.inline("few")).join(with_album, [*KEY, "recording_id"], "left")  # the few that are probed, not all
+    same = [F.first(c).alias(c) for c in top.columns if c not in (*KEY, "few")]
+    best = probed.groupBy(*KEY).agg(*same, F.min_by("recording_id", F.struct(F.coalesce("_has", F.lit(1)), "rank")).alias("recording_id"))
     rows = asked.join(best, "track_id", "left")
     hit = F.col("top_title").isNotNull()
     return rows.select("track_id", *_match(
@@ -162,5 +164,5 @@ def resolve_and_arbitrate(
 
 def cleaned(downloads: DataFrame) -> DataFrame:
     """track_id, artist, title, artist_full, duration_s of downloads: what the catalogues are asked for."""
-    names = downloads.select("track_id", T.normalise(F.col("channel"), F.col("raw_title")).alias("n"), F.when(F.col("duration_s") != 0, F.col("duration_s")).alias("duration_s"))
+    names = spread(downloads, "track_id").select("track_id", T.normalise(F.col("channel"), F.col("raw_title")).alias("n"), F.when(F.col("duration_s") != 0, F.col("duration_s")).alias("duration_s"))
     return names.select("track_id", "n.artist", "n.title", "n.artist_full", "duration_s")
