@@ -1,9 +1,13 @@
 """Costly work is dealt over tasks, however its input is cut into files."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from concord.operators import relations, store
+from concord import registry
+from concord.operators import relations, resolve, store
+from concord.sources import catalogues
 
 
 @pytest.fixture
@@ -36,3 +40,27 @@ def test_names_of_one_file_are_made_in_many_tasks(one_file, kept):
 def test_moves_of_one_file_are_planned_in_many_tasks(one_file, kept):
     assert store.rename_plan(one_file).count() == 9
     assert kept["named"] > 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_recordings_release_and_date_are_chosen_within_its_row(spark):
+    rows = spark.range(3).select("id", F.from_json(F.lit('{"id":"m","title":"T"}'), catalogues.MUSICBRAINZ).alias("recording"))
+    got = catalogues.musicbrainz(rows, ["id"])
+    assert "Exchange" not in plan(got) and got.where("field = 'title'").count() == 3
+
+
+@pytest.mark.parametrize(("name", "key"), [("rival_gaps", "l_orderkey"), ("best_recordings", "l_orderkey"), ("evaluated_queries", "l_partkey")])
+def test_partitions_follow_the_input(spark, sf, monkeypatch, name, key):
+    monkeypatch.setattr(relations, "DEAL_BYTES", 5_000)
+    assert relations.partitions_for(spark.read.parquet(f"{sf}/lineitem.parquet")) > 10
+    made = plan(registry.queries()[name](spark, sf))
+    assert max(int(x) for x in re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\)", made)) > 10
+    assert name != "best_recordings" or "album_artist" not in made  # only what is returned
+
+
+def test_downloads_of_one_file_are_cleaned_in_many_tasks(spark):
+    downloads = spark.createDataFrame([(1, "A", "T", 1.0)], "track_id long, channel string, raw_title string, duration_s double").coalesce(1)
+    assert resolve.cleaned(downloads).rdd.getNumPartitions() > 1
