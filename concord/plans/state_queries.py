@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from concord.operators.relations import shared_folder
+from concord.operators.relations import partitions_for, shared_folder
 from concord.operators.runner import run_all
 from concord.operators.state import Table
 from concord.plans import bindings as B
@@ -73,7 +75,9 @@ SELECT 'part=' || part AS folder, sha256(content) AS sha256, octet_length(encode
 def local_files(spark, sf_dir):
     """Files below a folder, sixteen documents each: hashed and looked into in one reading."""
     base = shared_folder(spark, "files")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(F.col("doc_id") / 16).alias("part"), "doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ").alias("value"))
-    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(base)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(F.col("doc_id") / 16).alias("part"), "doc_id", "text")
+    line = reduce(lambda c, sign: F.replace(c, F.lit(sign), F.lit(" ")), "\n\r", F.coalesce("text", F.lit("")))  # after the exchange, as a short file of documents is one task
+    name = F.concat(F.lit("part="), F.coalesce(F.col("part").cast("string"), F.lit("null")))
+    files.put_lines(docs.repartition(partitions_for(docs), "part").sortWithinPartitions("part", "doc_id").select(name.alias("name"), line.alias("line")), base)
     found = files.local(spark, base, suffixes=(".txt",))
     return found.select(F.regexp_extract("path", r"(part=\d+)/[^/]*$", 1).alias("folder"), "sha256", "length", "kind")

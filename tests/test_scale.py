@@ -1,5 +1,6 @@
 """Costly work is dealt over tasks, however its input is cut into files."""
 
+import hashlib
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from concord import registry
 from concord.operators import relations, resolve, store
-from concord.sources import catalogues
+from concord.sources import catalogues, files
 
 
 @pytest.fixture
@@ -64,3 +65,35 @@ def test_partitions_follow_the_input(spark, sf, monkeypatch, name, key):
 def test_downloads_of_one_file_are_cleaned_in_many_tasks(spark):
     downloads = spark.createDataFrame([(1, "A", "T", 1.0)], "track_id long, channel string, raw_title string, duration_s double").coalesce(1)
     assert resolve.cleaned(downloads).rdd.getNumPartitions() > 1
+
+
+def test_small_files_are_one_entry_each(spark, tmp_path, monkeypatch):
+    from concord.plans import state_queries
+
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("a\rb\nc"), "id")).alias("text"))
+    docs.coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    monkeypatch.setattr(state_queries, "shared_folder", lambda spark, name: f"file://{tmp_path}/shared/{name}")
+    found = {r.folder: r for r in state_queries.local_files(spark, f"file://{tmp_path}").collect()}
+    entries = [p.relative_to(tmp_path / "shared/files") for p in (tmp_path / "shared/files").rglob("*") if p.is_file()]
+    assert len(entries) == len(found) == 7  # no checksums beside them, each of which cost a process
+    first = "".join((f"a b c{i}" if i % 7 else "") + "\n" for i in range(16)).encode()
+    assert (found["part=0"].sha256, found["part=0"].length) == (hashlib.sha256(first).hexdigest(), len(first))
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"part={k}").mkdir()
+        (tmp_path / f"part={k}" / "a.txt").write_bytes(b"x")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listed", "")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert files.local(spark, f"file://{tmp_path}", suffixes=(".txt",)).count() == 60
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listed") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism < 60
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_no_documents_are_no_files(spark, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    assert files.put_lines(spark.createDataFrame([], "name string, line string"), folder) == 0
+    assert files.local(spark, folder, suffixes=(".txt",)).count() == 0
