@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from concord import vocab
 from concord.functions import text as T
-from concord.operators.relations import spread, written
+from concord.operators.relations import partitions_for, spread, written
 
 DECISION = ["track_id", "field", "value", "source", "decided_by"]
 
@@ -160,11 +160,15 @@ def arbitrate(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
 
 
 def rearbitrate(candidates: DataFrame, ranking: DataFrame, before: DataFrame) -> DataFrame:
-    """track_id, changed: in how many fields a new arbitration differs from unprotected decisions before."""
-    after = arbitrate(candidates, ranking).select("track_id", "field", F.col("value").alias("new"))
-    old = before.where(~F.col("decided_by").isin(*vocab.PROTECTED)).select("track_id", "field", F.col("value").alias("old"))
-    both = old.join(after, ["track_id", "field"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
-    return both.groupBy("track_id").agg(F.count("*").alias("changed"))
+    """track_id, changed: in how many fields a new arbitration differs from unprotected decisions before.
+
+    Both sides are dealt in parts that follow the size of the files, as fusion itself is.
+    """
+    parts, keys = partitions_for(candidates, before), ["track_id", "field"]
+    after = arbitrate(candidates, ranking).select(*keys, F.col("value").alias("new")).repartition(parts, *keys)
+    old = before.where(~F.col("decided_by").isin(*vocab.PROTECTED)).select(*keys, F.col("value").alias("old")).repartition(parts, *keys)
+    both = old.join(after, keys, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select("track_id").repartition(parts, "track_id").groupBy("track_id").agg(F.count("*").alias("changed"))
 
 
 def persist(resolved: DataFrame, decisions: DataFrame, replace: bool = False) -> DataFrame:

@@ -97,3 +97,10 @@ def test_no_documents_are_no_files(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert files.put_lines(spark.createDataFrame([], "name string, line string"), folder) == 0
     assert files.local(spark, folder, suffixes=(".txt",)).count() == 0
+
+
+def test_decisions_meet_old_ones_in_parts_that_follow_the_input(spark, sf, monkeypatch):
+    monkeypatch.setattr(relations, "DEAL_BYTES", 5_000)
+    made = plan(registry.queries()["fuse_rearbitrate"](spark, sf))
+    parts = [int(x) for x in re.findall(r"hashpartitioning\(track_id#\d+L?, field#\d+, (\d+)\)", made)]
+    assert len(parts) >= 2 and min(parts) > 10
