@@ -58,15 +58,21 @@ def _order(first: Column | None = None, a: Column | None = None, second: Column
 
 
 def keep_agreed(ranked: DataFrame) -> DataFrame:
-    """Of fields where agreement counts, the candidates of the winning group; of all others every candidate.
+    """Of fields that go by place, the first candidate, where agreement counts that of the winning group; of album fields and covers every candidate.
 
-    Adds place, the order of what is kept within its field.
+    Adds place, the order of what is kept within its field. A looser key is worked out only for values with a sign that it cuts at;
+    all others have the first key in its stead.
     """
     value, field = F.col("value"), F.col("field")
     plain = ~field.isin(*vocab.ALBUM_GROUP, *vocab.DATE_FIELDS, "artwork_url")
     agrees = plain & ~skips_consensus(F.col("family"), field)
-    keys = F.when(agrees, F.array(T.key(value), T.key(T.strip_version(value)), T.core_key(field, value))).otherwise(F.array(F.lit("")))
-    tiers = ranked.select(*ranked.columns, agrees.alias("agrees"), F.posexplode(keys).alias("tier", "key"))
+    has = lambda *signs: reduce(lambda a, b: a | b, [F.contains(value, F.lit(x)) for x in signs])
+    exact = F.col("exact")
+    version = F.when(has("(", "[", "-", "–"), T.key(T.strip_version(value))).otherwise(exact)
+    core = F.when((field == "artist") | has("(", "["), T.core_key(field, value)).otherwise(exact)
+    keys = F.when(F.col("agrees"), F.array(exact, version, core)).otherwise(F.array(F.lit("")))
+    keyed = ranked.withColumns({"agrees": agrees, "exact": F.when(agrees, T.key(value))})
+    tiers = keyed.select(*ranked.columns, "agrees", F.posexplode(keys).alias("tier", "key"))
     group = Window.partitionBy("track_id", "field", "tier", "key")
     tier, whole = Window.partitionBy("track_id", "field", "tier"), Window.partitionBy("track_id", "field")
     tiers = tiers.withColumn("n", F.size(F.collect_set("source").over(group))).withColumn("group", F.struct(-F.col("n"), F.min("rank").over(group), F.min("ord").over(group)))
@@ -79,7 +85,9 @@ def keep_agreed(ranked: DataFrame) -> DataFrame:
         .when(field.isin(*vocab.DATE_FIELDS), _order(F.substring(trimmed, 1, 4), -F.length(trimmed), trimmed))
         .otherwise(_order(a=F.when(F.col("is_ranked"), 0).otherwise(1), b=F.when(F.col("is_ranked"), F.col("rank")).otherwise(0)))
     )
-    return kept.withColumn("place", place).drop("agrees", "tier", "key", "n", "group", "best", "used")
+    placed = kept.withColumn("place", place).withColumn("first", F.min("place").over(whole))
+    whole_field = field.isin(*vocab.ALBUM_GROUP, "artwork_url")
+    return placed.where(whole_field | (F.col("place") == F.col("first"))).drop("agrees", "tier", "key", "n", "group", "best", "used", "first")
 
 
 def is_compilation(credit: Column, artist: Column, family: Column) -> Column:

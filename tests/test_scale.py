@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from concord import registry
-from concord.operators import relations, resolve, store
+from concord import registry, vocab
+from concord.operators import fuse, relations, resolve, store
 from concord.sources import catalogues, files
 
 
@@ -104,3 +104,9 @@ def test_decisions_meet_old_ones_in_parts_that_follow_the_input(spark, sf, monke
     made = plan(registry.queries()["fuse_rearbitrate"](spark, sf))
     parts = [int(x) for x in re.findall(r"hashpartitioning\(track_id#\d+L?, field#\d+, (\d+)\)", made)]
     assert len(parts) >= 2 and min(parts) > 10
+
+
+def test_of_a_field_that_goes_by_place_one_candidate_is_kept(spark):
+    rows = [(1, "pop", "title", "A - B (Foo Mix)", "spotify", 0), (1, "pop", "title", "A - B", "itunes", 1), (1, "pop", "title", "A – B [Bar Edit]", "discogs", 2), (1, "pop", "genre", "Rock", "itunes", 3), (1, "pop", "genre", "Pop", "discogs", 4), (1, "pop", "album", "X", "itunes", 5), (1, "pop", "album", "Y", "discogs", 6)]
+    kept = fuse.with_albums(spark.createDataFrame(rows, "track_id long, family string, field string, value string, source string, ord long"), vocab.default_ranking(spark))
+    assert sorted((r.field, r.value) for r in kept.collect()) == [("album", "X"), ("album", "Y"), ("genre", "Rock"), ("title", "A - B (Foo Mix)")]
