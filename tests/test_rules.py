@@ -1,5 +1,7 @@
 """Properties and scenarios that the tables don't show."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,23 @@ def test_duplicates_do_not_chain(spark):
     assert got == {2: 1, 4: 5}  # 3 is near to 2 alone, which goes itself
 
 
+@pytest.mark.parametrize("large", [0, 40, 20_000])
+def test_duplicates_are_those_of_all_pairs(spark, monkeypatch, large):
+    """Wherever keys count as frequent: all, some or none."""
+    monkeypatch.setattr(identity, "COMMON", large)
+    draw = random.Random(5)
+    rows = [(k, draw.choice(["A", "A", "B", f"C{k % 40}", "", None]), draw.choice(["A", f"x{k % 60}", None]), draw.choice([None, 60.0 + draw.randrange(64_000) / 1000, 62.0, 64.0, 66.001]), draw.choice([None, 128, 256, 320]), draw.random() < 0.3) for k in range(400)]
+    near = {(a[0], b[0]) for a in rows for b in rows if None not in (a[3], b[3]) and abs(round(a[3] * 1000) - round(b[3] * 1000)) <= 2000 and (a[1] and a[1] == b[1] or a[2] and a[2] == b[2])}
+    worth = {r[0]: (r[4] or 0, r[5], -r[0]) for r in rows}
+    by_file = {k: [b for a, b in near if a == k] for k in worth}
+    stays = {k for k, others in by_file.items() if others and max(others, key=worth.get) == k}
+    want = {k: max(found, key=worth.get) for k, others in by_file.items() if k not in stays and (found := [b for b in others if b in stays])}
+    ddl = "track_id long, isrc string, acoustid string, duration_s double, bitrate int, is_art_track boolean"
+    got = {r.track_id: r.duplicate_of for r in identity.duplicates(spark.createDataFrame(rows, ddl), ["isrc", "acoustid"]).collect()}
+    assert got == want and len(want) > 100
+    assert not identity.duplicates(spark.createDataFrame([], ddl), ["isrc", "acoustid"]).collect()
+
+
 def test_rearbitration_drops_what_is_no_longer_decided(spark):
     ddl = "track_id long, field string, value string, source string, decided_by string"
     old = spark.createDataFrame([(1, "title", "mine", "manual", "manual"), (1, "genre", "Pop", "x", "precedence"), (1, "label", "Old", "x", "precedence")], ddl)

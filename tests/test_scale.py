@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord import registry, vocab
-from concord.operators import fuse, relations, resolve, store
+from concord.operators import fuse, identity, relations, resolve, store
 from concord.sources import catalogues, files
 
 
@@ -110,3 +110,19 @@ def test_of_a_field_that_goes_by_place_one_candidate_is_kept(spark):
     rows = [(1, "pop", "title", "A - B (Foo Mix)", "spotify", 0), (1, "pop", "title", "A - B", "itunes", 1), (1, "pop", "title", "A – B [Bar Edit]", "discogs", 2), (1, "pop", "genre", "Rock", "itunes", 3), (1, "pop", "genre", "Pop", "discogs", 4), (1, "pop", "album", "X", "itunes", 5), (1, "pop", "album", "Y", "discogs", 6)]
     kept = fuse.with_albums(spark.createDataFrame(rows, "track_id long, family string, field string, value string, source string, ord long"), vocab.default_ranking(spark))
     assert sorted((r.field, r.value) for r in kept.collect()) == [("album", "X"), ("album", "Y"), ("genre", "Rock"), ("title", "A - B (Foo Mix)")]
+
+
+def test_files_are_dealt_four_times_to_find_duplicates(spark, sf, monkeypatch):
+    monkeypatch.setattr(relations, "DEAL_BYTES", 5_000)
+    made = plan(registry.queries()["duplicate_files"](spark, sf))
+    parts = [int(x) for x in re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\)", made)]
+    assert made.count("Exchange ") == 4 == len(parts) and min(parts) > 4  # the session's
+
+
+def test_a_frequent_key_meets_in_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(identity, "COMMON", 100)
+    files = spark.range(1000).selectExpr("id AS track_id", "id / 10.0D AS duration_s", "1 AS bitrate", "false AS is_art_track", "IF(id < 900, 'A', 'B' || id) AS acoustid")
+    made = identity.duplicates(files, ["acoustid"])
+    assert re.search(r"hashpartitioning\([^)]*part#", plan(made)) and made.count() > 0
+    monkeypatch.setattr(identity, "COMMON", 1000)
+    assert "part#" not in plan(identity.duplicates(files, ["acoustid"]))
