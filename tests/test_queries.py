@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from concord import registry
+from concord.plans import bindings as B
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -38,3 +39,14 @@ def test_equals_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_gives_rows(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
+
+
+def test_every_candidate_title_has_its_score(spark, sf, duck):
+    """One row for each title that DuckDB finds among the candidates, ranked within its track."""
+    got = registry.queries()["match_scores"](spark, sf).collect()
+    want = duck.sql(f"SELECT track_id, source, ord, value FROM ({B.duck(B.CANDIDATES)}) WHERE field = 'title'").fetchall()
+    assert sorted((r.track_id, r.source, r.ord, r.title) for r in got) == sorted(want)
+    tracks = {}
+    for r in sorted(got, key=lambda r: (r.track_id, -r.match_score, r.ord)):
+        tracks.setdefault(r.track_id, []).append(r.rank)
+    assert len(tracks) < len(got) and all(ranks == list(range(1, len(ranks) + 1)) for ranks in tracks.values())

@@ -158,6 +158,15 @@ def test_winning_results(spark):
     assert got == {k: w[-1] for k, w in enumerate(WINNERS)}
 
 
+def test_results_are_ranked_and_none_is_dropped(spark):
+    rows = [("q", 0, None), ("q", 1, 0.5), ("q", 2, 0.9), ("q", 3, 0.9), ("q", None, 0.9), ("r", 0, 0.1), (None, 0, 0.2), (None, 1, 0.3)]
+    results = spark.createDataFrame(rows, "q string, position int, match_score double")
+    ranked = identity.rank_results(results, ["q"], "match_score", "position")
+    assert {(r.q, r.position): r["rank"] for r in ranked.collect()} == {("q", 2): 1, ("q", 3): 2, ("q", None): 3, ("q", 1): 4, ("q", 0): 5, ("r", 0): 1, (None, 1): 1, (None, 0): 2}
+    best = identity.best_result(results, ["q"], "match_score", "position")
+    assert set(map(tuple, ranked.where("rank = 1").select(*best.columns).collect())) == set(map(tuple, best.collect()))
+
+
 def test_plausible_results(spark):
     rows = spark.createDataFrame([(k, *p) for k, p in enumerate(ALIKE)], "k int, qa string, qt string, a string, t string, ok boolean")
     scored = similarity.match_score(rows, "qa", "qt", "a", "t")
